@@ -219,3 +219,37 @@ mp AS (SELECT series_key, ts, y, 'moving_average' AS model,
        FROM hourly WINDOW w AS (PARTITION BY series_key ORDER BY ts ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)),
 mt AS (SELECT * FROM mp WHERE rn <= 720)
 """ + _metrics("mt")
+
+# ---- ML preparation -------------------------------------------------------------
+TM_FEATURES = ("number_of_vehicles", "number_of_casualties", "day_of_week", "road_type", "speed_limit",
+               "light_conditions", "weather_conditions", "road_surface_conditions", "vehicle_type",
+               "vehicle_manoeuvre", "sex_of_driver", "age_of_driver", "age_of_casualty", "sex_of_casualty",
+               "casualty_class", "casualty_type")
+TM = ",\ntm_base AS (SELECT collision_index, vehicle_reference, casualty_reference, {}, casualty_severity "\
+     "FROM training_rows),\ntm_med AS (SELECT {} FROM tm_base),\ntm AS (SELECT collision_index, vehicle_reference, "\
+     "casualty_reference, {}, CAST(casualty_severity - 1 AS INTEGER) AS label FROM tm_base, tm_med "\
+     "WHERE casualty_severity IN (1, 2, 3))\n".format(
+         ", ".join(f"NULLIF({c}, -1) AS {c}" for c in TM_FEATURES),
+         ", ".join(f"MEDIAN({c}) AS m_{c}" for c in TM_FEATURES),
+         ", ".join(f"COALESCE(CAST({c} AS DOUBLE), m_{c}) AS {c}" for c in TM_FEATURES))
+BODIES["training_matrix"] = TM + "SELECT * FROM tm"
+BODIES["class_distribution"] = TM + f"""
+SELECT label, n, {rnd('CAST(n AS DOUBLE) / SUM(n) OVER ()', 6)} AS share
+FROM (SELECT label, COUNT(*) AS n FROM tm GROUP BY label) t"""
+BODIES["class_weights"] = TM + f"""
+SELECT label, n, {rnd('CAST(SUM(n) OVER () AS DOUBLE) / (COUNT(*) OVER () * n)', 6)} AS weight
+FROM (SELECT label, COUNT(*) AS n FROM tm GROUP BY label) t"""
+BODIES["scaled_features"] = TM + "SELECT collision_index, vehicle_reference, casualty_reference, {}, label FROM tm".format(
+    ", ".join(rnd(f"({c} - AVG({c}) OVER ()) / NULLIF(STDDEV_POP({c}) OVER (), 0)", 4) + f" AS {c}"
+              for c in TM_FEATURES))
+BODIES["macro_metrics"] = TM + f""",
+pr AS (SELECT label AS y, CASE WHEN speed_limit >= 60 THEN 1 WHEN number_of_casualties >= 3 THEN 0 ELSE 2 END AS p
+       FROM tm),
+conf AS (SELECT y, p, COUNT(*) AS n FROM pr GROUP BY y, p),
+cls AS (SELECT c, COALESCE(sup, 0) AS support, COALESCE(tp, 0) AS tp, COALESCE(pred, 0) AS predicted
+        FROM (SELECT y AS c, SUM(n) AS sup, SUM(CASE WHEN y = p THEN n END) AS tp FROM conf GROUP BY y) a
+        FULL JOIN (SELECT p AS c, SUM(n) AS pred FROM conf GROUP BY p) b USING (c))
+SELECT {rnd('AVG(COALESCE(2.0 * tp / NULLIF(support + predicted, 0), 0))', 6)} AS f1_macro,
+       {rnd('AVG(COALESCE(CAST(tp AS DOUBLE) / NULLIF(support, 0), 0))', 6)} AS recall_macro,
+       {rnd('AVG(COALESCE(CAST(tp AS DOUBLE) / NULLIF(predicted, 0), 0))', 6)} AS precision_macro
+FROM cls"""

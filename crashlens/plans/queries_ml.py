@@ -1 +1,139 @@
-"""ML and forecasting query registrations."""
+"""ML and forecasting registrations (rows-only keys plus SQL-checkable prep)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from crashlens.operators import features, forecast, ml, profiling, series
+from crashlens.plans.queries import CORR_COLS, T, _daily, _hourly, q
+from crashlens.plans.tables import TRAINING_FEATURES
+
+ID_COLS = ("collision_index", "vehicle_reference", "casualty_reference")
+# registered model sizes: the reference's settings (trees, rounds, iterations)
+MODEL_PARAMS = {"rf": dict(num_trees=100, max_depth=15), "gbt": dict(gbt_iter=100), "mlp": dict(mlp_iter=500)}
+_holdout_cache: dict[tuple, DataFrame] = {}
+
+
+def matrix(spark, sf) -> DataFrame:
+    return ml.training_matrix(T(spark, sf).training_rows, TRAINING_FEATURES, id_cols=ID_COLS)
+
+
+def feature_names(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in ID_COLS and c not in ("label", "row_id")]
+
+
+def with_row_id(df: DataFrame) -> DataFrame:
+    return df.withColumn("row_id", F.concat_ws("|", *ID_COLS))
+
+
+@q("training_matrix")
+def _(spark, sf):
+    return matrix(spark, sf)
+
+
+@q("class_distribution")
+def _(spark, sf):
+    return profiling.class_distribution(matrix(spark, sf))
+
+
+@q("class_weights")
+def _(spark, sf):
+    return ml.class_weights(matrix(spark, sf))
+
+
+@q("scaled_features")
+def _(spark, sf):
+    m = matrix(spark, sf)
+    return ml.standard_scale(m, feature_names(m), ID_COLS)
+
+
+@q("macro_metrics")
+def _(spark, sf):
+    m = matrix(spark, sf)
+    rule = (F.when(F.col("speed_limit") >= 60, 1).when(F.col("number_of_casualties") >= 3, 0).otherwise(2))
+    return ml.macro_metrics(m.withColumn("prediction", rule))
+
+
+@q("stratified_folds")
+def _(spark, sf):
+    folds = ml.stratified_folds(with_row_id(matrix(spark, sf)), "row_id", 5)
+    return folds.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("smote_balanced")
+def _(spark, sf):
+    m = with_row_id(matrix(spark, sf))
+    bal = ml.smote(m, feature_names(matrix(spark, sf)), "row_id")
+    return bal.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def holdout(spark, sf, model: str) -> DataFrame:
+    key = (id(spark), sf, model)
+    if key not in _holdout_cache:
+        m = with_row_id(matrix(spark, sf))
+        res = ml.holdout_metrics(m, model, feature_names(matrix(spark, sf)), "row_id",
+                                 **MODEL_PARAMS.get(model, {}))
+        _holdout_cache[key] = spark.createDataFrame(res.collect(), res.schema)  # one row of metrics
+    return _holdout_cache[key]
+
+
+for _m in ("lr", "rf", "mlp", "gbt"):
+    q(f"clf_{_m}")(lambda spark, sf, _m=_m: holdout(spark, sf, _m))
+
+
+@q("model_comparison")
+def _(spark, sf):
+    out = None
+    for m in ("lr", "rf", "mlp", "gbt"):
+        r = holdout(spark, sf, m)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@q("best_model")
+def _(spark, sf):
+    from crashlens.plans.queries import QUERIES
+    return ml.best_model(QUERIES["model_comparison"](spark, sf))
+
+
+@q("cv_metrics")
+def _(spark, sf):
+    m = with_row_id(matrix(spark, sf))
+    return ml.cross_validate(m, "lr", feature_names(matrix(spark, sf)), "row_id", 5)
+
+
+@q("vif")
+def _(spark, sf):
+    return profiling.vif(features.ml_training_dataset(T(spark, sf).features()), CORR_COLS)
+
+
+@q("forecast_arima")
+def _(spark, sf):
+    return forecast.forecast_in_sample(_hourly(spark, sf), "arima")
+
+
+@q("forecast_sarima")
+def _(spark, sf):
+    return forecast.forecast_in_sample(_hourly(spark, sf), "sarima", 24)
+
+
+@q("forecast_additive")
+def _(spark, sf):
+    return forecast.forecast_in_sample(_daily(spark, sf), "additive")
+
+
+@q("forecast_ahead")
+def _(spark, sf):
+    return (forecast.forecast_ahead(_hourly(spark, sf), 168, "arima")
+            .unionByName(forecast.forecast_ahead(_daily(spark, sf), 7, "additive")))
+
+
+@q("forecast_comparison")
+def _(spark, sf):
+    return forecast.compare_models(_hourly(spark, sf))
+
+
+@q("forecast_lag_regression")
+def _(spark, sf):
+    return forecast.lag_regression(series.forecast_features(T(spark, sf).collision))
