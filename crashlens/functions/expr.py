@@ -50,9 +50,11 @@ def select_available(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 
 
 def tod_minutes(t: Column | str) -> Column:
-    """Minutes since midnight of an 'HH:mm' string; NULL when unparseable."""
-    ts = F.try_to_timestamp(F.concat(F.lit("1970-01-01 "), col(t)), F.lit("yyyy-MM-dd HH:mm"))
-    return (F.hour(ts) * 60 + F.minute(ts)).cast("int")
+    """Minutes since midnight of an 'HH:mm' string; NULL when it is not a
+    valid time of day (checked by pattern, then two substring casts)."""
+    c = col(t)
+    ok = c.rlike(r"^([01][0-9]|2[0-3]):[0-5][0-9]$")
+    return F.when(ok, F.substring(c, 1, 2).cast("int") * 60 + F.substring(c, 4, 2).cast("int"))
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

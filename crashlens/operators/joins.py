@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crashlens.functions import codes
@@ -20,12 +20,67 @@ VEHICLE_COLS = ("vehicle_id", "vehicle_reference", "vehicle_type", "vehicle_mano
 CASUALTY_COLS = ("casualty_id", "casualty_reference", "casualty_severity", "age_of_casualty", "sex_of_casualty")
 
 
-def full_accident_data(features: DataFrame, vehicle: DataFrame, casualty: DataFrame) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.001, max_keys: int = 1000) -> list[tuple]:
+    """Keys holding more than ``share`` of the rows (at most 1/share of them,
+    capped at ``max_keys`` by count): a provably small list for the driver."""
+    n_min = max(1, int(df.count() * share))
+    rows = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > n_min)
+            .orderBy(F.desc("__n")).limit(max_keys).collect())
+    return [tuple(r[k] for k in keys) for r in rows]
+
+
+def _key_in(keys: Sequence[str], values: list[tuple], prefix: str = "") -> Column:
+    cond = F.lit(False)
+    for v in values:
+        one = F.lit(True)
+        for k, x in zip(keys, v):
+            one = one & (F.col(f"{prefix}{k}") == F.lit(x))
+        cond = cond | one
+    return cond
+
+
+def skew_split_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: list[tuple] | None = None,
+                         share: float = 0.001) -> DataFrame:
+    """``left`` ⟕ ``right`` on equal ``keys`` that survives a key holding a
+    large share of ``right``.
+
+    Hot keys (found by one aggregate, bounded list) are joined separately:
+    their few ``left`` rows are broadcast to the tasks holding the hot
+    ``right`` rows, so the hot key is spread over all of its input partitions
+    instead of one shuffle partition.  All other keys use the normal
+    shuffle/sort-merge (or size-checked broadcast) join.  ``left`` must have
+    few rows per key (a parent table); results equal the plain left join.
+    """
+    keys = list(keys)
+    hot = hot_keys(right, keys, share) if hot is None else hot
+    if not hot:
+        return left.join(right, keys, "left")
+    is_hot_l, is_hot_r = _key_in(keys, hot), _key_in(keys, hot)
+    cold = left.filter(~is_hot_l).join(right.filter(~is_hot_r), keys, "left")
+    hot_part = right.filter(is_hot_r).join(F.broadcast(left.filter(is_hot_l)), keys, "right")
+    return cold.unionByName(hot_part.select(*cold.columns))
+
+
+def full_accident_data(features: DataFrame, vehicle: DataFrame, casualty: DataFrame,
+                       skew_share: float | None = None) -> DataFrame:
     """Collision ⟕ vehicle ⟕ casualty (casualties are reached through
-    their vehicle, as in the view) with vehicle and casualty labels."""
+    their vehicle, as in the view) with vehicle and casualty labels.
+
+    With ``skew_share`` set, keys holding more than that share of the child
+    rows are joined by :func:`skew_split_left_join` (two extra aggregates to
+    find them); otherwise AQE's skew handling is relied on."""
+    v = vehicle.select("collision_index", *VEHICLE_COLS)
+    cas = casualty.select("collision_index", "vehicle_reference", *[x for x in CASUALTY_COLS])
+    if skew_share is not None:
+        cv = skew_split_left_join(features, v, ["collision_index"], share=skew_share)
+        j = skew_split_left_join(cv, cas, ["collision_index", "vehicle_reference"], share=skew_share)
+        return j.select(*features.columns, *VEHICLE_COLS,
+                        codes.decode_domain(F.col("vehicle_type"), "vehicle_type").alias("vehicle_type_label"),
+                        *CASUALTY_COLS,
+                        codes.decode_domain(F.col("casualty_severity"), "severity").alias("casualty_severity_label"))
     c = features.alias("c")
-    v = vehicle.select("collision_index", *VEHICLE_COLS).alias("v")
-    cas = casualty.select("collision_index", "vehicle_reference", *[x for x in CASUALTY_COLS]).alias("cas")
+    v = v.alias("v")
+    cas = cas.alias("cas")
     j = (c.join(v, F.col("c.collision_index") == F.col("v.collision_index"), "left")
          .join(cas, (F.col("c.collision_index") == F.col("cas.collision_index"))
                & (F.col("v.vehicle_reference") == F.col("cas.vehicle_reference")), "left"))

@@ -89,24 +89,62 @@ def dtypes_table(df: DataFrame):
     return df.sparkSession.createDataFrame(rows, "data_type string, column_names string, number_of_columns int")
 
 
+def _value_key(f: T.StructField) -> tuple[Column, Column]:
+    """(number, text) encoding of a value for exact distinct counting: numbers,
+    dates and timestamps stay numeric (no string formatting), text stays text."""
+    c = F.col(f"`{f.name}`")
+    dt = f.dataType
+    if isinstance(dt, T.StringType):
+        return F.lit(None).cast("double"), c
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double"), F.lit(None).cast("string")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("double"), F.lit(None).cast("string")
+    if isinstance(dt, (T.NumericType, T.BooleanType)) and not isinstance(dt, T.DecimalType):
+        return c.cast("double"), F.lit(None).cast("string")
+    return F.lit(None).cast("double"), c.cast("string")
+
+
 def feature_overview(df: DataFrame, max_missing: float = 0.2, max_unique: int = 20,
                      exact: bool = True) -> DataFrame:
-    """Q12: dtype, distinct values, missing count and rate, keep flag."""
+    """Q12: dtype, distinct values, missing count and rate, keep flag.
+
+    One scan: every row is unpivoted to (column index, value) pairs plus one
+    row-counter entry; a hash aggregate on (index, value) collapses repeated
+    values map-side, and a second aggregate per column gives the distinct
+    count and the non-null count.  ``exact=False`` uses HyperLogLog instead.
+    """
     cols = df.columns
-    distinct = (lambda c: F.count_distinct(c)) if exact else (lambda c: F.approx_count_distinct(c))
-    agg = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[distinct(F.col(f"`{c}`")).alias(f"u{i}") for i, c in enumerate(cols)],
-                 *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)])
-    n = F.col("__n")
     fams = {f.name: dtype_family(f.dataType) for f in df.schema.fields}
-    items = []
-    for i, c in enumerate(cols):
-        miss = n - F.col(f"c{i}")
-        rate = miss.cast("double") / n.cast("double")
-        items.append((c, {"dtype": F.lit(fams[c]), "n_unique": F.col(f"u{i}"), "n_missing": miss,
-                          "missing_rate": F.round(rate, 6),
-                          "keep": (rate < max_missing) & (F.col(f"u{i}") < max_unique)}))
-    return _long(agg, items)
+    meta = df.sparkSession.createDataFrame([(i, c, fams[c]) for i, c in enumerate(cols)],
+                                           "__i int, column_name string, dtype string")
+    if exact:
+        entries = []
+        for i, f in enumerate(df.schema.fields):
+            vn, vs = _value_key(f)
+            entries.append(F.struct(F.lit(i).alias("__i"), vn.alias("vn"), vs.alias("vs")))
+        entries.append(F.struct(F.lit(-1).alias("__i"), F.lit(0.0).alias("vn"), F.lit(None).cast("string").alias("vs")))
+        pairs = (df.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
+                 .filter(F.col("vn").isNotNull() | F.col("vs").isNotNull()))
+        per_col = (pairs.groupBy("__i", "vn", "vs").agg(F.count(F.lit(1)).alias("__c"))
+                   .groupBy("__i").agg(F.count(F.lit(1)).alias("n_unique"), F.sum("__c").alias("__nn")))
+        total = per_col.filter(F.col("__i") == -1).select(F.col("__nn").alias("__n"))
+        stats = meta.join(per_col, "__i", "left")
+        stats = attach_one_row(stats, total).select(
+            "__i", "column_name", "dtype", F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
+            (F.col("__n") - F.coalesce("__nn", F.lit(0))).alias("n_missing"), "__n")
+    else:
+        agg = df.agg(F.count(F.lit(1)).alias("__n"),
+                     *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)],
+                     *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"u{i}") for i, c in enumerate(cols)])
+        long = agg.select("__n", F.explode(F.array(*[
+            F.struct(F.lit(i).alias("__i"), F.col(f"u{i}").alias("n_unique"), F.col(f"c{i}").alias("__nn"))
+            for i in range(len(cols))])).alias("r")).select("__n", "r.*")
+        stats = meta.join(F.broadcast(long), "__i").select(
+            "__i", "column_name", "dtype", "n_unique", (F.col("__n") - F.col("__nn")).alias("n_missing"), "__n")
+    rate = F.col("n_missing").cast("double") / F.col("__n").cast("double")
+    return stats.select("column_name", "dtype", "n_unique", "n_missing", F.round(rate, 6).alias("missing_rate"),
+                        ((rate < max_missing) & (F.col("n_unique") < max_unique)).alias("keep"))
 
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
@@ -201,8 +239,10 @@ def ordered_counts(df: DataFrame, col: str, order: Sequence, out: str = "categor
     """Counts in a fixed category order; absent categories give NULL."""
     spark = df.sparkSession
     cats = spark.createDataFrame([(i, v) for i, v in enumerate(order)], f"position int, {out} string")
-    counts = df.groupBy(F.col(col).cast("string").alias(out)).agg(F.count(F.lit(1)).alias("n"))
-    return cats.join(F.broadcast(counts) if len(order) < 1000 else counts, out, "left").select(out, "position", "n")
+    # only listed categories are counted, so the counts have at most len(order) rows
+    v = F.col(col).cast("string")
+    counts = df.filter(v.isin(*order)).groupBy(v.alias(out)).agg(F.count(F.lit(1)).alias("n"))
+    return cats.join(F.broadcast(counts), out, "left").select(out, "position", "n")
 
 
 def weekday_counts(df: DataFrame, day: str = "day") -> DataFrame:
@@ -238,28 +278,30 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def boxplot_stats(df: DataFrame, cols: Sequence[str], group: str | None = None, k: float = 1.5) -> DataFrame:
+def boxplot_stats(df: DataFrame, cols: Sequence[str], group: str | None = None, k: float = 1.5,
+                  with_all: bool = False) -> DataFrame:
     """Quartiles, whiskers (furthest values within k*IQR) and outliers,
-    per column and group ('ALL' without a group)."""
-    g = F.col(group).cast("string") if group else F.lit("ALL")
-    parts = []
+    per column and group ('ALL' without a group; ``with_all`` adds the 'ALL'
+    rows to a grouped run).  One pass: the columns are unpivoted to
+    (feature, group, x) rows, quartiles are aggregated per (feature, group)
+    and joined back (one row per feature x group, bounded by the domains)."""
+    grp = F.col(group).cast("string") if group else F.lit("ALL")
+    entries = []
     for c in cols:
-        src = df.select(g.alias("grp"), F.col(c).cast("double").alias("x")).filter(F.col("x").isNotNull())
-        if group:
-            src = src.filter(F.col("grp").isNotNull())
-        q = src.groupBy("grp").agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q"))
-        j = src.join(F.broadcast(q) if not group else q, "grp")
-        iqr = F.col("q")[2] - F.col("q")[0]
-        lo, hi = F.col("q")[0] - k * iqr, F.col("q")[2] + k * iqr
-        inside = (F.col("x") >= lo) & (F.col("x") <= hi)
-        parts.append(j.groupBy("grp").agg(
-            F.lit(c).alias("feature"),
-            F.round(F.first(F.col("q")[0]), 6).alias("q1"), F.round(F.first(F.col("q")[1]), 6).alias("median"),
-            F.round(F.first(F.col("q")[2]), 6).alias("q3"),
-            F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-            F.count_if(~inside).cast("bigint").alias("outliers")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("grp", "group_value")
+        x = F.col(c).cast("double")
+        entries.append(F.struct(F.lit(c).alias("feature"), grp.alias("group_value"), x.alias("x")))
+        if group and with_all:
+            entries.append(F.struct(F.lit(c).alias("feature"), F.lit("ALL").alias("group_value"), x.alias("x")))
+    long = (df.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
+            .filter(F.col("x").isNotNull() & F.col("group_value").isNotNull()))
+    q = long.groupBy("feature", "group_value").agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q"))
+    j = long.join(q, ["feature", "group_value"])
+    iqr = F.col("q")[2] - F.col("q")[0]
+    lo, hi = F.col("q")[0] - k * iqr, F.col("q")[2] + k * iqr
+    inside = (F.col("x") >= lo) & (F.col("x") <= hi)
+    return j.groupBy("feature", "group_value").agg(
+        F.round(F.first(F.col("q")[0]), 6).alias("q1"), F.round(F.first(F.col("q")[1]), 6).alias("median"),
+        F.round(F.first(F.col("q")[2]), 6).alias("q3"),
+        F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
+        F.count_if(~inside).cast("bigint").alias("outliers"))

@@ -399,8 +399,7 @@ def _(spark, sf):
 def _(spark, sf):
     full = T(spark, sf).nb_full
     cols = ["number_of_vehicles", "number_of_casualties"]
-    return profiling.boxplot_stats(full, cols, "casualty_severity_label").unionByName(
-        profiling.boxplot_stats(full, cols, None))
+    return profiling.boxplot_stats(full, cols, "casualty_severity_label", with_all=True)
 
 
 # ---- series ----------------------------------------------------------------

@@ -81,7 +81,8 @@ class Tables:
 
     @cached_property
     def full(self) -> DataFrame:
-        return joins.full_accident_data(self.features(), self.vehicle, self.casualty)
+        # keys holding > 0.1 % of the child rows are joined by the hot-key split
+        return joins.full_accident_data(self.features(), self.vehicle, self.casualty, skew_share=0.001)
 
     # -- notebook pipeline ---------------------------------------------------
     def _nb_table(self, df: DataFrame, cols, name: str) -> DataFrame:
