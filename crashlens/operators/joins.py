@@ -62,18 +62,22 @@ def skew_split_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 
 def full_accident_data(features: DataFrame, vehicle: DataFrame, casualty: DataFrame,
-                       skew_share: float | None = None) -> DataFrame:
+                       skew_share: float | None = None, hot: tuple[list, list] | None = None) -> DataFrame:
     """Collision ⟕ vehicle ⟕ casualty (casualties are reached through
     their vehicle, as in the view) with vehicle and casualty labels.
 
     With ``skew_share`` set, keys holding more than that share of the child
     rows are joined by :func:`skew_split_left_join` (two extra aggregates to
-    find them); otherwise AQE's skew handling is relied on."""
+    find them), or pass ``hot`` = (vehicle keys, casualty keys) found
+    elsewhere (e.g. on the raw tables; any key set gives the same result);
+    otherwise AQE's skew handling is relied on."""
     v = vehicle.select("collision_index", *VEHICLE_COLS)
     cas = casualty.select("collision_index", "vehicle_reference", *[x for x in CASUALTY_COLS])
-    if skew_share is not None:
-        cv = skew_split_left_join(features, v, ["collision_index"], share=skew_share)
-        j = skew_split_left_join(cv, cas, ["collision_index", "vehicle_reference"], share=skew_share)
+    if skew_share is not None or hot is not None:
+        share = skew_share if skew_share is not None else 0.001
+        hv, hc = hot if hot is not None else (None, None)
+        cv = skew_split_left_join(features, v, ["collision_index"], hot=hv, share=share)
+        j = skew_split_left_join(cv, cas, ["collision_index", "vehicle_reference"], hot=hc, share=share)
         return j.select(*features.columns, *VEHICLE_COLS,
                         codes.decode_domain(F.col("vehicle_type"), "vehicle_type").alias("vehicle_type_label"),
                         *CASUALTY_COLS,

@@ -81,8 +81,12 @@ class Tables:
 
     @cached_property
     def full(self) -> DataFrame:
-        # keys holding > 0.1 % of the child rows are joined by the hot-key split
-        return joins.full_accident_data(self.features(), self.vehicle, self.casualty, skew_share=0.001)
+        # keys holding > 0.1 % of the child rows are joined by the hot-key split;
+        # they are found on the raw child projections (no dedup shuffle needed:
+        # the split is exact for any key set)
+        hot = (joins.hot_keys(self.raw_vehicle, ["collision_index"], 0.001),
+               joins.hot_keys(self.raw_casualty, ["collision_index", "vehicle_reference"], 0.001))
+        return joins.full_accident_data(self.features(), self.vehicle, self.casualty, hot=hot)
 
     # -- notebook pipeline ---------------------------------------------------
     def _nb_table(self, df: DataFrame, cols, name: str) -> DataFrame:
