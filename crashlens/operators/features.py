@@ -134,3 +134,39 @@ def engineered_features(features: DataFrame) -> DataFrame:
         F.round(F.log1p(F.col("number_of_casualties").cast("double")), 6).alias("log_casualties"),
         F.least(F.col("number_of_vehicles"), F.lit(4)).alias("vehicles_clipped"),
     )
+
+
+def target_encode(df: DataFrame, cols, target: str, smoothing: float = 10.0, suffix: str = "_te",
+                  coded: bool = True) -> DataFrame:
+    """Smoothed target mean per category value,
+    ``(sum + smoothing * prior) / (n + smoothing)``.
+
+    The prior is one row (appended by broadcast).  For coded columns
+    (``coded=True``) the per-category table has one row per code, bounded by
+    the code domain, and is broadcast; otherwise the optimizer chooses the
+    join by measured size."""
+    from crashlens.functions.expr import attach_one_row
+
+    prior = df.agg(F.avg(F.col(target).cast("double")).alias("__prior"))
+    out = attach_one_row(df, prior)
+    for c in cols:
+        stats = df.groupBy(c).agg(F.count(F.lit(1)).alias(f"__n_{c}"),
+                                  F.sum(F.col(target).cast("double")).alias(f"__s_{c}"))
+        out = out.join(F.broadcast(stats) if coded else stats, c, "left").withColumn(
+            f"{c}{suffix}",
+            F.round((F.col(f"__s_{c}") + smoothing * F.col("__prior")) / (F.col(f"__n_{c}") + smoothing), 6))
+        out = out.drop(f"__n_{c}", f"__s_{c}")
+    return out.drop("__prior")
+
+
+def one_hot(df: DataFrame, cols, suffix: str = "_vec"):
+    """One-hot vectors of integer-coded columns (Spark ML pipeline;
+    NULL codes are kept as their own category)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    stages = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep") for c in cols]
+    stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=[f"{c}{suffix}" for c in cols],
+                                handleInvalid="keep"))
+    model = Pipeline(stages=stages).fit(df)
+    return model.transform(df).drop(*[f"{c}__idx" for c in cols])

@@ -20,27 +20,19 @@ VEHICLE_COLS = ("vehicle_id", "vehicle_reference", "vehicle_type", "vehicle_mano
 CASUALTY_COLS = ("casualty_id", "casualty_reference", "casualty_severity", "age_of_casualty", "sex_of_casualty")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.001, max_keys: int = 1000) -> list[tuple]:
-    """Keys holding more than ``share`` of the rows (at most 1/share of them,
-    capped at ``max_keys`` by count): a provably small list for the driver."""
-    n_min = max(1, int(df.count() * share))
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.001, min_rows: int = 100_000,
+             max_keys: int = 1000) -> list[tuple]:
+    """Keys holding more than ``share`` of the rows and more than ``min_rows``
+    rows; at most ``max_keys`` of them (the largest), a small list for the
+    driver.  One count and one keys-only aggregate with map-side combine."""
+    n_min = max(min_rows, int(df.count() * share))
     rows = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > n_min)
             .orderBy(F.desc("__n")).limit(max_keys).collect())
     return [tuple(r[k] for k in keys) for r in rows]
 
 
-def _key_in(keys: Sequence[str], values: list[tuple], prefix: str = "") -> Column:
-    cond = F.lit(False)
-    for v in values:
-        one = F.lit(True)
-        for k, x in zip(keys, v):
-            one = one & (F.col(f"{prefix}{k}") == F.lit(x))
-        cond = cond | one
-    return cond
-
-
 def skew_split_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: list[tuple] | None = None,
-                         share: float = 0.001) -> DataFrame:
+                         share: float = 0.001, min_rows: int = 100_000) -> DataFrame:
     """``left`` ⟕ ``right`` on equal ``keys`` that survives a key holding a
     large share of ``right``.
 
@@ -48,21 +40,26 @@ def skew_split_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     their few ``left`` rows are broadcast to the tasks holding the hot
     ``right`` rows, so the hot key is spread over all of its input partitions
     instead of one shuffle partition.  All other keys use the normal
-    shuffle/sort-merge (or size-checked broadcast) join.  ``left`` must have
-    few rows per key (a parent table); results equal the plain left join.
+    shuffle/sort-merge (or size-checked broadcast) join.  The hot/cold split
+    itself is a broadcast semi/anti join against the (at most ``max_keys``
+    rows) key table.  ``left`` must have few rows per key (a parent table);
+    the result equals the plain left join for any key set.
     """
     keys = list(keys)
-    hot = hot_keys(right, keys, share) if hot is None else hot
+    hot = hot_keys(right, keys, share, min_rows) if hot is None else hot
     if not hot:
         return left.join(right, keys, "left")
-    is_hot_l, is_hot_r = _key_in(keys, hot), _key_in(keys, hot)
-    cold = left.filter(~is_hot_l).join(right.filter(~is_hot_r), keys, "left")
-    hot_part = right.filter(is_hot_r).join(F.broadcast(left.filter(is_hot_l)), keys, "right")
+    schema = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
+    hot_df = F.broadcast(left.sparkSession.createDataFrame(hot, schema))
+    cold = left.join(hot_df, keys, "left_anti").join(right.join(hot_df, keys, "left_anti"), keys, "left")
+    hot_left = F.broadcast(left.join(hot_df, keys, "left_semi"))
+    hot_part = right.join(hot_df, keys, "left_semi").join(hot_left, keys, "right")
     return cold.unionByName(hot_part.select(*cold.columns))
 
 
 def full_accident_data(features: DataFrame, vehicle: DataFrame, casualty: DataFrame,
-                       skew_share: float | None = None, hot: tuple[list, list] | None = None) -> DataFrame:
+                       skew_share: float | None = None, hot: tuple[list, list] | None = None,
+                       min_rows: int = 100_000) -> DataFrame:
     """Collision ⟕ vehicle ⟕ casualty (casualties are reached through
     their vehicle, as in the view) with vehicle and casualty labels.
 
@@ -76,8 +73,9 @@ def full_accident_data(features: DataFrame, vehicle: DataFrame, casualty: DataFr
     if skew_share is not None or hot is not None:
         share = skew_share if skew_share is not None else 0.001
         hv, hc = hot if hot is not None else (None, None)
-        cv = skew_split_left_join(features, v, ["collision_index"], hot=hv, share=share)
-        j = skew_split_left_join(cv, cas, ["collision_index", "vehicle_reference"], hot=hc, share=share)
+        cv = skew_split_left_join(features, v, ["collision_index"], hot=hv, share=share, min_rows=min_rows)
+        j = skew_split_left_join(cv, cas, ["collision_index", "vehicle_reference"], hot=hc, share=share,
+                                 min_rows=min_rows)
         return j.select(*features.columns, *VEHICLE_COLS,
                         codes.decode_domain(F.col("vehicle_type"), "vehicle_type").alias("vehicle_type_label"),
                         *CASUALTY_COLS,

@@ -253,3 +253,16 @@ SELECT {rnd('AVG(COALESCE(2.0 * tp / NULLIF(support + predicted, 0), 0))', 6)} A
        {rnd('AVG(COALESCE(CAST(tp AS DOUBLE) / NULLIF(support, 0), 0))', 6)} AS recall_macro,
        {rnd('AVG(COALESCE(CAST(tp AS DOUBLE) / NULLIF(predicted, 0), 0))', 6)} AS precision_macro
 FROM cls"""
+
+_ml = BODIES["ml_training_dataset"]
+BODIES["target_encoding"] = f""",
+te_base AS (SELECT *, CASE WHEN target IN (1, 2) THEN 1 ELSE 0 END AS is_severe FROM ({_ml}) m),
+te_prior AS (SELECT AVG(CAST(is_severe AS DOUBLE)) AS prior FROM te_base),
+te_w AS (SELECT weather_conditions, COUNT(*) AS n, SUM(CAST(is_severe AS DOUBLE)) AS s FROM te_base GROUP BY 1),
+te_l AS (SELECT light_conditions, COUNT(*) AS n, SUM(CAST(is_severe AS DOUBLE)) AS s FROM te_base GROUP BY 1)
+SELECT b.collision_index,
+       {rnd('(w.s + 10.0 * p.prior) / (w.n + 10.0)', 6)} AS weather_conditions_te,
+       {rnd('(l.s + 10.0 * p.prior) / (l.n + 10.0)', 6)} AS light_conditions_te
+FROM te_base b CROSS JOIN te_prior p
+LEFT JOIN te_w w ON b.weather_conditions = w.weather_conditions
+LEFT JOIN te_l l ON b.light_conditions = l.light_conditions"""

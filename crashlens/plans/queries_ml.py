@@ -137,3 +137,16 @@ def _(spark, sf):
 @q("forecast_lag_regression")
 def _(spark, sf):
     return forecast.lag_regression(series.forecast_features(T(spark, sf).collision))
+
+
+@q("target_encoding")
+def _(spark, sf):
+    d = features.ml_training_dataset(T(spark, sf).features()).withColumn(
+        "is_severe", F.when(F.col("target").isin(1, 2), 1).otherwise(0))
+    enc = features.target_encode(d, ["weather_conditions", "light_conditions"], "is_severe")
+    return enc.select("collision_index", "weather_conditions_te", "light_conditions_te")
+
+
+@q("forecast_model_info")
+def _(spark, sf):
+    return forecast.model_info(_hourly(spark, sf))

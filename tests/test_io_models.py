@@ -101,7 +101,8 @@ def test_skew_split_join_equals_plain_join(spark, sf):
              .withColumn("vehicle_reference", F.concat(F.lit("h"), F.col("vehicle_id").cast("string"))))
     skewed = v.unionByName(extra)
     plain = joins.full_accident_data(t.features(), skewed, t.casualty)
-    split = joins.full_accident_data(t.features(), skewed, t.casualty, skew_share=0.01)
-    assert joins.hot_keys(skewed, ["collision_index"], 0.01) == [(hot,)]
+    split = joins.full_accident_data(t.features(), skewed, t.casualty, skew_share=0.01, min_rows=100)
+    assert joins.hot_keys(skewed, ["collision_index"], 0.01, min_rows=100) == [(hot,)]
+    assert joins.hot_keys(t.raw_vehicle, ["collision_index"], 0.001) == []  # min_rows guards small tables
     assert plain.count() == split.count()
     assert plain.exceptAll(split).count() == 0
