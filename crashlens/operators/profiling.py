@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from crashlens.functions.expr import attach_one_row, numeric_fields
 
@@ -128,11 +129,14 @@ def feature_overview(df: DataFrame, max_missing: float = 0.2, max_unique: int =
                  .filter(F.col("vn").isNotNull() | F.col("vs").isNotNull()))
         per_col = (pairs.groupBy("__i", "vn", "vs").agg(F.count(F.lit(1)).alias("__c"))
                    .groupBy("__i").agg(F.count(F.lit(1)).alias("n_unique"), F.sum("__c").alias("__nn")))
-        total = per_col.filter(F.col("__i") == -1).select(F.col("__nn").alias("__n"))
-        stats = meta.join(per_col, "__i", "left")
-        stats = attach_one_row(stats, total).select(
+        # per_col has one row per column (+ the row counter), so the total is
+        # spread over those few rows by a window instead of a second pass
+        per_col = per_col.select("*", F.max(F.when(F.col("__i") == -1, F.col("__nn"))).over(Window.partitionBy())
+                                 .alias("__n"))
+        stats = meta.join(F.broadcast(per_col), "__i", "left").select(
             "__i", "column_name", "dtype", F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
-            (F.col("__n") - F.coalesce("__nn", F.lit(0))).alias("n_missing"), "__n")
+            (F.coalesce("__n", F.lit(0)) - F.coalesce("__nn", F.lit(0))).alias("n_missing"),
+            F.coalesce("__n", F.lit(0)).alias("__n"))
     else:
         agg = df.agg(F.count(F.lit(1)).alias("__n"),
                      *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)],
