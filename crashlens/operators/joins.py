@@ -20,45 +20,69 @@ VEHICLE_COLS = ("vehicle_id", "vehicle_reference", "vehicle_type", "vehicle_mano
 CASUALTY_COLS = ("casualty_id", "casualty_reference", "casualty_severity", "age_of_casualty", "sex_of_casualty")
 
 
+def hot_key_table(df: DataFrame, keys: Sequence[str], share: float = 0.001, min_rows: int = 100_000,
+                  max_keys: int = 1000) -> DataFrame:
+    """Keys holding more than ``share`` of the rows and more than ``min_rows``
+    rows, at most ``max_keys`` of them (the largest): a lazy relation with a
+    size bound by construction (the ``limit``), safe to broadcast.  One
+    keys-only aggregate with map-side combine; the total comes from the same
+    aggregate (reused shuffle).  Nothing goes through the driver."""
+    from crashlens.functions.expr import attach_one_row
+
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__t"))
+    limit = F.greatest(F.lit(min_rows), (F.col("__t") * F.lit(share)).cast("long"))
+    return (attach_one_row(counts, total).filter(F.col("__n") > limit)
+            .orderBy(F.desc("__n"), *keys).limit(max_keys).select(*keys))
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.001, min_rows: int = 100_000,
              max_keys: int = 1000) -> list[tuple]:
-    """Keys holding more than ``share`` of the rows and more than ``min_rows``
-    rows; at most ``max_keys`` of them (the largest), a small list for the
-    driver.  One count and one keys-only aggregate with map-side combine."""
-    n_min = max(min_rows, int(df.count() * share))
-    rows = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > n_min)
-            .orderBy(F.desc("__n")).limit(max_keys).collect())
-    return [tuple(r[k] for k in keys) for r in rows]
+    """:func:`hot_key_table` collected (at most ``max_keys`` small tuples)."""
+    return [tuple(r) for r in hot_key_table(df, keys, share, min_rows, max_keys).collect()]
+
+
+def _key_table(left: DataFrame, keys: Sequence[str], hot) -> DataFrame:
+    """The hot keys (a list of tuples or a bounded key relation) as a
+    broadcast relation of at most ``max_keys`` rows."""
+    if isinstance(hot, DataFrame):
+        return F.broadcast(hot.select(*keys))
+    schema = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
+    return F.broadcast(left.sparkSession.createDataFrame(hot, schema))
 
 
-def skew_split_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: list[tuple] | None = None,
+def skew_split_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot=None,
                          share: float = 0.001, min_rows: int = 100_000) -> DataFrame:
     """``left`` ⟕ ``right`` on equal ``keys`` that survives a key holding a
     large share of ``right``.
 
     Hot keys (found by one aggregate, bounded list) are joined separately:
-    their few ``left`` rows are broadcast to the tasks holding the hot
-    ``right`` rows, so the hot key is spread over all of its input partitions
-    instead of one shuffle partition.  All other keys use the normal
-    shuffle/sort-merge (or size-checked broadcast) join.  The hot/cold split
-    itself is a broadcast semi/anti join against the (at most ``max_keys``
-    rows) key table.  ``left`` must have few rows per key (a parent table);
-    the result equals the plain left join for any key set.
+    the hot ``right`` rows stay where they are and meet their few ``left``
+    rows through a broadcast INNER hash join (an outer join could not build
+    the preserved side), so a hot key is spread over all of its input
+    partitions instead of one shuffle partition.  Hot ``left`` rows whose key
+    has no ``right`` row are found against the distinct hot keys present in
+    ``right`` (at most ``max_keys`` rows) and padded with NULLs.  All other
+    keys use the normal shuffle/sort-merge (or size-checked broadcast) join.
+    ``left`` must have few rows per key (a parent table); the result equals
+    the plain left join for any key set.
     """
     keys = list(keys)
-    hot = hot_keys(right, keys, share, min_rows) if hot is None else hot
-    if not hot:
+    hot = hot_key_table(right, keys, share, min_rows) if hot is None else hot
+    if isinstance(hot, list) and not hot:
         return left.join(right, keys, "left")
-    schema = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
-    hot_df = F.broadcast(left.sparkSession.createDataFrame(hot, schema))
+    hot_df = _key_table(left, keys, hot)
     cold = left.join(hot_df, keys, "left_anti").join(right.join(hot_df, keys, "left_anti"), keys, "left")
-    hot_left = F.broadcast(left.join(hot_df, keys, "left_semi"))
-    hot_part = right.join(hot_df, keys, "left_semi").join(hot_left, keys, "right")
-    return cold.unionByName(hot_part.select(*cold.columns))
+    hot_left = left.join(hot_df, keys, "left_semi")
+    hot_right = right.join(hot_df, keys, "left_semi")
+    matched = hot_right.join(F.broadcast(hot_left), keys, "inner")
+    present = F.broadcast(hot_right.select(*keys).distinct())
+    unmatched = hot_left.join(present, keys, "left_anti").join(right.filter(F.lit(False)), keys, "left")
+    return cold.unionByName(matched.select(*cold.columns)).unionByName(unmatched.select(*cold.columns))
 
 
 def full_accident_data(features: DataFrame, vehicle: DataFrame, casualty: DataFrame,
-                       skew_share: float | None = None, hot: tuple[list, list] | None = None,
+                       skew_share: float | None = None, hot: tuple | None = None,
                        min_rows: int = 100_000) -> DataFrame:
     """Collision ⟕ vehicle ⟕ casualty (casualties are reached through
     their vehicle, as in the view) with vehicle and casualty labels.
@@ -95,12 +119,38 @@ def full_accident_data(features: DataFrame, vehicle: DataFrame, casualty: DataFr
     )
 
 
+def _nullsafe_split(df: DataFrame, keys_df: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Semi/anti join against a small key table with pandas key matching."""
+    cond = None
+    for k in on:
+        e = df[k].eqNullSafe(keys_df[k])
+        cond = e if cond is None else cond & e
+    return df.join(keys_df, cond, how)
+
+
 def merge(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-          indicator: str | None = None, suffixes=("_x", "_y")) -> DataFrame:
+          indicator: str | None = None, suffixes=("_x", "_y"), hot=None) -> DataFrame:
     """pandas-style ``merge``: shared non-key columns get suffixes, keys are
     matched null-safely (pandas matches missing keys), optional indicator
-    column 'both' / 'left_only'."""
+    column 'both' / 'left_only'.
+
+    ``hot`` (left merges): keys with a large share of ``right``, joined as in
+    :func:`skew_split_left_join` -- hot ``right`` rows meet their few
+    ``left`` rows through a broadcast inner join, hot ``left`` rows without a
+    partner are padded; the result is the same for any key set."""
     on = list(on)
+    if hot is not None and how == "left" and not (isinstance(hot, list) and not hot):
+        keys_df = _key_table(left, on, hot)
+        cold = merge(_nullsafe_split(left, keys_df, on, "left_anti"), _nullsafe_split(right, keys_df, on, "left_anti"),
+                     on, "left", indicator, suffixes)
+        hot_left = _nullsafe_split(left, keys_df, on, "left_semi")
+        hot_right = _nullsafe_split(right, keys_df, on, "left_semi")
+        matched = merge(F.broadcast(hot_left), hot_right, on, "inner", indicator, suffixes)
+        present = F.broadcast(hot_right.select(*on).distinct())
+        unmatched = merge(_nullsafe_split(hot_left, present, on, "left_anti"), right.filter(F.lit(False)),
+                          on, "left", indicator, suffixes)
+        # the three parts come from the same column list, so positional union is exact
+        return cold.union(matched).union(unmatched)
     overlap = (set(left.columns) & set(right.columns)) - set(on)
     lcols = [F.col(f"l.`{c}`").alias(c + suffixes[0] if c in overlap else c) for c in left.columns]
     marker = "__right_present"
@@ -132,10 +182,13 @@ def resolve_merge_columns(df: DataFrame) -> DataFrame:
     return df.select(*keep)
 
 
-def merge_with_indicator(collision: DataFrame, vehicle: DataFrame, casualty: DataFrame) -> DataFrame:
-    """The notebook's two left merges with provenance indicators."""
-    m = merge(collision, vehicle, ["collision_index"], "left", "merge_vehicle")
-    return merge(m, casualty, ["collision_index", "vehicle_reference"], "left", "merge_casualty")
+def merge_with_indicator(collision: DataFrame, vehicle: DataFrame, casualty: DataFrame,
+                         hot: tuple | None = None) -> DataFrame:
+    """The notebook's two left merges with provenance indicators;
+    ``hot`` = (vehicle keys, casualty keys) enables the hot-key split."""
+    hv, hc = hot if hot is not None else (None, None)
+    m = merge(collision, vehicle, ["collision_index"], "left", "merge_vehicle", hot=hv)
+    return merge(m, casualty, ["collision_index", "vehicle_reference"], "left", "merge_casualty", hot=hc)
 
 
 def casualty_training_rows(casualty: DataFrame, collision: DataFrame, vehicle: DataFrame) -> DataFrame:

@@ -81,12 +81,17 @@ class Tables:
 
     @cached_property
     def full(self) -> DataFrame:
-        # keys holding > 0.1 % of the child rows are joined by the hot-key split;
-        # they are found on the raw child projections (no dedup shuffle needed:
-        # the split is exact for any key set)
-        hot = (joins.hot_keys(self.raw_vehicle, ["collision_index"], 0.001),
-               joins.hot_keys(self.raw_casualty, ["collision_index", "vehicle_reference"], 0.001))
-        return joins.full_accident_data(self.features(), self.vehicle, self.casualty, hot=hot)
+        return joins.full_accident_data(self.features(), self.vehicle, self.casualty, hot=self.hot_child_keys)
+
+    @cached_property
+    def hot_child_keys(self) -> tuple[list, list]:
+        """Keys holding > 0.1 % of the child rows (J1, J2 hot-key split): one
+        keys-only aggregate per child table, at most 1,000 tuples to the
+        driver.  With no hot key the joins stay plain joins.  Found on the raw
+        child projections: no dedup shuffle is needed since the split is exact
+        for any key set."""
+        return (joins.hot_keys(self.raw_vehicle, ["collision_index"], 0.001),
+                joins.hot_keys(self.raw_casualty, ["collision_index", "vehicle_reference"], 0.001))
 
     # -- notebook pipeline ---------------------------------------------------
     def _nb_table(self, df: DataFrame, cols, name: str) -> DataFrame:
@@ -110,7 +115,8 @@ class Tables:
 
     @cached_property
     def nb_merged(self) -> DataFrame:
-        return joins.merge_with_indicator(self.nb_collision, self.nb_vehicle, self.nb_casualty)
+        return joins.merge_with_indicator(self.nb_collision, self.nb_vehicle, self.nb_casualty,
+                                          hot=self.hot_child_keys)
 
     @cached_property
     def nb_full(self) -> DataFrame:

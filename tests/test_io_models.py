@@ -106,3 +106,44 @@ def test_skew_split_join_equals_plain_join(spark, sf):
     assert joins.hot_keys(t.raw_vehicle, ["collision_index"], 0.001) == []  # min_rows guards small tables
     assert plain.count() == split.count()
     assert plain.exceptAll(split).count() == 0
+
+
+def test_skew_split_absent_and_null_hot_keys(spark):
+    left = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "k string, x int")
+    right = spark.createDataFrame([("a", 10), ("a", 11), ("a", 12), ("c", 13), (None, 14), (None, 15)],
+                                  "k string, y int")
+    hot = [("a",), ("b",), ("zz",), (None,)]          # b: no right rows, zz: in neither, None: NULL key
+    plain = left.join(right, ["k"], "left")
+    split = joins.skew_split_left_join(left, right, ["k"], hot=hot)
+    assert sorted(plain.collect(), key=str) == sorted(split.collect(), key=str)
+    # pandas-style merge matches NULL keys; the split must keep that
+    m_plain = joins.merge(left, right, ["k"], "left", "ind")
+    m_split = joins.merge(left, right, ["k"], "left", "ind", hot=hot)
+    assert sorted(m_plain.collect(), key=str) == sorted(m_split.collect(), key=str)
+    assert m_split.filter(F.col("k").isNull()).count() == 2
+
+
+def test_skew_split_hot_part_is_broadcast_inner(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(0, 100).select(F.col("id").cast("string").alias("k"))
+        right = spark.range(0, 5000).select((F.col("id") % 3).cast("string").alias("k"), F.col("id").alias("v"))
+        plan = joins.skew_split_left_join(left, right, ["k"], hot=[("0",)])._jdf.queryExecution() \
+            .executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Inner, BuildRight" in plan
+        assert "RightOuter" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_notebook_merge_split_equals_plain(spark, sf):
+    t = Tables(spark, sf)
+    v = t.nb_vehicle
+    hot_v = [tuple(r) for r in v.groupBy("collision_index").count().orderBy(F.desc("count"), "collision_index")
+             .limit(3).select("collision_index").collect()]
+    hot_c = [tuple(r) for r in t.nb_casualty.select("collision_index", "vehicle_reference").distinct()
+             .orderBy("collision_index", "vehicle_reference").limit(3).collect()]
+    plain = joins.merge_with_indicator(t.nb_collision, v, t.nb_casualty)
+    split = joins.merge_with_indicator(t.nb_collision, v, t.nb_casualty, hot=(hot_v + [("nope",)], hot_c))
+    assert plain.count() == split.count()
+    assert plain.exceptAll(split).count() == 0
