@@ -164,15 +164,17 @@ def dedup_collisions(df: DataFrame) -> DataFrame:
 def median_impute(df: DataFrame, cols: Sequence[str], sentinel=-1) -> DataFrame:
     """C14: ``sentinel`` -> NULL -> exact column median.
 
-    The medians are one aggregate row (exact ``median`` keeps a value->count
-    map per column, bounded by the distinct values of coded columns) appended
-    to every row by a one-row broadcast.
+    The medians are one row (exact; :func:`quantile_columns` keeps Spark's
+    map-based ``percentile`` for low-cardinality columns and sorts the others
+    distributed) appended to every row by a one-row broadcast.
     """
     cleaned = df.select(*[
         (F.when(F.col(c) == F.lit(sentinel), F.lit(None)).otherwise(F.col(c)).alias(c) if c in cols else F.col(c))
         for c in df.columns
     ])
-    meds = cleaned.agg(*[F.median(F.col(c)).alias(f"__med_{c}") for c in cols])
+    from crashlens.operators.quantiles import quantile_columns
+    meds = quantile_columns(cleaned, cols, [0.5]).select(
+        *[F.col(f"q{i}")[0].alias(f"__med_{c}") for i, c in enumerate(cols)])
     joined = attach_one_row(cleaned, meds)
     return joined.select(*[
         (F.coalesce(F.col(c).cast("double"), F.col(f"__med_{c}")).alias(c) if c in cols else F.col(c))

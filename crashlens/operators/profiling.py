@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from crashlens.functions.expr import attach_one_row, numeric_fields
+from crashlens.operators.quantiles import exact_quantiles, few_distinct, quantile_columns
 
 # Category orders of the notebook charts.
 WEEKDAY_ORDER = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -50,19 +51,22 @@ def minus_one_counts(df: DataFrame, value=-1) -> DataFrame:
 def describe_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
     """Q10 (numeric part of ``describe``): count, mean, std, min, quartiles, max.
 
-    ``exact`` uses ``percentile`` (linear interpolation, value->count map per
-    column); ``exact=False`` switches to ``percentile_approx`` for continuous
-    columns at scale.
+    ``exact`` gives ``percentile`` values (linear interpolation) through
+    :func:`quantile_columns` (map-based for low-cardinality columns, a
+    distributed sort for the others); ``exact=False`` uses
+    ``percentile_approx``.
     """
     nums = numeric_fields(df)
     aggs = []
     for i, c in enumerate(nums):
         x = F.col(c).cast("double")
-        q = (F.percentile(x, [0.25, 0.5, 0.75]) if exact
-             else F.percentile_approx(x, [0.25, 0.5, 0.75], 10000))
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), q.alias(f"q{i}"), F.max(x).alias(f"hi{i}")]
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if not exact:
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(f"q{i}"))
     agg = df.agg(*aggs)
+    if exact:
+        agg = attach_one_row(agg, quantile_columns(df, nums, [0.25, 0.5, 0.75]))
     return _long(agg, [(c, {
         "count": F.col(f"n{i}"), "mean": F.round(F.col(f"m{i}"), 6), "std": F.round(F.col(f"s{i}"), 6),
         "min": F.col(f"lo{i}"), "q25": F.round(F.col(f"q{i}")[0], 6), "q50": F.round(F.col(f"q{i}")[1], 6),
@@ -164,8 +168,9 @@ def iqr_outliers(df: DataFrame, k: float = 1.5, exact: bool = True) -> DataFrame
     column against those bounds (appended as a one-row broadcast).
     """
     nums = numeric_fields(df)
-    pf = F.percentile if exact else (lambda x, p: F.percentile_approx(x, p, 10000))
-    qs = df.agg(*[pf(F.col(c).cast("double"), [0.25, 0.75]).alias(f"q{i}") for i, c in enumerate(nums)])
+    qs = (quantile_columns(df, nums, [0.25, 0.75]) if exact else
+          df.agg(*[F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75], 10000).alias(f"q{i}")
+                   for i, c in enumerate(nums)]))
     j = attach_one_row(df.select(*nums), qs)
     counts = []
     for i, c in enumerate(nums):
@@ -298,7 +303,9 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], group: str | None = None,
             entries.append(F.struct(F.lit(c).alias("feature"), F.lit("ALL").alias("group_value"), x.alias("x")))
     long = (df.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
             .filter(F.col("x").isNotNull() & F.col("group_value").isNotNull()))
-    q = long.groupBy("feature", "group_value").agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q"))
+    gk = ["feature", "group_value"]
+    q = (long.groupBy(*gk).agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q")) if few_distinct(long, gk, "x")
+         else exact_quantiles(long, gk, "x", [0.25, 0.5, 0.75]))
     j = long.join(q, ["feature", "group_value"])
     iqr = F.col("q")[2] - F.col("q")[0]
     lo, hi = F.col("q")[0] - k * iqr, F.col("q")[2] + k * iqr

@@ -237,7 +237,8 @@ def _(spark, sf):
     from crashlens.functions.expr import attach_one_row
     f = T(spark, sf).features().select("collision_index", "number_of_casualties", "number_of_vehicles")
     cols = ["number_of_casualties", "number_of_vehicles"]
-    qs = f.agg(*[F.percentile(F.col(c).cast("double"), [0.25, 0.75]).alias(f"__q_{c}") for c in cols])
+    from crashlens.operators.quantiles import quantile_columns
+    qs = quantile_columns(f, cols, [0.25, 0.75]).toDF(*[f"__q_{c}" for c in cols])
     out = [F.col("collision_index")]
     for c in cols:
         qq = F.col(f"__q_{c}")

@@ -121,3 +121,26 @@ def test_bad_dates_dropped(spark):
     df = spark.createDataFrame([("13/01/2025", "10:00"), ("31/02/2025", "10:00"), (None, "10:00")],
                                "raw_date string, raw_time string")
     assert cleaning.parse_datetime(df).count() == 1
+
+
+def test_exact_quantiles_match_percentile_across_partitions(spark, sf):
+    from crashlens.operators.quantiles import exact_quantiles, quantile_columns
+    from crashlens.plans.tables import Tables
+
+    c = Tables(spark, sf).raw_collision
+    long = c.select(F.col("police_force").alias("g"), F.col("longitude").alias("x")).unionByName(
+        c.select(F.lit(None).cast("int").alias("g"), F.col("speed_limit").cast("double").alias("x")))
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0, 0.333]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.g: [round(v, 9) for v in r.q] for r in exact_quantiles(long, ["g"], "x", probs).collect()}
+        cols = ["longitude", "latitude", "speed_limit"]
+        forced = quantile_columns(c, cols, [0.25, 0.5, 0.75], limit=0).first()   # all columns sorted
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    ref = {r.g: [round(v, 9) for v in r.q] for r in long.groupBy("g").agg(F.percentile("x", probs).alias("q")).collect()
+           if r.q is not None}
+    assert got == ref
+    exp = c.agg(*[F.percentile(F.col(k).cast("double"), [0.25, 0.5, 0.75]).alias(f"q{i}")
+                  for i, k in enumerate(cols)]).first()
+    assert [list(forced[f"q{i}"]) for i in range(3)] == [list(exp[f"q{i}"]) for i in range(3)]
