@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from crashlens.functions.expr import attach_one_row, numeric_fields
 from crashlens.operators.quantiles import exact_quantiles, few_distinct, quantile_columns
+from crashlens.sources.schemas import bounded_domain
 
 # Category orders of the notebook charts.
 WEEKDAY_ORDER = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -304,8 +305,9 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], group: str | None = None,
     long = (df.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
             .filter(F.col("x").isNotNull() & F.col("group_value").isNotNull()))
     gk = ["feature", "group_value"]
-    q = (long.groupBy(*gk).agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q")) if few_distinct(long, gk, "x")
-         else exact_quantiles(long, gk, "x", [0.25, 0.5, 0.75]))
+    bounded = all(bounded_domain(df.schema[c]) for c in cols)
+    q = (long.groupBy(*gk).agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q"))
+         if bounded or few_distinct(long, gk, "x") else exact_quantiles(long, gk, "x", [0.25, 0.5, 0.75]))
     j = long.join(q, ["feature", "group_value"])
     iqr = F.col("q")[2] - F.col("q")[0]
     lo, hi = F.col("q")[0] - k * iqr, F.col("q")[2] + k * iqr

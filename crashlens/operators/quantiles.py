@@ -31,6 +31,7 @@ from pyspark.sql.window import Window
 
 from crashlens.functions.expr import attach_one_row
 from crashlens.session import checkpoint_dir
+from crashlens.sources.schemas import bounded_domain
 
 # distinct values per group up to which Spark's map-based ``percentile`` is used
 MAP_PERCENTILE_MAX_DISTINCT = 1_000_000
@@ -98,17 +99,21 @@ def few_distinct(long: DataFrame, group_cols: Sequence[str], x: str,
 
 
 def quantile_columns(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                     limit: int = MAP_PERCENTILE_MAX_DISTINCT) -> DataFrame:
+                     limit: int | None = MAP_PERCENTILE_MAX_DISTINCT) -> DataFrame:
     """One row: ``q{i}`` = exact percentiles of ``cols[i]`` at ``probs``.
 
-    Columns with few distinct values use Spark's ``percentile`` (one pass);
-    the others go through :func:`exact_quantiles` on an unpivoted
-    (column index, value) table."""
+    Columns with a bounded domain (declared, or by type) and columns with few
+    distinct values (HyperLogLog pass over the other columns) use Spark's
+    ``percentile`` (one pass); the others go through :func:`exact_quantiles`
+    on an unpivoted (column index, value) table."""
     cols = list(cols)
     if not cols:
         return df.sparkSession.range(1).select()
-    d = df.agg(*[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    small = [i for i in range(len(cols)) if (d[f"d{i}"] or 0) <= limit]
+    small = [i for i, c in enumerate(cols) if bounded_domain(df.schema[c])]
+    check = [i for i in range(len(cols)) if i not in small]
+    if check:
+        d = df.agg(*[F.approx_count_distinct(F.col(cols[i]), 0.05).alias(f"d{i}") for i in check]).first()
+        small += [i for i in check if (d[f"d{i}"] or 0) <= limit]
     big = [i for i in range(len(cols)) if i not in small]
     res = df.agg(*[F.percentile(F.col(cols[i]).cast("double"), list(probs)).alias(f"q{i}") for i in small]) \
         if small else df.sparkSession.range(1).select()

@@ -86,12 +86,19 @@ class Tables:
     @cached_property
     def hot_child_keys(self) -> tuple[list, list]:
         """Keys holding > 0.1 % of the child rows (J1, J2 hot-key split): one
-        keys-only aggregate per child table, at most 1,000 tuples to the
+        keys-only aggregate per child table, at most 1,000 tuples each to the
         driver.  With no hot key the joins stay plain joins.  Found on the raw
         child projections: no dedup shuffle is needed since the split is exact
         for any key set."""
-        return (joins.hot_keys(self.raw_vehicle, ["collision_index"], 0.001),
-                joins.hot_keys(self.raw_casualty, ["collision_index", "vehicle_reference"], 0.001))
+        vk, ck = ["collision_index"], ["collision_index", "vehicle_reference"]
+        vt = self.raw_casualty.schema["vehicle_reference"].dataType
+        # both key aggregates in one job (their scans run side by side)
+        both = (joins.hot_key_table(self.raw_vehicle, vk, 0.001)
+                .select(F.lit(0).alias("__t"), "collision_index", F.lit(None).cast(vt).alias("vehicle_reference"))
+                .unionByName(joins.hot_key_table(self.raw_casualty, ck, 0.001).select(F.lit(1).alias("__t"), *ck))
+                .collect())
+        return ([(r["collision_index"],) for r in both if r["__t"] == 0],
+                [(r["collision_index"], r["vehicle_reference"]) for r in both if r["__t"] == 1])
 
     # -- notebook pipeline ---------------------------------------------------
     def _nb_table(self, df: DataFrame, cols, name: str) -> DataFrame:
