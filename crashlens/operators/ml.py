@@ -59,23 +59,31 @@ def standard_scale(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str] =
 
 
 def stratified_folds(df: DataFrame, id_col: str, k: int = 5, seed: int = SEED, label: str = LABEL,
-                     buckets: int = 1024) -> DataFrame:
+                     min_buckets: int = 1024, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """M9: exact stratified k-fold assignment, shuffled by a seeded hash.
 
     Rows are ordered within their class by ``xxhash64(id, seed)``; the rank
     within the class modulo k is the fold, so every fold holds n_c // k or
     n_c // k + 1 rows of each class.  The rank is computed without a window
-    over a whole class: rows are spread over ``buckets`` hash buckets, the
-    (class, bucket) counts (a tiny table) give each bucket's offset, and only
-    the rows of one bucket are ranked together.
+    over a whole class: rows are spread over hash buckets (at least
+    ``min_buckets``, more as the largest class grows, so a bucket holds about
+    ``rows_per_bucket`` rows at most), the (class, bucket) counts give each
+    bucket's offset, and only the rows of one bucket are ranked together.
+    The bucket count comes from a one-row aggregate appended by broadcast (no
+    driver step); the offsets table (classes x buckets) is joined by a join
+    Spark sizes itself.
     """
     h = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
-    t = df.withColumn("__h", h).withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)))
+    t0 = df.withColumn("__h", h)
+    nb = (t0.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
+          .agg(F.greatest(F.lit(min_buckets), F.ceil(F.max("__nc") / F.lit(rows_per_bucket))).cast("long")
+               .alias("__nb")))
+    t = attach_one_row(t0, nb).withColumn("__b", F.pmod(F.col("__h"), F.col("__nb"))).drop("__nb")
     counts = t.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__c"))
     off_w = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(label, "__b", F.coalesce(F.sum("__c").over(off_w), F.lit(0)).alias("__off"))
     rank_w = Window.partitionBy(label, "__b").orderBy("__h", F.col(id_col))
-    ranked = (t.join(F.broadcast(offsets), [label, "__b"])
+    ranked = (t.join(offsets, [label, "__b"])
               .withColumn("__rank", F.col("__off") + F.row_number().over(rank_w) - 1))
     return ranked.withColumn("fold", (F.col("__rank") % k).cast("int")).drop("__h", "__b", "__off", "__rank")
 

@@ -65,3 +65,18 @@ def test_streaming_hourly_matches_batch(spark, sf):
     # the watermark holds back the last open window of each key
     assert streamed.count() <= batch.count()
     assert streamed.join(batch, ["series_key", "ts"]).filter(streamed.y != batch.y).count() == 0
+
+
+def test_fold_ranks_exact_with_data_sized_buckets(spark, sf):
+    m = queries_ml.with_row_id(queries_ml.matrix(spark, sf))
+    # few rows per bucket -> more buckets than the minimum; ranks must stay a permutation per class
+    ranked = ml.stratified_folds(m, "row_id", 1 << 30, min_buckets=4, rows_per_bucket=5)
+    per = ranked.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("d"),
+                                      F.min("fold").alias("lo"), F.max("fold").alias("hi")).collect()
+    for r in per:
+        assert r.d == r.n and r.lo == 0 and r.hi == r.n - 1
+    same = ml.stratified_folds(m, "row_id", 5, min_buckets=4, rows_per_bucket=5)
+    counts = {}
+    for r in same.groupBy("label", "fold").count().collect():
+        counts.setdefault(r.label, []).append(r["count"])
+    assert all(len(c) == 5 and max(c) - min(c) <= 1 for c in counts.values())
