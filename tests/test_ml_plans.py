@@ -80,3 +80,47 @@ def test_fold_ranks_exact_with_data_sized_buckets(spark, sf):
     for r in same.groupBy("label", "fold").count().collect():
         counts.setdefault(r.label, []).append(r["count"])
     assert all(len(c) == 5 and max(c) - min(c) <= 1 for c in counts.values())
+
+
+def _plan_nodes_ok(node, key):
+    """Walk a physical plan: no CartesianProduct; a window without partition
+    keys (one task) must sit above an aggregate on every path to a scan."""
+    name = node.nodeName()
+    assert name != "CartesianProduct", key
+    kids = [node.children().apply(i) for i in range(node.children().size())]
+    if name == "Window" and node.partitionSpec().isEmpty():
+        def aggregated(n):
+            if "Aggregate" in n.nodeName():
+                return True
+            ch = [n.children().apply(i) for i in range(n.children().size())]
+            if not ch:   # reached a leaf (scan / local rows) without an aggregate in between
+                return n.nodeName() in ("LocalTableScan", "Scan ExistingRDD", "Scan RDD", "ExistingRDD")
+            return all(aggregated(c) for c in ch)
+        assert aggregated(node), f"{key}: single-partition window over raw rows"
+    for k in kids:
+        _plan_nodes_ok(k, key)
+
+
+def test_single_partition_windows_only_after_aggregation(spark, sf):
+    from crashlens.plans import registry
+    keys = sorted(registry.oracle_sql())
+    for key in keys:
+        plan = QUERIES[key](spark, sf)._jdf.queryExecution().executedPlan()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            plan = plan.inputPlan()
+        _plan_nodes_ok(plan, key)
+
+
+def test_plan_walk_rejects_raw_single_partition_window(spark):
+    import pytest
+    from pyspark.sql.window import Window
+
+    raw = spark.range(100).withColumn("r", F.row_number().over(Window.orderBy("id")))
+    plan = raw._jdf.queryExecution().executedPlan()
+    plan = plan.inputPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    with pytest.raises(AssertionError):
+        _plan_nodes_ok(plan, "raw")
+    ok = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count() \
+        .withColumn("r", F.row_number().over(Window.orderBy("k")))
+    plan = ok._jdf.queryExecution().executedPlan()
+    _plan_nodes_ok(plan.inputPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan, "agg")
