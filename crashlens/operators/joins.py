@@ -51,6 +51,17 @@ def _key_table(left: DataFrame, keys: Sequence[str], hot) -> DataFrame:
     return F.broadcast(left.sparkSession.createDataFrame(hot, schema))
 
 
+# parent rows of the hot keys that may be broadcast (checked by a count)
+MAX_HOT_PARENT_ROWS = 1_000_000
+
+
+def _bounded_broadcast(hot_left: DataFrame, max_rows: int = MAX_HOT_PARENT_ROWS) -> DataFrame:
+    """Broadcast the parent rows of the hot keys only when counted below
+    ``max_rows`` (only runs when hot keys exist).  Otherwise the inner join is
+    left to Spark: AQE splits skewed partitions on both sides of an inner join."""
+    return F.broadcast(hot_left) if hot_left.limit(max_rows + 1).count() <= max_rows else hot_left
+
+
 def skew_split_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot=None,
                          share: float = 0.001, min_rows: int = 100_000) -> DataFrame:
     """``left`` ⟕ ``right`` on equal ``keys`` that survives a key holding a
@@ -75,7 +86,7 @@ def skew_split_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     cold = left.join(hot_df, keys, "left_anti").join(right.join(hot_df, keys, "left_anti"), keys, "left")
     hot_left = left.join(hot_df, keys, "left_semi")
     hot_right = right.join(hot_df, keys, "left_semi")
-    matched = hot_right.join(F.broadcast(hot_left), keys, "inner")
+    matched = hot_right.join(_bounded_broadcast(hot_left), keys, "inner")
     present = F.broadcast(hot_right.select(*keys).distinct())
     unmatched = hot_left.join(present, keys, "left_anti").join(right.filter(F.lit(False)), keys, "left")
     return cold.unionByName(matched.select(*cold.columns)).unionByName(unmatched.select(*cold.columns))
@@ -145,7 +156,7 @@ def merge(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left
                      on, "left", indicator, suffixes)
         hot_left = _nullsafe_split(left, keys_df, on, "left_semi")
         hot_right = _nullsafe_split(right, keys_df, on, "left_semi")
-        matched = merge(F.broadcast(hot_left), hot_right, on, "inner", indicator, suffixes)
+        matched = merge(_bounded_broadcast(hot_left), hot_right, on, "inner", indicator, suffixes)
         present = F.broadcast(hot_right.select(*on).distinct())
         unmatched = merge(_nullsafe_split(hot_left, present, on, "left_anti"), right.filter(F.lit(False)),
                           on, "left", indicator, suffixes)
