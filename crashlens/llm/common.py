@@ -33,7 +33,7 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="llm-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -50,6 +50,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def plain(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` and ``text``; a null text counts as the empty text."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))

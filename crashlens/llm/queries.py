@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crashlens.llm import packing, pieces
-from crashlens.llm.common import documents, tokenizer_path
+from crashlens.llm import exact, lines, packing, pieces, pii, quality, substrings, toxicity
+from crashlens.llm.common import documents, labels, tokenizer_path
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,25 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.remove_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judge(documents(spark, sf_dir), labels(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score")
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact.deduplicate(spark, f"{sf_dir}/documents.parquet")
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     rows = pieces.decode(pieces.encode(documents(spark, sf_dir), path), path)
@@ -25,6 +44,44 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op7_sentencepiece)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.remove_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_line_dedup, op4_quality_rules, op5_exact_dedup, op7_sentencepiece, op8_substring_dedup, op9_toxicity)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+worded AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+pairs AS (
+  SELECT *, lead(line) OVER d AS next_line, lead(pos) OVER d AS next_pos FROM worded
+  WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+copies AS (
+  SELECT *, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, i) AS nth
+  FROM pairs WHERE next_line IS NOT NULL),
+islands AS (
+  SELECT doc_id, pos, next_pos, sum(apart) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+    SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 2 THEN 0 ELSE 1 END AS apart
+    FROM copies WHERE nth > 1)),
+runs AS (SELECT doc_id, run, min(pos) AS first, max(next_pos) AS last FROM islands GROUP BY doc_id, run),
+kept AS (
+  SELECT l.*, NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = l.doc_id AND l.pos BETWEEN r.first AND r.last) AS stays FROM lines l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
+FROM kept GROUP BY doc_id""",
+    "op5_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+}
