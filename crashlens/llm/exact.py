@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 
 from crashlens.llm.common import scratch, written
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state.  Each partition is a small database of its own, which must not
+#: set disk space aside in advance.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Hits are spread over so many parts before their bytes are compared, so that one
 #: text with a third of all rows does not meet in one task.
 PARTS = 16
@@ -35,8 +39,9 @@ def digested(docs: DataFrame, *more) -> DataFrame:
 def digest_state(spark: SparkSession, path: str, bytes_per_batch: int) -> DataFrame:
     """digest, keep (struct doc_id, file, row), n after the stream has read all files of ``path``."""
     path, place = path.rstrip("/"), scratch(spark, "exact-state")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         schema = spark.read.parquet(path).schema
         pattern = f"{path[:-1]}[{path[-1]}]"  # a stream takes a single file only by a pattern
@@ -53,7 +58,8 @@ def digest_state(spark: SparkSession, path: str, bytes_per_batch: int) -> DataFr
         empty = spark.read.parquet(path).isEmpty()  # no batch ran, nothing was saved
         saved = spark.createDataFrame([], columns) if empty else spark.read.schema(columns).parquet(f"{place}/entries")
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # counts and the largest id only grow, so the last entry of a digest has the largest of both
     return saved.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n"))
 
