@@ -95,7 +95,8 @@ def remove_repeats(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     found = later_copies(repeated_windows(docs, min_lines), min_lines)
     found = written(found.select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("runs").alias("__runs")), "lines-runs")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(text) == found["__body"]), "left")
+    # the runs grow with the corpus: a shuffle join at every size, never a broadcast
+    rows = docs.join(found.hint("merge"), docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(text) == found["__body"]), "left")
     lines = F.split(text, "\n", -1)
     # positions of the lines with a word, to turn runs of those into runs of all lines
     worded = F.filter(F.transform(lines, lambda x, p: F.when(has_word(x), p)), lambda p: p.isNotNull())
