@@ -8,18 +8,20 @@ folder.  Tables of requests and replies then meet a group's documents by
 from __future__ import annotations
 
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crashlens.llm.common import plain, scratch
 
 
-def dealt(docs: DataFrame, name: str, per_partition: int = 2) -> tuple[DataFrame, int]:
-    """(grp int, doc_id, text), number of groups.  ``spark.sql.shuffle.partitions`` is set
-    for the input's size, so ``per_partition`` times as many groups bound a group's size."""
+def dealt(docs: DataFrame, name: str, per_partition: int = 2) -> DataFrame:
+    """grp int, doc_id, text.  ``spark.sql.shuffle.partitions`` is set for the input's size,
+    so ``per_partition`` times as many groups bound a group's size."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = parts * per_partition
@@ -29,7 +31,15 @@ def dealt(docs: DataFrame, name: str, per_partition: int = 2) -> tuple[DataFrame
     writer.bucketBy(parts, "grp").saveAsTable(table)
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # the name only: an external table's files stay
-    return out, n
+    return out
+
+
+def destinations(table: DataFrame, bytes_each: int = 6 << 20) -> int:
+    """Parts that keys of the words of ``table`` are dealt to: one for so many bytes of text
+    (about a million words), so a part's size is bounded and the number of (group, part)
+    rows stays below that of the words."""
+    total = table.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, -(-total // bytes_each))
 
 
 def one(table: pa.Table, column: str):
@@ -37,19 +47,19 @@ def one(table: pa.Table, column: str):
     return table.column(column)[0].as_py()
 
 
-def word_values(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit value of each word of all texts, number of words of each text)."""
-    import xxhash
+class WordValues(dict):
+    """Word -> its 64-bit value, filled as words are met."""
 
-    digest = xxhash.xxh3_64_intdigest
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def word_values(texts: list[bytes], known: WordValues) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit value of each word of all texts, number of words of each text)."""
     words = [t.split() for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    for ws in words:
-        for w in ws:
-            if w not in known:
-                known[w] = digest(w)
-    get = known.__getitem__
-    return np.fromiter((get(w) for ws in words for w in ws), np.uint64, int(sizes.sum())), sizes
+    return np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum())), sizes
 
 
 _MULTIPLIER = 0x9E3779B97F4A7C15

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from crashlens.llm.common import written
-from crashlens.llm.groups import dealt, one, window_values, word_values
+from crashlens.llm.groups import WordValues, dealt, destinations, one, window_values, word_values
 
 #: Words in the first and in the longer prefix.
 SHORT, LONG = 8, 16
@@ -37,7 +37,7 @@ class Suffixes:
 
     def __init__(self, texts: list[str], window: int, levels: int):
         self.raw = [t.encode() for t in texts]
-        values, self.sizes = word_values(self.raw, {})
+        values, self.sizes = word_values(self.raw, WordValues())
         self.window = window
         stops = np.cumsum(self.sizes)
         left = np.repeat(stops, self.sizes) - np.arange(len(values))
@@ -122,7 +122,8 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """doc_id, text (the kept words joined by one space), n_words, n_removed."""
     if window <= LONG:
         raise ValueError(f"the window must be longer than the longer prefix ({LONG} words)")
-    table, n = dealt(docs, "substrings")
+    table = dealt(docs, "substrings")
+    n = destinations(table)
     id_type = table.schema["doc_id"].dataType.simpleString()
 
     def ask_short(group: pa.Table) -> pa.Table:
