@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +34,44 @@ REMEMBERED = 1_000_000
 SPECIAL = b"<|"
 
 
+# Byte-level vocabularies write a byte as itself where it is a visible Latin-1
+# character, and the others, in order, as the characters from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_WRITTEN = dict(zip((b for b in range(256) if b not in _VISIBLE), range(256, 512)))
+
+
 class WordIds(dict):
-    """Word (UTF-8) -> its ids as little-endian uint32 bytes, filled as words are met."""
+    """Word (UTF-8) -> its ids as little-endian uint32 bytes, filled as words are met.
+
+    The tokenizer's normalising and splitting leave a lower-case word of letters in
+    normal form as it is, and part a comma or full stop after an ASCII letter, so
+    such words go to the merges at once; all others take the whole way.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        self.short_cut = all(self.ids(w) == tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in map(str.encode, ("the", "unheard", "élève", "straße", "слово")))
+
+    def ids(self, word: bytes) -> list[int]:
+        return [t.id for t in self.merge(word.decode("latin-1").translate(_WRITTEN))]
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self[word] = array("I", self.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-        return ids
+        text = word.decode()
+        if self.short_cut and text.isalpha() and text.lower() == text and is_normalized("NFC", text):
+            out = array("I", self.ids(word)).tobytes()
+        elif self.short_cut and word[-1] in b".," and word[:-1].isalpha() and word.islower():
+            out = self[word[:-1]] + self[word[-1:]]
+        else:
+            out = array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = out
+        return out
 
 
 _KNOWN: dict[str, WordIds] = {}
