@@ -1,18 +1,66 @@
-"""Corpus preparation: documents through the text operators, one Parquet table per stage."""
+"""Corpus preparation: documents through the text operators, one Parquet table per stage.
+
+Every stage works on the rows that the one before it kept.  All but the last
+return the columns of the documents; where a stage changes texts, ``n_chars``
+follows if the documents have it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crashlens.llm import lines, near, packing, pii, toxicity
+from crashlens.llm.common import documents, labels, tokenizer_path, written
+
+
+def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns, with ``n_chars`` of the text as it is now."""
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        docs = docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+    return docs.select(*columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5."""
+    return toxicity.accepted(docs, labels(spark, sf_dir))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the later copies of runs of lines; a document whose words all lie
+    in such copies goes."""
+    edited = lines.remove_repeats(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c not in ("doc_id", "text")}))
+    stays = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    others = [F.col(f"own_{c}").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    named = edited.where(stays).select("doc_id", "text", *others)
+    return counted(named, docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the least id."""
+    gone = near.classes(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_text")).distinct()
+    text = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    return docs.join(gone.hint("merge"), (docs["doc_id"] == gone["gone_id"]) & (text == gone["gone_text"]), "left_anti")
+
 
-from crashlens.llm import packing
-from crashlens.llm.common import documents, tokenizer_path, written
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data replaced by their kind."""
+    return counted(pii.mask(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("pii", mask_personal_data),
+    ("packing", pack),
+]
 
 #: Models and token ids are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

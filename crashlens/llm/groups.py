@@ -62,6 +62,13 @@ def word_values(texts: list[bytes], known: WordValues) -> tuple[np.ndarray, np.n
     return np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum())), sizes
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -71,7 +78,7 @@ def window_values(values: np.ndarray, length: int) -> np.ndarray:
     def joined(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
         out = a * np.uint64(_MULTIPLIER)
         out ^= out >> np.uint64(29)
-        out[: len(a) - step] += b[step:]
+        out[: max(0, len(a) - step)] += b[step:]
         out *= np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(32)
         return out

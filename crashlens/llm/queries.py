@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crashlens.llm import exact, lines, packing, pieces, pii, quality, substrings, toxicity
+from crashlens.llm import exact, lines, near, packing, pieces, pii, quality, scoring, substrings, toxicity
 from crashlens.llm.common import documents, labels, tokenizer_path
 
 
@@ -34,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(documents(spark, sf_dir))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     rows = pieces.decode(pieces.encode(documents(spark, sf_dir), path), path)
@@ -53,7 +57,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_line_dedup, op4_quality_rules, op5_exact_dedup, op7_sentencepiece, op8_substring_dedup, op9_toxicity)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(documents(spark, sf_dir)).drop("digest")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_pii, op3_line_dedup, op4_quality_rules, op5_exact_dedup, op6_lm_scoring, op7_sentencepiece,
+    op8_substring_dedup, op9_toxicity, op10_near_dedup,
+)}
+
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""

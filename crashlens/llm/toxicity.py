@@ -122,20 +122,35 @@ def fit(
     return {t: float(x) for t, x in zip(vocab, w)}, float(bias)
 
 
+def scores(texts: list[str], weights: dict[bytes, float], bias: float) -> np.ndarray:
+    known, get = weights.keys(), weights.__getitem__
+    z = np.asarray([sum(map(get, sorted(terms(t) & known)), bias) for t in texts])
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+
 def score(docs: DataFrame, weights: dict[bytes, float], bias: float) -> DataFrame:
     """doc_id, score of every whole text."""
     source = plain(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, get = weights.keys(), weights.__getitem__
         for batch in slices(batches):
-            z = np.asarray([sum(map(get, sorted(terms(t) & known)), bias) for t in batch.column("text").to_pylist()])
             schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("score", pa.float64())])
-            yield as_batch(schema, batch.column("doc_id"), 1 / (1 + np.exp(-np.clip(z, -700, 700))))
+            yield as_batch(schema, batch.column("doc_id"), scores(batch.column("text").to_pylist(), weights, bias))
 
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, fold: int = 5, threshold: float = 0.5, **training) -> DataFrame:
+    """The documents, all columns, whose score is below ``threshold``."""
+    weights, bias = fit(docs, labels, F.coalesce(crc_mod(F.col("doc_id"), fold) == 0, F.lit(False)), **training)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(scores([t or "" for t in batch.column("text").to_pylist()], weights, bias) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, fold: int = 5, **training) -> DataFrame:
     """doc_id, held_out (crc32 of the id as text, mod ``fold``, is 0), score, predicted."""
     held = F.coalesce(crc_mod(F.col("doc_id"), fold) == 0, F.lit(False))
