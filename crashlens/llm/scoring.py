@@ -12,8 +12,9 @@ The counts are of the whole training part and have no bound, so nobody holds the
 all.  Documents are dealt into groups; a group sends each of its distinct words and
 word pairs once, with its own training counts, and gets back the corpus counts:
 the states and arcs that its texts can touch.  Then each text is read once, left to
-right, carrying the state and adding up the arcs' weights.  Words are told apart
-by their bytes, pairs by 64-bit values.
+right, carrying the state and adding up the arcs' weights, for all K at once; the
+best K over all groups picks the score.  Words and pairs are told apart by 64-bit
+values inside parts of about a million words, however large the corpus.
 
 Edge cases: null and empty texts are the end alone; without training documents
 every outcome is the same one and all scores are 0; a null id trains and is not
@@ -36,91 +37,99 @@ from crashlens.llm.groups import dealt, destinations, mixed, one
 #: The end of a text, and the state before its first word; no word is empty or a space.
 TEXT_END, TEXT_START = b"", b" "
 #: Values of K to choose from.
-GRID = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0)
+GRID = (1.0, 10.0, 100.0, 1000.0, 10000.0)
 
-ENTRY = np.dtype([("pair", "<u8"), ("n", "<u4")])
-_WORDS = "grp int, word binary, n long, parts int, counts binary"
-WORDS = pa.schema([("grp", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("parts", pa.int32()), ("counts", pa.binary())])
+_ASKED = "grp int, part int, words binary, word_counts binary, pairs binary, pair_counts binary"
+ASKED = pa.schema([("grp", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("words", "word_counts", "pairs", "pair_counts"))])
+# what a part knows of all its words stands in its first answer
+FACTS = ("total", "kinds", "once", "twice")
+_ANSWER = "grp int, part int, word_counts binary, pair_counts binary, " + ", ".join(f"{f} long" for f in FACTS)
+
+
+class Index(dict):
+    """Word -> its number among the distinct words met."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
 
 class Texts:
-    """The tokens of a group's texts as numbers of its distinct words (``names``)."""
+    """The tokens of a group's texts as numbers of its distinct words and word pairs,
+    which are sorted by the part they belong to."""
 
-    def __init__(self, group: pa.Table):
+    def __init__(self, group: pa.Table, parts: int):
         tokens = [[*t.encode().lower().split(), TEXT_END] for t in group.column("text").to_pylist()]
         self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        index: dict[bytes, int] = {TEXT_END: 0, TEXT_START: 1}
-        self.at = np.fromiter((index.setdefault(w, len(index)) for w in chain.from_iterable(tokens)), np.int64, int(self.sizes.sum()))
-        self.names = list(index)
-        self.state = np.empty_like(self.at)  # what stands before each token
-        self.state[1:] = self.at[:-1]
+        index = Index({TEXT_END: 0, TEXT_START: 1})
+        at = np.fromiter(map(index.__getitem__, chain.from_iterable(tokens)), np.int64, int(self.sizes.sum()))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.state[self.starts] = 1
+        state = np.empty_like(at)  # what stands before each token
+        state[1:] = at[:-1]
+        state[self.starts] = 1
         self.train = np.repeat(np.asarray(group.column("train").to_pylist(), bool), self.sizes)
-        value = np.fromiter(map(xxhash.xxh3_64_intdigest, self.names), np.uint64, len(self.names))
-        self.pairs, self.pair_at = np.unique(mixed(value[self.state] * np.uint64(3) + mixed(value[self.at])), return_inverse=True)
-
-    def parts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(order of the pairs by part, the parts in that order)."""
-        part = ((self.pairs >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+        digests = b"".join(map(xxhash.xxh3_128_digest, index))
+        value = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        self.word_part = (value[:, 0] % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(self.word_part, kind="stable")
+        self.words, self.word_part = value[order, 1], self.word_part[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.at, self.state, self.end, self.start = place[at], place[state], int(place[0]), int(place[1])
+        pairs, pair_at = np.unique(mixed(value[state, 1] * np.uint64(3) + mixed(value[at, 1])), return_inverse=True)
+        part = (mixed(pairs) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        return order, part[order]
+        self.pairs, self.pair_part = pairs[order], part[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pair_at = place[pair_at]
 
 
-def asked_words(group: pa.Table) -> pa.Table:
-    texts = Texts(group)
-    n = np.bincount(texts.at[texts.train], minlength=len(texts.names))
-    rows = pa.array(texts.names, pa.binary())
-    return pa.table([pa.array([one(group, "grp")] * len(n), pa.int32()), rows, pa.array(n, pa.int64())], names=["grp", "word", "n"])
+def cut(part: np.ndarray, *columns: np.ndarray) -> dict[int, list[bytes]]:
+    """Part -> the columns' bytes for it; ``part`` is sorted."""
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    numbers = part[np.concatenate([[0], cuts])] if len(part) else []
+    return {int(p): [x.tobytes() for x in xs] for p, *xs in zip(numbers, *(np.split(c, cuts) for c in columns))}
 
 
-def asked_pairs(parts: int):
+def asked(parts: int):
     def run(group: pa.Table) -> pa.Table:
-        texts = Texts(group)
-        order, part = texts.parts(parts)
-        entries = np.empty(len(order), ENTRY)
-        entries["pair"] = texts.pairs[order]
-        entries["n"] = np.bincount(texts.pair_at[texts.train], minlength=len(order))[order]
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        rows = [(int(p[0]), e.tobytes()) for p, e in zip(np.split(part, cuts), np.split(entries, cuts))]
-        grp = pa.array([one(group, "grp")] * len(rows), pa.int32())
-        return pa.table([grp, pa.array([p for p, _ in rows], pa.int32()), pa.array([e for _, e in rows], pa.binary())], names=["grp", "part", "entries"])
+        texts = Texts(group, parts)
+        n = np.bincount(texts.at[texts.train], minlength=len(texts.words)).astype("<u4")
+        pair_n = np.bincount(texts.pair_at[texts.train], minlength=len(texts.pairs)).astype("<u4")
+        words, pairs = cut(texts.word_part, texts.words, n), cut(texts.pair_part, texts.pairs, pair_n)
+        grp, none = one(group, "grp"), [b"", b""]
+        rows = [(grp, p, *words.get(p, none), *pairs.get(p, none)) for p in sorted({*words, *pairs})]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), ASKED)], schema=ASKED)
 
     return run
 
 
-def answered_pairs(table: pa.Table) -> pa.Table:
-    """The corpus counts of one part's pairs, for each group in the order it sent them."""
-    sent = [np.frombuffer(e, ENTRY) for e in table.column("entries").to_pylist()]
-    every = np.concatenate(sent)
-    _, at = np.unique(every["pair"], return_inverse=True)
-    count = np.minimum(np.bincount(at, every["n"])[at], 2**32 - 1).astype("<u4")
-    back = np.split(count, np.cumsum([len(s) for s in sent])[:-1])
-    none = pa.nulls(len(sent), pa.binary())
-    return pa.table([table.column("grp"), none, pa.nulls(len(sent), pa.int64()), table.column("part"), pa.array([c.tobytes() for c in back], pa.binary())], schema=WORDS)
+def added(keys: list[bytes], counts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """(for each sender the sums of its keys, the sum of each distinct key)."""
+    sent = [np.frombuffer(k, "<u8") for k in keys]
+    distinct, at = np.unique(np.concatenate(sent), return_inverse=True)
+    total = np.bincount(at, np.frombuffer(b"".join(counts), "<u4"), len(distinct)).astype("<i8")
+    return [x.tobytes() for x in np.split(np.minimum(total, 2**32 - 1).astype("<u4")[at], np.cumsum([len(x) for x in sent])[:-1])], total
 
 
-class Counts:
-    """Corpus counts for each token of a group: its word, its state, the pair."""
+def answered(table: pa.Table) -> pa.Table:
+    columns = {c: table.column(c).to_pylist() for c in ("words", "word_counts", "pairs", "pair_counts")}
+    words, total = added(columns["words"], columns["word_counts"])
+    pairs, _ = added(columns["pairs"], columns["pair_counts"])
+    facts = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
+    rest = [None] * (len(words) - 1)
+    return pa.table(
+        [table.column("grp"), table.column("part"), pa.array(words, pa.binary()), pa.array(pairs, pa.binary()), *(pa.array([f, *rest], pa.int64()) for f in facts)],
+        names=["grp", "part", "word_counts", "pair_counts", *FACTS])
 
-    def __init__(self, texts: Texts, replies: pa.Table, parts: int):
-        columns = [replies.column(c).to_pylist() for c in ("word", "n", "parts", "counts")]
-        known = {w: n for w, n, _, _ in zip(*columns) if w is not None}
-        n = np.asarray([known.get(w, 0) for w in texts.names], np.int64)
-        n[1] = n[0]  # as many starts as ends
-        by_part = {p: np.frombuffer(c, "<u4") for w, _, p, c in zip(*columns) if w is None}
-        order, part = texts.parts(parts)
-        pair = np.empty(len(order), np.int64)
-        pair[order] = np.concatenate([by_part[p] for p in np.unique(part).tolist()])
-        self.word, self.state, self.pair = n[texts.at], n[texts.state], pair[texts.pair_at]
 
-
-def log_probabilities(word, state, pair, total: int, kinds: int, discount: float, k: float) -> np.ndarray:
-    """log10 of the arcs' (or failure paths') weights for tokens with these counts."""
+def log_probabilities(word, state, pair, total: int, kinds: int, discount: float, grid) -> np.ndarray:
+    """log10 of the arcs' (or failure paths') weights for tokens with these counts; a row for each K."""
     if not total:
-        return np.zeros(len(word))
+        return np.zeros((len(grid), len(word)))
     root = np.where(word > 0, (word - discount) / total, discount * kinds / total)
-    return np.log10((pair + k * root) / (state + k))
+    return np.stack([np.log10((pair + k * root) / (state + k)) for k in grid])
 
 
 def score(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
@@ -130,47 +139,33 @@ def score(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
     id_type = table.schema["doc_id"].dataType.simpleString()
     parts = destinations(table)
     by_group = table.groupBy("grp")
-
-    words = by_group.applyInArrow(asked_words, "grp int, word binary, n long")
-    words = written(words.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("grp").alias("groups")), "scoring-words")
-    some = F.col("n") > 0
-    real = some & (F.col("word") != F.lit(TEXT_START))  # the start is a state, no outcome
-    facts = words.agg(
-        F.coalesce(F.sum(F.when(real, F.col("n"))), F.lit(0)).alias("total"), F.count_if(real).alias("kinds"),
-        F.count_if(real & (F.col("n") == 1)).alias("once"), F.count_if(real & (F.col("n") == 2)).alias("twice"),
-    ).first()
+    answers = written(by_group.applyInArrow(asked(parts), _ASKED).groupBy("part").applyInArrow(answered, _ANSWER), "scoring-answers")
+    facts = answers.agg(*[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in FACTS]).first()
     total, kinds = facts["total"], facts["kinds"]
     discount = min(0.9, max(0.1, facts["once"] / max(1, facts["once"] + 2 * facts["twice"])))
 
-    pairs = by_group.applyInArrow(asked_pairs(parts), "grp int, part int, entries binary")
-    pairs = written(pairs.groupBy("part").applyInArrow(answered_pairs, _WORDS), "scoring-pairs")
-    answers = words.select(F.explode("groups").alias("grp"), "word", "n", F.lit(None).cast("int").alias("parts"), F.lit(None).cast("binary").alias("counts"))
-    answers = written(answers.unionByName(pairs), "scoring-answers")
-
-    def left_out(group: pa.Table, replies: pa.Table) -> pa.Table:
-        """For each K: the training tokens' log probability, each from the other tokens' counts."""
-        sums = np.zeros(len(GRID))
-        if group.num_rows:
-            texts = Texts(group)
-            counts = Counts(texts, replies, parts)
-            word, state, pair = (x[texts.train] - 1 for x in (counts.word, counts.state, counts.pair))
-            sums = np.asarray([log_probabilities(word, state, pair, total, kinds, discount, k).sum() for k in GRID])
-        return pa.table([pa.array(np.arange(len(GRID)), pa.int32()), pa.array(sums)], names=["k", "sum"])
-
-    tried = by_group.cogroup(answers.groupBy("grp")).applyInArrow(left_out, "k int, sum double")
-    sums = {r["k"]: r["sum"] for r in tried.groupBy("k").agg(F.sum("sum").alias("sum")).collect()}  # one row per K
-    best = GRID[max(range(len(GRID)), key=lambda i: sums.get(i, 0.0))]
-
     def read(group: pa.Table, replies: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", group.schema.field("doc_id").type), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+        lists = pa.list_(pa.float64())
+        schema = pa.schema([("doc_id", group.schema.field("doc_id").type), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("scores", lists), ("left_out", lists)])
         if not group.num_rows:
             return schema.empty_table()
-        texts = Texts(group)
-        counts = Counts(texts, replies, parts)
-        base = np.log10((counts.word + 0.5) / (total + 0.5 * (kinds + 1)))
-        value = log_probabilities(counts.word, counts.state, counts.pair, total, kinds, discount, best)
-        per_text = [np.add.reduceat(x, texts.starts) for x in ((counts.word > 0).astype(np.int64), base, value)]
-        return pa.table([group.column("doc_id"), pa.array(texts.sizes), *map(pa.array, per_text)], schema=schema)
-
-    scored = by_group.cogroup(answers.groupBy("grp")).applyInArrow(read, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+        texts = Texts(group, parts)
+        order = np.argsort(replies.column("part").to_numpy())
+        gathered = [np.frombuffer(b"".join(replies.column(c).take(pa.array(order)).to_pylist()), "<u4").astype(float) for c in ("word_counts", "pair_counts")]
+        n, pair = gathered[0], gathered[1][texts.pair_at]
+        n[texts.start] = n[texts.end]  # as many starts as ends
+        word, state = n[texts.at], n[texts.state]
+        known = (word > 0).astype(np.int64)
+        base = np.log10((word + 0.5) / (total + 0.5 * (kinds + 1)))
+        add = lambda x: np.add.reduceat(x, texts.starts, axis=-1)
+        scores = add(log_probabilities(word, state, pair, total, kinds, discount, GRID))
+        # each training token from the other tokens' counts
+        left = np.where(texts.train, log_probabilities(*(np.maximum(x - 1, 0) for x in (word, state, pair)), total, kinds, discount, GRID), 0)
+        rows = [pa.ListArray.from_arrays(pa.array(np.arange(len(texts.sizes) + 1, dtype=np.int32) * len(GRID)), pa.array(x.T.ravel())) for x in (scores, add(left))]
+        return pa.table([group.column("doc_id"), pa.array(texts.sizes), pa.array(add(known)), pa.array(add(base)), *rows], schema=schema)
+
+    columns = f"doc_id {id_type}, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"
+    scored = written(by_group.cogroup(answers.drop(*FACTS).groupBy("grp")).applyInArrow(read, columns), "scoring-scores")
+    sums = scored.agg(*[F.coalesce(F.sum(F.col("left_out")[i]), F.lit(0.0)).alias(str(i)) for i in range(len(GRID))]).first()
+    best = max(range(len(GRID)), key=lambda i: sums[i])
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"))
