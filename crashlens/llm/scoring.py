@@ -71,7 +71,7 @@ class Texts:
         digests = b"".join(map(xxhash.xxh3_128_digest, index))
         value = np.frombuffer(digests, "<u8").reshape(-1, 2)
         self.word_part = (value[:, 0] % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(self.word_part, kind="stable")
+        order = np.lexsort((value[:, 1], self.word_part))  # whatever the order of the group's rows
         self.words, self.word_part = value[order, 1], self.word_part[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
