@@ -40,7 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the least id."""
     gone = near.classes(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_text")).distinct()
-    text = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    text = near.text_digest(F.coalesce(F.col("text"), F.lit("")))
     return docs.join(gone.hint("merge"), (docs["doc_id"] == gone["gone_id"]) & (text == gone["gone_text"]), "left_anti")
 
 

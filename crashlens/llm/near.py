@@ -3,7 +3,9 @@
 A text is its sequence of shingles of five words.  Each occurrence is labelled
 with its number among equal shingles; for each of ``SKETCHES`` hash functions the
 ``PICKED`` smallest occurrences, in text order, make a key.  Texts that share a
-key are candidates.  A pair is linked if its similarity is 0.8 or more: with M
+key are candidates, if they agree in at least ``AGREE`` keys (a pair with a
+similarity of 0.8 fails that with a chance of 2 in 100,000) and their lengths allow
+the similarity.  A pair is linked if its similarity is 0.8 or more: with M
 the longest common subsequence of the two shingle sequences, M / (a + b - M).  At
 that similarity no aligned pair lies further from the diagonal than (a + b) / 9,
 so an alignment inside that band is exact.  Texts below five words are one
@@ -34,13 +36,15 @@ from pyspark.sql import functions as F
 from crashlens.llm.common import as_batch, slices, written
 from crashlens.llm.groups import WordValues, mixed, window_values, word_values
 
-WORDS, SKETCHES, PICKED = 5, 12, 2
+WORDS, SKETCHES, PICKED, AGREE = 5, 20, 3, 2
+#: Least similarity of a link.
+LEAST = 0.8
 #: Members compared with each one in a round, and members of a block of a large bucket.
-NEIGHBOURS, BLOCK = 8, 4096
+NEIGHBOURS, BLOCK = 4, 4096
 #: Sketches whose buckets' leaders the first round compares.
 FIRST = 3
 
-_SEEDS = np.random.default_rng(20).integers(1, 2**63, SKETCHES, dtype=np.uint64)
+_SEEDS = np.random.default_rng(20).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(values: np.ndarray) -> np.ndarray:
@@ -64,7 +68,7 @@ def sketch(x: np.ndarray) -> list[int]:
     take = min(PICKED, len(x))
     out: list[int] = []
     for seeds in np.array_split(_SEEDS, 1 if len(x) < 100_000 else SKETCHES):
-        z = mixed(labelled[None, :] ^ seeds[:, None])
+        z = labelled[None, :] * seeds[:, None]  # the labels are scrambled already
         lowest = np.sort(np.argpartition(z, take - 1, axis=1)[:, :take], axis=1)
         out += [xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63) for values in x[lowest]]
     return out
@@ -118,7 +122,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (SHA-256 of the text), keys of every row with an id."""
+    """doc_id, digest (of the text), n (shingles), keys of every row with an id."""
     source = texts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,19 +131,30 @@ def sketched(docs: DataFrame) -> DataFrame:
             if len(known) > 500_000:
                 known.clear()
             values, sizes = word_values([t.encode() for t in batch.column("text").to_pylist()], known)
-            keys = [sketch(shingles(v)) for v in np.split(values, np.cumsum(sizes)[:-1])]
-            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
-            yield as_batch(schema, batch.column("doc_id"), batch.column("digest"), keys)
+            parts = [shingles(v) for v in np.split(values, np.cumsum(sizes)[:-1])]
+            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("digest", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+            yield as_batch(schema, batch.column("doc_id"), batch.column("digest"), [len(x) for x in parts], [sketch(x) for x in parts])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, digest binary, keys array<long>")
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, digest binary, n int, keys array<long>")
 
 
 def texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.where("doc_id IS NOT NULL").select("doc_id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
+    return docs.where("doc_id IS NOT NULL").select("doc_id", text_digest(text).alias("digest"), text.alias("text"))
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+def text_digest(text):
+    """16 bytes of the text's SHA-256."""
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+
+
+def alike(one, other):
+    """Whether two members agree in enough keys (by two bytes of each) and in length."""
+    same = [(F.substring(one["marks"], 2 * i + 1, 2) == F.substring(other["marks"], 2 * i + 1, 2)).cast("int") for i in range(SKETCHES)]
+    return (sum(same[1:], same[0]) >= AGREE) & (F.least(one["n"], other["n"]) >= LEAST * F.greatest(one["n"], other["n"]))
+
+
+def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (a, b) of digests whose texts are similar enough."""
     left = bodies.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
     right = bodies.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
@@ -151,66 +166,78 @@ def verified(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
                 columns = [batch.column(c).to_pylist() for c in ("text_a", "text_b")]
                 for t in {*columns[0], *columns[1]}:
                     found[t] = shingles(word_values([t.encode()], WordValues())[0])
-                good = pa.array([similarity(found[x], found[y], least) >= least for x, y in zip(*columns)], pa.bool_())
+                good = pa.array([similarity(found[x], found[y], LEAST) >= LEAST for x, y in zip(*columns)], pa.bool_())
                 yield batch.select(["a", "b"]).filter(good)
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp (least node of its component) of every node with a link."""
+    """node, comp (least node of its component) of every node with a link: least labels
+    over links, then over labels, until nothing changes."""
     edges = written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    comp = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("c")).select("node", F.least("node", "c").alias("comp")), "near-components")
+    comp = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("c")).select("node", F.least("node", "c").alias("comp"), F.lit(0).alias("moved")), "near-components")
     while True:
-        near = edges.join(comp, edges["b"] == comp["node"]).groupBy("a").agg(F.min("comp").alias("c"))
-        step = comp.join(near, comp["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
+        sent = edges.join(comp, edges["b"] == comp["node"]).select(F.col("a").alias("node"), F.col("comp"), F.lit(None).cast("binary").alias("old"))
+        every = sent.unionAll(comp.select("node", "comp", F.col("comp").alias("old")))
+        step = every.groupBy("node").agg(F.min("comp").alias("c"), F.max("old").alias("old"))
         up = comp.select(F.col("node").alias("n2"), F.col("comp").alias("c2"))
-        step = written(step.join(up, step["comp"] == up["n2"]).select("node", "old", F.least("comp", "c2").alias("comp")), "near-components")
-        comp = step.select("node", "comp")
-        if step.where("old <> comp").isEmpty():
-            return comp
+        step = step.join(up, step["c"] == up["n2"]).select("node", F.least("c", "c2").alias("comp"), "old")
+        comp = written(step.select("node", "comp", (F.col("comp") != F.col("old")).cast("int").alias("moved")), "near-components")
+        if comp.where("moved > 0").isEmpty():
+            return comp.drop("moved")
+
+
+MEMBER = ("digest", "n", "marks")
 
 
 def leader_pairs(members: DataFrame) -> DataFrame:
-    leaders = members.where(F.col("s") < FIRST).groupBy("s", "key").agg(F.min("digest").alias("a"))
-    return members.join(leaders, ["s", "key"]).where("digest <> a").select("a", F.col("digest").alias("b")).distinct()
+    """a (a bucket's leader, its least digest) and b of the first buckets."""
+    leaders = members.where(F.col("s") < FIRST).groupBy("s", "key").agg(F.min(F.struct(*MEMBER)).alias("leader"))
+    met = members.join(leaders, ["s", "key"]).where((F.col("digest") != F.col("leader.digest")) & alike(F.struct(*MEMBER), F.col("leader")))
+    return met.select(F.col("leader.digest").alias("a"), F.col("digest").alias("b")).distinct()
 
 
 def neighbour_pairs(members: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
     """Pairs of different components near each other in this round's order of each bucket."""
-    own = members.join(comp, members["digest"] == comp["node"], "left").select("s", "key", "digest", F.coalesce("comp", "digest").alias("comp"))
-    several = own.groupBy("s", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y")
-    drawn = F.xxhash64("digest", "s", F.lit(turn))
-    placed = own.join(several.select("s", "key", "n"), ["s", "key"]).withColumn("drawn", drawn)
-    placed = placed.withColumn("block", F.pmod("drawn", F.ceil(F.col("n") / BLOCK)))
+    own = members.join(comp, members["digest"] == comp["node"], "left").select("s", "key", *MEMBER, F.coalesce("comp", "digest").alias("comp"))
+    several = own.groupBy("s", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y")
+    placed = own.join(several.select("s", "key", "size"), ["s", "key"]).withColumn("drawn", F.xxhash64("digest", "s", F.lit(turn)))
+    placed = placed.withColumn("block", F.pmod("drawn", F.ceil(F.col("size") / BLOCK)))
     order = Window.partitionBy("s", "key", "block").orderBy("drawn", "digest")
-    following = F.collect_list(F.struct("digest", "comp")).over(order.rowsBetween(1, NEIGHBOURS))
-    pairs = placed.withColumn("following", following).select("digest", "comp", F.explode("following").alias("other")).where("comp <> other.comp")
+    following = F.collect_list(F.struct(*MEMBER, "comp")).over(order.rowsBetween(1, NEIGHBOURS))
+    pairs = placed.withColumn("following", following).select(*MEMBER, "comp", F.explode("following").alias("other"))
+    pairs = pairs.where((F.col("comp") != F.col("other.comp")) & alike(F.struct(*MEMBER), F.col("other")))
     return pairs.select(F.least("digest", "other.digest").alias("a"), F.greatest("digest", "other.digest").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def classes(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, digest of its text, class_id (least doc_id of the
     class), class_size, kept."""
     rows = written(sketched(docs), "near-sketches")
-    nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    placed = nodes.select("digest", F.posexplode("keys").alias("s", "key"))
-    shared = placed.groupBy("s", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    marks = F.unhex(F.array_join(F.transform("keys", lambda k: F.lpad(F.hex(F.shiftrightunsigned(k, 48)), 4, "0")), ""))
+    placed = nodes.select("digest", "n", marks.alias("marks"), F.posexplode("keys").alias("s", "key"))
+    shared = placed.groupBy("s", "key").agg(F.count("*").alias("size")).where("size > 1").select("s", "key")
     members = written(placed.join(shared, ["s", "key"]), "near-members")
     wanted = nodes.select("digest", "rep").join(members.select("digest").distinct(), "digest").select(F.col("digest").alias("d"), "rep")
     source = texts(docs)
+    # the wanted texts grow with the corpus: a shuffle join at every size
     bodies = source.join(wanted.hint("merge"), (source["doc_id"] == wanted["rep"]) & (source["digest"] == wanted["d"]), "left_semi")
     bodies = written(bodies.select("digest", "text").dropDuplicates(["digest"]), "near-texts")
     tested = written(leader_pairs(members), "near-pairs")
-    links = written(verified(tested, bodies, least), "near-links")
+    links = written(verified(tested, bodies), "near-links")
+    # members linked to one leader are connected, so the second round leaves their pairs out
+    comp = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp"))
     turn = 1
     while True:
-        comp = components(links)
         pairs = written(neighbour_pairs(members, comp, turn).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        new = written(verified(pairs, bodies, least), "near-links")
+        new = written(verified(pairs, bodies), "near-links")
         if new.isEmpty():
             break
         links, tested, turn = links.unionAll(new), tested.unionAll(pairs), turn + 1
+        comp = components(links)
+    comp = components(links) if turn == 1 else comp
     own = rows.join(comp, rows["digest"] == comp["node"], "left").select("doc_id", "digest", F.coalesce("comp", "digest").alias("comp"))
     own = written(own, "near-own")
     groups = own.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
