@@ -41,6 +41,8 @@ WORDS, SKETCHES, PICKED, AGREE = 5, 20, 3, 2
 LEAST = 0.8
 #: Members compared with each one in a round, and members of a block of a large bucket.
 NEIGHBOURS, BLOCK = 4, 4096
+#: Bytes of text that a Python worker handles at a time.
+SLICE = 2 << 20
 #: Sketches whose buckets' leaders the first round compares.
 FIRST = 3
 
@@ -127,8 +129,8 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordValues()
-        for batch in slices(batches):
-            if len(known) > 500_000:
+        for batch in slices(batches, most=SLICE):
+            if len(known) > 100_000:
                 known.clear()
             values, sizes = word_values([t.encode() for t in batch.column("text").to_pylist()], known)
             parts = [shingles(v) for v in np.split(values, np.cumsum(sizes)[:-1])]
@@ -160,8 +162,8 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     right = bodies.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for wide in slices(batches, "text_b"):
-            for batch in slices([wide], "text_a"):
+        for wide in slices(batches, "text_b", SLICE):
+            for batch in slices([wide], "text_a", SLICE):
                 found: dict[str, np.ndarray] = {}
                 columns = [batch.column(c).to_pylist() for c in ("text_a", "text_b")]
                 for t in {*columns[0], *columns[1]}:
