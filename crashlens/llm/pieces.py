@@ -1,64 +1,56 @@
-"""SentencePiece encoding and decoding with a distinct-chunk table.
+"""SentencePiece encoding and decoding through a distinct-chunk table.
 
 White space becomes a marker, and no piece of the model holds a marker after
-another character, so no merge crosses a chunk ``markers + word``.  Each task
-keeps a table of the distinct chunks it met, has the library segment each of
-them once, and joins the ids back by position.  ``encode`` checks the model's
-vocabulary for that property and refuses a model without it.
+another character, so no merge crosses a chunk ``markers + word``.  Documents are
+dealt into groups; each group sends its distinct chunks to the parts of one chunk
+table for the corpus.  A part has the library segment each of its distinct chunks
+once, whoever sent it, and returns the ids.  The group then joins the ids back by
+position: a text's ids are its chunks' ids in order.  ``encode`` checks the model's
+vocabulary for the property and refuses a model without it.
 
 Edge cases: a null text counts as empty, an empty text has the end id alone;
 runs of spaces, literal marker characters and texts without any space take the
-same path; rows are independent, so repeated rows and null ids stay as they are.
+same path; repeated rows and null ids stay as they are; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from crashlens.llm.common import as_batch, plain, slices
+from crashlens.llm.common import as_batch, written
+from crashlens.llm.groups import dealt, destinations, one
 
 MARK = "▁"
 #: A chunk: markers and the characters up to the next marker.
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Most distinct chunks whose ids a Python worker remembers (about 200 bytes each).
-REMEMBERED = 700_000
+_MODELS: dict[str, object] = {}
 
+_ASKED = "grp int, part int, chunks array<string>"
+ASKED = pa.schema([("grp", pa.int32()), ("part", pa.int32()), ("chunks", pa.list_(pa.string()))])
+_ANSWER = "grp int, part int, sizes binary, ids binary"
+ANSWER = pa.schema([("grp", pa.int32()), ("part", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
 
-class ChunkIds(dict):
-    """Chunk without its first marker -> its ids as int32 bytes, filled as chunks are met."""
 
-    def __init__(self, path: str):
+def model(path: str):
+    """The library's processor, once per Python worker."""
+    if path not in _MODELS:
         import sentencepiece
 
-        super().__init__()
-        self.model = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
         if any(MARK in p.lstrip(MARK) for p in map(sp.id_to_piece, range(sp.vocab_size()))):
             raise ValueError("a piece of this model crosses a whitespace marker")
         if sp.encode_as_pieces(" a") == sp.encode_as_pieces("a"):
             raise ValueError("this model drops extra white space or adds no first marker")
-        self.marker = sp.piece_to_id(MARK)
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.model.encode(chunk.replace(MARK, " "), num_threads=1) if chunk else [self.marker]
-        self[chunk] = out = array("i", ids).tobytes()
-        return out
-
-
-_KNOWN: dict[str, ChunkIds] = {}
-
-
-def known(path: str) -> ChunkIds:
-    if path not in _KNOWN:
-        _KNOWN[path] = ChunkIds(path)
-    return _KNOWN[path]
+        _MODELS[path] = sp
+    return _MODELS[path]
 
 
 def chunks(text: str) -> list[str]:
@@ -69,26 +61,70 @@ def chunks(text: str) -> list[str]:
     return [c[1:] for c in _CHUNK.findall(MARK + text.replace(" ", MARK))] if text else []
 
 
-def encode_texts(texts: list[str], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, all ids one after another), each text with the end id."""
-    get, end = known(path).__getitem__, array("i", [end_id]).tobytes()
-    rows = [b"".join(map(get, chunks(t))) + end for t in texts]
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
-    return offsets, np.frombuffer(b"".join(rows), np.int32)
+def segment(some: list[str], path: str) -> list[list[int]]:
+    """Ids of each chunk."""
+    sp = model(path)
+    alone = [sp.piece_to_id(MARK)]  # a marker by itself; the library takes it for an empty text
+    return [ids if c else alone for c, ids in zip(some, sp.encode([c.replace(MARK, " ") for c in some], num_threads=1))]
 
 
-def encode(docs: DataFrame, model_path: str, end_id: int = 2) -> DataFrame:
-    """doc_id, ids array<int> of every text, the end id last."""
-    source = plain(docs)
+def by_part(distinct: set[str], parts: int) -> list[tuple[int, list[str]]]:
+    """(part, its chunks in order) of a group's distinct chunks; the order is the chunks' own."""
+    out: dict[int, list[str]] = {}
+    for c in sorted(distinct):
+        out.setdefault(xxhash.xxh3_64_intdigest(c) % parts, []).append(c)
+    return sorted(out.items())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
-            offsets, ids = encode_texts(batch.column("text").to_pylist(), model_path, end_id)
-            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("ids", pa.list_(pa.int32()))])
-            yield as_batch(schema, batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+def ask(parts: int):
+    def run(group: pa.Table) -> pa.Table:
+        rows = by_part({*chain.from_iterable(map(chunks, group.column("text").to_pylist()))}, parts)
+        grp = [one(group, "grp")] * len(rows)
+        return pa.table([pa.array(grp, pa.int32()), pa.array([p for p, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.list_(pa.string()))], schema=ASKED)
+
+    return run
+
+
+def answer(path: str):
+    """One part of the chunk table: each distinct chunk is segmented once."""
+    def run(table: pa.Table) -> pa.Table:
+        sent = table.column("chunks").to_pylist()
+        distinct = list({*chain.from_iterable(sent)})
+        known = {c: np.asarray(ids, "<i4").tobytes() for c, ids in zip(distinct, segment(distinct, path))}
+        ids = [[known[c] for c in cs] for cs in sent]
+        sizes = [np.asarray([len(x) // 4 for x in xs], "<u4").tobytes() for xs in ids]
+        return pa.table([table.column("grp"), table.column("part"), pa.array(sizes, pa.binary()), pa.array([b"".join(xs) for xs in ids], pa.binary())], schema=ANSWER)
+
+    return run
+
+
+def encode(docs: DataFrame, model_path: str, end_id: int = 2) -> DataFrame:
+    """doc_id, ids array<int> of every text, the end id last."""
+    table = dealt(docs, "pieces")
+    id_type = table.schema["doc_id"].dataType.simpleString()
+    parts = destinations(table)
+    asked = table.groupBy("grp").applyInArrow(ask(parts), _ASKED)
+    answers = written(asked.groupBy("part").applyInArrow(answer(model_path), _ANSWER), "pieces-chunks")
+    end = np.asarray([end_id], "<i4").tobytes()
+
+    def join(group: pa.Table, replies: pa.Table) -> pa.Table:
+        schema = pa.schema([("doc_id", group.schema.field("doc_id").type), ("ids", pa.list_(pa.int32()))])
+        if not group.num_rows:
+            return schema.empty_table()
+        split = list(map(chunks, group.column("text").to_pylist()))
+        replied = {p: (np.frombuffer(s, "<u4"), i) for p, s, i in zip(*(replies.column(c).to_pylist() for c in ("part", "sizes", "ids")))}
+        known: dict[str, bytes] = {}
+        for part, cs in by_part({*chain.from_iterable(split)}, parts):
+            sizes, ids = replied[part]
+            stops = np.cumsum(sizes, dtype=np.int64) * 4
+            known.update(zip(cs, (ids[a:b] for a, b in zip((stops - sizes * 4).tolist(), stops.tolist()))))
+        rows = [b"".join(map(known.__getitem__, cs)) + end for cs in split]
+        offsets = np.zeros(len(rows) + 1, np.int32)
+        np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+        return pa.table([group.column("doc_id"), ids], schema=schema)
+
+    return table.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(join, f"doc_id {id_type}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -96,7 +132,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     id_type = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = known(model_path).model
+        sp = model(model_path)
         for batch in batches:
             lists = batch.column("ids")
             texts = [sp.decode(lists[i].values.to_numpy(zero_copy_only=False).tolist()) for i in range(batch.num_rows)]
