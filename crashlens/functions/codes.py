@@ -91,10 +91,3 @@ def decode(col: Column | str, mapping: dict, else_label: str | None = None) -> C
 def decode_domain(col: Column | str, domain: str) -> Column:
     mapping, else_label = SQL_DOMAINS[domain]
     return decode(col, mapping, else_label)
-
-
-def codes_table(spark):
-    """All domains as a small ``(domain, code, label)`` DataFrame (for users/joins)."""
-    rows = [(d, int(k), v) for d, (m, _) in SQL_DOMAINS.items() for k, v in m.items()]
-    rows += [("nb:" + d, int(k), v) for d, m in NOTEBOOK_LABELS.items() for k, v in m.items()]
-    return spark.createDataFrame(rows, "domain string, code int, label string")

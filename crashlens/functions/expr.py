@@ -49,12 +49,28 @@ def select_available(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.select(*[c for c in cols if c in present])
 
 
+TIME_OF_DAY = r"^([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?$"
+
+
 def tod_minutes(t: Column | str) -> Column:
-    """Minutes since midnight of an 'HH:mm' string; NULL when it is not a
-    valid time of day (checked by pattern, then two substring casts)."""
+    """Whole minutes since midnight of an 'HH:mm' or 'HH:mm:ss' string; NULL when
+    it is not a valid time of day (checked by pattern, then two substring casts)."""
     c = col(t)
-    ok = c.rlike(r"^([01][0-9]|2[0-3]):[0-5][0-9]$")
-    return F.when(ok, F.substring(c, 1, 2).cast("int") * 60 + F.substring(c, 4, 2).cast("int"))
+    return F.when(c.rlike(TIME_OF_DAY), F.substring(c, 1, 2).cast("int") * 60 + F.substring(c, 4, 2).cast("int"))
+
+
+def start_of(unit: str, ts: Column | str) -> Column:
+    """The start of the hour or day of a timestamp, without a time zone.
+
+    ``date_trunc`` goes through the session's zone, where local hours can be
+    missing or occur twice; the fields of a zone-free timestamp do not.
+    """
+    c = col(ts).cast("timestamp_ntz")
+    if unit == "day":
+        return c.cast("date").cast("timestamp_ntz")
+    if unit == "hour":
+        return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.lit(0), F.lit(0))
+    raise ValueError(f"unknown unit: {unit}")
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crashlens.functions.expr import attach_one_row, numeric_fields
+from crashlens.functions.expr import attach_one_row, numeric_fields, tod_minutes
 
 # Per-column missing-value codes of the cleaning script.
 COLLISION_SENTINELS = {
@@ -164,9 +164,8 @@ def dedup_collisions(df: DataFrame) -> DataFrame:
 def median_impute(df: DataFrame, cols: Sequence[str], sentinel=-1) -> DataFrame:
     """C14: ``sentinel`` -> NULL -> exact column median.
 
-    The medians are one row (exact; :func:`quantile_columns` keeps Spark's
-    map-based ``percentile`` for low-cardinality columns and sorts the others
-    distributed) appended to every row by a one-row broadcast.
+    The medians are one row (exact, from counted values) appended to every row by a
+    one-row broadcast.
     """
     cleaned = df.select(*[
         (F.when(F.col(c) == F.lit(sentinel), F.lit(None)).otherwise(F.col(c)).alias(c) if c in cols else F.col(c))
@@ -183,16 +182,14 @@ def median_impute(df: DataFrame, cols: Sequence[str], sentinel=-1) -> DataFrame:
 
 
 def parse_datetime(df: DataFrame, date_col: str = "raw_date", time_col: str = "raw_time",
-                   fmt: str = "dd/MM/yyyy HH:mm", out: str = "datetime") -> DataFrame:
-    """Date + time strings -> timestamp; unparseable rows are dropped."""
-    ts = F.try_to_timestamp(F.concat_ws(" ", F.col(date_col), F.col(time_col)), F.lit(fmt))
-    return df.withColumn(out, ts.cast("timestamp_ntz")).filter(F.col(out).isNotNull())
+                   date_format: str = "dd/MM/yyyy", out: str = "datetime") -> DataFrame:
+    """Date + time strings -> timestamp without zone; unparseable rows are
+    dropped.  Dates and minutes are parsed apart, so no session zone shifts them."""
+    day = F.try_to_date(F.col(date_col), date_format).cast("timestamp_ntz")
+    ts = day + F.make_dt_interval(F.lit(0), F.lit(0), tod_minutes(time_col))
+    return df.withColumn(out, ts).filter(F.col(out).isNotNull())
 
 
 def encode_target(df: DataFrame, target: str = "casualty_severity", out: str = "label") -> DataFrame:
     """Keep severities 1..3 and encode them 0..2."""
     return df.filter(F.col(target).isin(1, 2, 3)).withColumn(out, (F.col(target) - 1).cast("int"))
-
-
-def clean_sentinels_expr(c: str, codes: Sequence) -> Column:
-    return F.when(F.col(c).isin(*codes), F.lit(None)).otherwise(F.col(c))

@@ -1,206 +1,239 @@
-"""Per-series forecasting.
-
-Each series is one group of ``groupBy(series_key).applyInPandas``: Spark
-shuffles the (already aggregated, gap-filled) series rows so that one task
-fits one series with numpy least squares.  A series holds one row per period
-of its span, so a group is bounded by time, not by data volume; many series
-(districts, police forces, event types) run in parallel.
-
-Solvers are closed-form regressions (no iterative likelihood optimiser):
-* ARIMA(p,1,q) and SARIMA(p,1,q)(P,1,Q,s) by Hannan-Rissanen: difference,
-  fit a long autoregression to estimate innovations, then regress on lagged
-  values and lagged innovations;
-* an additive model with a piecewise-linear trend (changepoints) and
-  Fourier seasonalities, fitted by ridge regression.
+"""Forecasts of many series at once.
+
+Models are regressions, fitted in Spark: lags are read from the rows before, the
+sums of products of the design (normal equations) are added up map-side and per
+series, and only the small solve of k x k numbers per series runs in Python.
+Fitted values, residuals, information criteria and future designs are column
+expressions.  A long series is cut into chunks of periods, whose first lags are
+copied from the chunk before, so no task needs a whole series.
+
+* ARIMA(p,1,q) and SARIMA(1,1,1)(1,1,1,s) by Hannan-Rissanen: difference, fit a
+  long autoregression to estimate innovations, then regress on lagged values and
+  lagged innovations;
+* an additive model with a piecewise-linear trend (changepoints) and Fourier
+  seasonalities, fitted by ridge regression.
+
+Series are gap-filled rows (series_key, ts, y) at a regular step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "series_key"
-PRED_SCHEMA = "series_key string, model string, ts timestamp_ntz, y double, yhat double"
-INFO_SCHEMA = ("series_key string, model string, n long, sse double, aic double, bic double, "
-               "status string, params string")
-
+#: Periods of a series that one task handles together.
+CHUNK = 4096
 
-# ---- numpy helpers (run inside tasks) ------------------------------------------
-def _lstsq(X: np.ndarray, y: np.ndarray, ridge: float = 0.0) -> np.ndarray:
-    if ridge > 0:
-        A = X.T @ X + ridge * np.eye(X.shape[1])
-        return np.linalg.solve(A, X.T @ y)
-    return np.linalg.lstsq(X, y, rcond=None)[0]
 
+@dataclass(frozen=True)
+class Arma:
+    """Differencing (lag -> factor), lags of values and innovations, length of the long autoregression."""
 
-def _lagmat(z: np.ndarray, lags) -> np.ndarray:
-    n = len(z)
-    out = np.full((n, len(lags)), np.nan)
-    for j, L in enumerate(lags):
-        out[L:, j] = z[:n - L]
-    return out
+    difference: tuple[tuple[int, int], ...]
+    values: tuple[int, ...]
+    innovations: tuple[int, ...]
+    long: int
 
 
-def hannan_rissanen(z: np.ndarray, ar_lags, ma_lags, long_ar: int = 20):
-    """Fitted values and coefficients of an ARMA on a (differenced) series."""
-    n = len(z)
-    m = min(long_ar, max(1, n // 4))
-    Xl = np.column_stack([np.ones(n), _lagmat(z, range(1, m + 1))])
-    ok = ~np.isnan(Xl).any(1)
-    e = np.zeros(n)
-    if ok.sum() > m + 1:
-        b = _lstsq(Xl[ok], z[ok])
-        e[ok] = z[ok] - Xl[ok] @ b
-    X = np.column_stack([np.ones(n), _lagmat(z, ar_lags), _lagmat(e, ma_lags)])
-    ok = ~np.isnan(X).any(1)
-    ok[:m] = False
-    coef = _lstsq(X[ok], z[ok]) if ok.sum() > X.shape[1] else np.zeros(X.shape[1])
-    fit = np.full(n, np.nan)
-    fit[ok] = X[ok] @ coef
-    return fit, coef
-
-
-def _info(key, model, y, yhat, k, status="ok", params=""):
-    ok = ~np.isnan(yhat)
-    n = int(ok.sum())
-    sse = float(((y[ok] - yhat[ok]) ** 2).sum()) if n else float("nan")
-    aic = n * np.log(sse / n) + 2 * k if n and sse > 0 else float("nan")
-    bic = n * np.log(sse / n) + k * np.log(n) if n and sse > 0 else float("nan")
-    return dict(series_key=key, model=model, n=n, sse=sse, aic=aic, bic=bic, status=status, params=params)
-
-
-def arima_fit(y: np.ndarray, p: int = 5, q: int = 2):
-    """ARIMA(p,1,q): one-step in-sample predictions on the original scale."""
-    dz = np.diff(y, prepend=np.nan)[1:]
-    fit, coef = hannan_rissanen(dz, list(range(1, p + 1)), list(range(1, q + 1)))
-    yhat = np.full(len(y), np.nan)
-    yhat[1:] = y[:-1] + fit
-    return yhat, coef
-
-
-def sarima_fit(y: np.ndarray, s: int = 24):
-    """SARIMA(1,1,1)(1,1,1,s): AR lags 1, s, s+1 and MA lags 1, s, s+1 on
-    the regular + seasonal difference; predictions undifferenced."""
-    n = len(y)
-    z = np.full(n, np.nan)
-    z[s + 1:] = y[s + 1:] - y[s:-1] - y[1:n - s] + y[:n - s - 1]
-    zz = z[s + 1:]
-    fit, coef = hannan_rissanen(zz, [1, s, s + 1], [1, s, s + 1], long_ar=2 * s + 2)
-    yhat = np.full(n, np.nan)
-    yhat[s + 1:] = fit + y[s:-1] + y[1:n - s] - y[:n - s - 1]
-    return yhat, coef
-
-
-def additive_design(t: np.ndarray, ts: pd.DatetimeIndex, changepoints: np.ndarray, freq_hours: float):
-    cols = [np.ones(len(t)), t]
-    cols += [np.maximum(0.0, t - c) for c in changepoints]
-    hours = (ts.view("int64") // 3_600_000_000_000).astype(float) if len(ts) else np.zeros(0)
-    for period, order in ((24 * 365.25, 10), (24 * 7, 3), (24.0, 4)):
-        if period <= 2 * freq_hours:  # a daily series has no within-day season
-            continue
-        for k in range(1, order + 1):
-            cols += [np.sin(2 * np.pi * k * hours / period), np.cos(2 * np.pi * k * hours / period)]
-    return np.column_stack(cols)
-
-
-def additive_fit(ts: pd.DatetimeIndex, y: np.ndarray, n_changepoints: int = 25, scale: float = 0.05,
-                 horizon: int = 0):
-    """Piecewise-linear trend + Fourier seasons, ridge penalty from ``scale``."""
-    n = len(y)
-    freq_h = float(np.median(np.diff(ts.view("int64"))) / 3.6e12) if n > 1 else 1.0
-    t = np.arange(n, dtype=float) / max(n - 1, 1)
-    cps = np.linspace(0, 0.8, n_changepoints + 2)[1:-1]
-    X = additive_design(t, ts, cps, freq_h)
-    ridge = 1.0 / (scale * n) if scale > 0 else 0.0
-    mu, sd = y.mean(), y.std() or 1.0
-    coef = _lstsq(X, (y - mu) / sd, ridge)
-    yhat = X @ coef * sd + mu
-    fut = None
-    if horizon:
-        step = pd.Timedelta(hours=freq_h)
-        fts = pd.DatetimeIndex([ts[-1] + step * (i + 1) for i in range(horizon)])
-        ft = (np.arange(n, n + horizon, dtype=float)) / max(n - 1, 1)
-        fut = (fts, additive_design(ft, fts, cps, freq_h) @ coef * sd + mu)
-    return yhat, coef, fut
-
-
-def _fit_one(model: str, ts: pd.DatetimeIndex, y: np.ndarray, season: int):
+def arma(model: str, season: int, p: int = 5, q: int = 2) -> Arma:
     if model == "arima":
-        yhat, coef = arima_fit(y)
-        return yhat, len(coef)
+        return Arma(((1, -1),), tuple(range(1, p + 1)), tuple(range(1, q + 1)), 20)
     if model == "sarima":
-        yhat, coef = sarima_fit(y, season)
-        return yhat, len(coef)
-    if model == "additive":
-        yhat, coef, _ = additive_fit(ts, y)
-        return yhat, len(coef)
-    raise ValueError(model)
+        s = season
+        return Arma(((1, -1), (s, -1), (s + 1, 1)), (1, s, s + 1), (1, s, s + 1), 2 * s + 2)
+    raise ValueError(f"unknown model: {model}")
+
+
+def indexed(series: DataFrame) -> DataFrame:
+    """series_key, ts, y, t (period number from 0), n, step (seconds)."""
+    seconds = lambda c: F.unix_date(F.col(c).cast("date")) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+    bounds = series.groupBy(KEY).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count(F.lit(1)).alias("n"))
+    span = seconds("hi") - seconds("lo")
+    step = F.when(F.col("n") > 1, (span / (F.col("n") - 1)).cast("long")).otherwise(F.lit(3600))
+    bounds = bounds.select(KEY, "lo", "n", step.alias("step"))
+    return series.join(bounds, KEY).select(
+        KEY, "ts", F.col("y").cast("double").alias("y"), F.round((seconds("ts") - seconds("lo")) / F.col("step")).cast("long").alias("t"), "n", "step")
+
+
+def with_history(rows: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
+    """``<column>_before``: array of the column's last ``most`` values before the row,
+    newest last (shorter at the start of a series)."""
+    chunk = F.explode(F.array_distinct(F.array(F.floor(F.col("t") / CHUNK), F.floor((F.col("t") + most) / CHUNK))))
+    own = Window.partitionBy(KEY, "chunk").orderBy("t").rowsBetween(-most, -1)
+    dealt = rows.withColumn("chunk", chunk)
+    for c in columns:
+        dealt = dealt.withColumn(f"{c}_before", F.collect_list(F.struct(c)).over(own))
+    return dealt.filter(F.col("chunk") == F.floor(F.col("t") / CHUNK)).drop("chunk")
+
+
+def lag(column: str, by: int) -> Column:
+    """The value ``by`` periods before (NULL at the start)."""
+    before = F.col(f"{column}_before")
+    return F.get(before, F.size(before) - by)[column]
+
+
+def dot(x: str, coef: str) -> Column:
+    return F.aggregate(F.zip_with(x, coef, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
+def solved(rows: DataFrame, ridge: Column | None = None) -> DataFrame:
+    """series_key, coef (array): least squares of ``target`` on the array ``x`` per series.
+    ``ridge`` is added to the diagonal; it must be the same in all rows of a series."""
+    source = rows.filter("x IS NOT NULL AND target IS NOT NULL").select(KEY, "x", "target", (F.lit(0.0) if ridge is None else ridge).alias("ridge"))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, g in pdf.groupby(KEY):
+                x = np.stack(g["x"].to_numpy())
+                both = np.column_stack([x, g["target"].to_numpy()])
+                out.append((key, len(g), float(g["ridge"].iloc[0]), (both.T @ both).ravel().tolist()))
+            yield pd.DataFrame(out, columns=[KEY, "n", "ridge", "sums"])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)
+        k = int(round(len(sums) ** 0.5))
+        sums = sums.reshape(k, k)
+        gram = sums[:-1, :-1] + float(pdf["ridge"].iloc[0]) * np.eye(k - 1)
+        enough = pdf["n"].sum() > k - 1
+        coef = np.linalg.lstsq(gram, sums[:-1, -1], rcond=None)[0] if enough else np.zeros(k - 1)
+        return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "coef": [coef.tolist()]})
+
+    parts = source.mapInPandas(partial, f"{KEY} string, n long, ridge double, sums array<double>")
+    return parts.groupBy(KEY).applyInPandas(solve, f"{KEY} string, coef array<double>")
+
+
+def fitted_arma(series: DataFrame, spec: Arma) -> tuple[DataFrame, DataFrame]:
+    """(rows with y, z, e, fit, yhat; coefficients of the last regression per series)."""
+    reach = max(d for d, _ in spec.difference)
+    rows = with_history(indexed(series), ["y"], reach)
+    past = sum((F.lit(float(c)) * lag("y", d) for d, c in spec.difference), F.lit(0.0))
+    rows = rows.withColumn("past", past).drop("y_before").withColumn("z", F.col("y") + F.col("past"))
+    rows = with_history(rows, ["z"], max(spec.long, *spec.values))
+    started = F.col("t") >= reach
+    long = F.array(F.lit(1.0), *[lag("z", i) for i in range(1, spec.long + 1)])
+    rows = rows.withColumn("x", F.when(started & (F.col("t") >= reach + spec.long), long)).withColumn("target", F.col("z"))
+    first = solved(rows).withColumnRenamed("coef", "long_coef")
+    rows = rows.join(first, KEY, "left").withColumn("e", F.when(F.col("x").isNotNull(), F.col("z") - dot("x", "long_coef")).otherwise(0.0))
+    rows = with_history(rows.drop("x", "target"), ["e"], max(spec.innovations))
+    design = F.array(F.lit(1.0), *[lag("z", i) for i in spec.values], *[lag("e", i) for i in spec.innovations])
+    rows = rows.withColumn("x", F.when(F.col("t") >= reach + spec.long, design)).withColumn("target", F.col("z"))
+    coef = solved(rows)
+    fit = F.when(F.col("x").isNotNull(), dot("x", "coef"))
+    rows = rows.join(coef, KEY, "left").withColumn("fit", fit).withColumn("yhat", F.col("fit") - F.col("past"))
+    return rows.select(KEY, "ts", "t", "n", "step", "y", "z", "e", "fit", "yhat"), coef
+
+
+# ---- additive model -----------------------------------------------------------
+CHANGEPOINTS = tuple(float(c) for c in np.linspace(0, 0.8, 27)[1:-1])
+#: (period in hours, number of harmonics); a period must be longer than two steps
+SEASONS = ((24 * 365.25, 10), (24 * 7, 3), (24.0, 4))
+SCALE = 0.05
+
+
+def additive_design(share: Column, hours: Column, step: Column) -> Column:
+    """Trend with hinges at the changepoints, and harmonics of the seasons."""
+    cols = [F.lit(1.0), share, *[F.greatest(F.lit(0.0), share - c) for c in CHANGEPOINTS]]
+    for period, order in SEASONS:
+        fits = step * 2 < period * 3600
+        for k in range(1, order + 1):
+            angle = hours * (2 * np.pi * k / period)
+            cols += [F.when(fits, F.sin(angle)).otherwise(0.0), F.when(fits, F.cos(angle)).otherwise(0.0)]
+    return F.array(*cols)
+
+
+def _hours(ts: str) -> Column:
+    return F.unix_date(F.col(ts).cast("date")) * 24.0 + F.hour(ts)
 
 
-def _series_frame(pdf: pd.DataFrame):
-    pdf = pdf.sort_values("ts")
-    return pdf[KEY].iloc[0], pd.DatetimeIndex(pdf["ts"]), pdf["y"].to_numpy(dtype=float)
+def _share() -> Column:
+    return F.col("t") / F.greatest(F.col("n") - 1, F.lit(1))
+
+
+def fitted_additive(series: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with y and yhat; coefficients with the mean and deviation they are scaled by)."""
+    rows = indexed(series)
+    scale = rows.groupBy(KEY).agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("sd"))
+    scale = scale.withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
+    rows = rows.join(scale, KEY).withColumn("x", additive_design(_share(), _hours("ts"), F.col("step")))
+    rows = rows.withColumn("target", (F.col("y") - F.col("mean")) / F.col("sd"))
+    coef = solved(rows, 1.0 / (SCALE * F.col("n"))).join(scale, KEY)
+    rows = rows.drop("mean", "sd").join(coef, KEY).withColumn("yhat", dot("x", "coef") * F.col("sd") + F.col("mean"))
+    return rows.select(KEY, "ts", "t", "n", "step", "y", "yhat"), coef
+
+
+def fitted(series: DataFrame, model: str, season: int = 24) -> tuple[DataFrame, DataFrame]:
+    return fitted_additive(series) if model == "additive" else fitted_arma(series, arma(model, season))
 
 
 def forecast_in_sample(series: DataFrame, model: str, season: int = 24) -> DataFrame:
-    """One task per series; in-sample one-step predictions."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, ts, y = _series_frame(pdf)
-        try:
-            yhat, _ = _fit_one(model, ts, y, season)
-        except Exception:  # noqa: BLE001 - a failing series yields NULL predictions
-            yhat = np.full(len(y), np.nan)
-        return pd.DataFrame({KEY: key, "model": model, "ts": ts, "y": y, "yhat": yhat})
-    return series.groupBy(KEY).applyInPandas(run, PRED_SCHEMA)
+    """In-sample one-step predictions (NULL where a series has too little history)."""
+    return fitted(series, model, season)[0].select(KEY, F.lit(model).alias("model"), "ts", "y", "yhat")
 
 
 def model_info(series: DataFrame, models=("arima", "sarima", "additive"), season: int = 24) -> DataFrame:
-    """N, SSE, AIC, BIC and status per (series, model); failures are
-    recorded as rows instead of stopping the job."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, ts, y = _series_frame(pdf)
-        rows = []
-        for m in models:
-            try:
-                yhat, k = _fit_one(m, ts, y, season)
-                rows.append(_info(key, m, y, yhat, k))
-            except Exception as e:  # noqa: BLE001
-                rows.append(dict(series_key=key, model=m, n=0, sse=float("nan"), aic=float("nan"),
-                                 bic=float("nan"), status="failed", params=str(e)[:200]))
-        return pd.DataFrame(rows)
-    return series.groupBy(KEY).applyInPandas(run, INFO_SCHEMA)
+    """N, SSE, AIC, BIC and status per (series, model)."""
+    out = None
+    for m in models:
+        rows, coef = fitted(series, m, season)
+        sse = rows.groupBy(KEY).agg(F.count("yhat").alias("n"), F.sum((F.col("y") - F.col("yhat")) ** 2).alias("sse"))
+        one = sse.join(coef.select(KEY, F.size("coef").alias("k")), KEY, "left")
+        fit = (F.col("n") > 0) & (F.col("sse") > 0)
+        spread = F.when(fit, F.col("n") * F.log(F.col("sse") / F.col("n")))
+        one = one.select(KEY, F.lit(m).alias("model"), "n", "sse", (spread + 2 * F.col("k")).alias("aic"),
+                         (spread + F.col("k") * F.log("n")).alias("bic"),
+                         F.when(F.col("n") > 0, "ok").otherwise("too short").alias("status"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def forecast_ahead(series: DataFrame, horizon: int = 168, model: str = "additive", p: int = 5,
                    q: int = 2) -> DataFrame:
-    """H future periods at the series' own frequency.
+    """Future periods at the series' own step.
 
-    ``additive`` evaluates the fitted design at future times; ``arima``
-    recurses on the differenced ARMA with future innovations set to 0.
+    ``additive`` evaluates the fitted design at future times; ``arima`` continues
+    the differenced model with future innovations 0, from the last few values of
+    each series.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, ts, y = _series_frame(pdf)
-        step = (ts[-1] - ts[-2]) if len(ts) > 1 else pd.Timedelta(hours=1)
-        fts = pd.DatetimeIndex([ts[-1] + step * (i + 1) for i in range(horizon)])
-        if model == "additive":
-            _, _, fut = additive_fit(ts, y, horizon=horizon)
-            vals = fut[1]
-        else:
-            dz = np.diff(y)
-            fit, coef = hannan_rissanen(dz, list(range(1, p + 1)), list(range(1, q + 1)))
-            e = np.nan_to_num(dz - np.nan_to_num(fit, nan=0.0))
-            hist, errs, vals, last = list(dz), list(e), [], y[-1]
-            for _ in range(horizon):
-                x = [1.0] + [hist[-L] for L in range(1, p + 1)] + [errs[-L] for L in range(1, q + 1)]
-                d = float(np.dot(coef, x))
-                hist.append(d)
-                errs.append(0.0)
-                last = last + d
-                vals.append(last)
-        return pd.DataFrame({KEY: key, "model": model, "ts": fts, "y": np.nan, "yhat": np.asarray(vals, float)})
-    return series.groupBy(KEY).applyInPandas(run, PRED_SCHEMA)
+    bounds = [F.max("ts").alias("ts"), F.first("n").alias("n"), F.first("step").alias("step")]
+    later = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")
+    ahead = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("step") * F.col("h"))
+    named = [KEY, F.lit(model).alias("model"), "ts", F.lit(None).cast("double").alias("y"), "yhat"]
+    if model == "additive":
+        rows, coef = fitted_additive(series)
+        future = rows.groupBy(KEY).agg(*bounds).select("*", later).withColumn("ts", ahead).withColumn("t", F.col("n") + F.col("h") - 1)
+        future = future.withColumn("x", additive_design(_share(), _hours("ts"), F.col("step"))).join(coef, KEY)
+        return future.withColumn("yhat", dot("x", "coef") * F.col("sd") + F.col("mean")).select(*named)
+    spec = arma("arima", 24, p, q)
+    rows, coef = fitted_arma(series, spec)
+    last = rows.filter(F.col("t") >= F.col("n") - max(p, q))
+    ends = last.groupBy(KEY).agg(
+        *bounds, F.array_sort(F.collect_list(F.struct("t", "y", "z", F.coalesce(F.col("z") - F.col("fit"), F.lit(0.0)).alias("e")))).alias("last"))
+
+    def go_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            paths = []
+            for last, coef in zip(pdf["last"], pdf["coef"]):
+                z, e, y, path = [r["z"] or 0.0 for r in last], [r["e"] for r in last], last[-1]["y"], []
+                z, e = [0.0] * p + z, [0.0] * q + e
+                for _ in range(horizon):
+                    z.append(float(np.dot(coef, [1.0, *(z[-i] for i in spec.values), *(e[-i] for i in spec.innovations)])))
+                    e.append(0.0)
+                    y += z[-1]
+                    path.append(y)
+                paths.append(path)
+            yield pdf[[KEY, "ts", "step"]].assign(path=paths)
+
+    paths = ends.join(coef, KEY).select(KEY, "ts", "step", "last", "coef").mapInPandas(
+        go_on, f"{KEY} string, ts timestamp_ntz, step long, path array<double>")
+    steps = paths.select(KEY, "ts", "step", F.posexplode("path").alias("h", "yhat")).withColumn("h", F.col("h") + 1)
+    return steps.withColumn("ts", ahead).select(*named)
 
 
 def compare_models(series: DataFrame, models=("arima", "sarima", "additive"), season: int = 24) -> DataFrame:
@@ -237,16 +270,11 @@ def lag_regression(features: DataFrame, test_fraction: float = 0.2) -> DataFrame
                        F.col("target").cast("double").alias("y"), F.col("prediction").alias("yhat"))
 
 
-def save_coefficients(series: DataFrame, path: str, model: str = "additive") -> None:
-    """Fitted coefficients per series as a parquet table."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, ts, y = _series_frame(pdf)
-        if model == "additive":
-            _, coef, _ = additive_fit(ts, y)
-        elif model == "arima":
-            _, coef = arima_fit(y)
-        else:
-            _, coef = sarima_fit(y)
-        return pd.DataFrame({KEY: key, "model": model, "term": np.arange(len(coef)), "coef": coef})
-    (series.groupBy(KEY).applyInPandas(run, "series_key string, model string, term long, coef double")
-     .write.mode("overwrite").parquet(path))
+def save_coefficients(series: DataFrame, path: str, model: str = "additive", season: int = 24) -> None:
+    """All that is needed to use the fitted model again, one row per series: the
+    coefficients in the order of the design, and for the additive model the mean and
+    deviation of the values and the changepoints."""
+    coef = fitted(series, model, season)[1].withColumn("model", F.lit(model))
+    if model == "additive":
+        coef = coef.withColumn("changepoints", F.array(*map(F.lit, CHANGEPOINTS)))
+    coef.write.mode("overwrite").parquet(path)

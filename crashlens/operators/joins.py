@@ -2,7 +2,7 @@
 
 All joins are equi-joins on ``collision_index`` (plus ``vehicle_reference``):
 Catalyst picks broadcast when a side is small and a sort-merge join otherwise;
-AQE splits skewed partitions.  Child tables are deduplicated on their keys
+left joins are written so that AQE can split skewed keys of either side.  Child tables are deduplicated on their keys
 before joining, so the result grows with the inputs, not with duplicates.
 """
 
@@ -20,162 +20,66 @@ VEHICLE_COLS = ("vehicle_id", "vehicle_reference", "vehicle_type", "vehicle_mano
 CASUALTY_COLS = ("casualty_id", "casualty_reference", "casualty_severity", "age_of_casualty", "sex_of_casualty")
 
 
-def hot_key_table(df: DataFrame, keys: Sequence[str], share: float = 0.001, min_rows: int = 100_000,
-                  max_keys: int = 1000) -> DataFrame:
-    """Keys holding more than ``share`` of the rows and more than ``min_rows``
-    rows, at most ``max_keys`` of them (the largest): a lazy relation with a
-    size bound by construction (the ``limit``), safe to broadcast.  One
-    keys-only aggregate with map-side combine; the total comes from the same
-    aggregate (reused shuffle).  Nothing goes through the driver."""
-    from crashlens.functions.expr import attach_one_row
+def _equal(left: DataFrame, right: DataFrame, keys: Sequence[str], renamed: dict[str, str], null_safe: bool) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        a, b = left[k], right[renamed[k]]
+        cond = cond & (a.eqNullSafe(b) if null_safe else a == b)
+    return cond
 
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__t"))
-    limit = F.greatest(F.lit(min_rows), (F.col("__t") * F.lit(share)).cast("long"))
-    return (attach_one_row(counts, total).filter(F.col("__n") > limit)
-            .orderBy(F.desc("__n"), *keys).limit(max_keys).select(*keys))
 
+def split_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
+    """``left`` ⟕ ``right`` for any key distribution: the inner join, plus the
+    ``left`` rows without a partner padded with NULLs.
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.001, min_rows: int = 100_000,
-             max_keys: int = 1000) -> list[tuple]:
-    """:func:`hot_key_table` collected (at most ``max_keys`` small tuples)."""
-    return [tuple(r) for r in hot_key_table(df, keys, share, min_rows, max_keys).collect()]
-
-
-def _key_table(left: DataFrame, keys: Sequence[str], hot) -> DataFrame:
-    """The hot keys (a list of tuples or a bounded key relation) as a
-    broadcast relation of at most ``max_keys`` rows."""
-    if isinstance(hot, DataFrame):
-        return F.broadcast(hot.select(*keys))
-    schema = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
-    return F.broadcast(left.sparkSession.createDataFrame(hot, schema))
-
-
-# parent rows of the hot keys that may be broadcast (checked by a count)
-MAX_HOT_PARENT_ROWS = 1_000_000
-
-
-def _bounded_broadcast(hot_left: DataFrame, max_rows: int = MAX_HOT_PARENT_ROWS) -> DataFrame:
-    """Broadcast the parent rows of the hot keys only when counted below
-    ``max_rows`` (only runs when hot keys exist).  Otherwise the inner join is
-    left to Spark: AQE splits skewed partitions on both sides of an inner join."""
-    return F.broadcast(hot_left) if hot_left.limit(max_rows + 1).count() <= max_rows else hot_left
-
-
-def skew_split_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot=None,
-                         share: float = 0.001, min_rows: int = 100_000) -> DataFrame:
-    """``left`` ⟕ ``right`` on equal ``keys`` that survives a key holding a
-    large share of ``right``.
-
-    Hot keys (found by one aggregate, bounded list) are joined separately:
-    the hot ``right`` rows stay where they are and meet their few ``left``
-    rows through a broadcast INNER hash join (an outer join could not build
-    the preserved side), so a hot key is spread over all of its input
-    partitions instead of one shuffle partition.  Hot ``left`` rows whose key
-    has no ``right`` row are found against the distinct hot keys present in
-    ``right`` (at most ``max_keys`` rows) and padded with NULLs.  All other
-    keys use the normal shuffle/sort-merge (or size-checked broadcast) join.
-    ``left`` must have few rows per key (a parent table); the result equals
-    the plain left join for any key set.
+    AQE cannot split a skewed right side of a left outer join, but it splits
+    both sides of an inner join, so a key with a third of the ``right`` rows is
+    spread over many tasks.  The partnerless rows come from an anti-join
+    against the distinct keys (reduced map-side).  Both parts read the same
+    shuffle of ``left``.  No key is looked up in advance and nothing depends on
+    a size.  Column names other than ``keys`` must differ.
     """
     keys = list(keys)
-    hot = hot_key_table(right, keys, share, min_rows) if hot is None else hot
-    if isinstance(hot, list) and not hot:
-        return left.join(right, keys, "left")
-    hot_df = _key_table(left, keys, hot)
-    cold = left.join(hot_df, keys, "left_anti").join(right.join(hot_df, keys, "left_anti"), keys, "left")
-    hot_left = left.join(hot_df, keys, "left_semi")
-    hot_right = right.join(hot_df, keys, "left_semi")
-    matched = hot_right.join(_bounded_broadcast(hot_left), keys, "inner")
-    present = F.broadcast(hot_right.select(*keys).distinct())
-    unmatched = hot_left.join(present, keys, "left_anti").join(right.filter(F.lit(False)), keys, "left")
-    return cold.unionByName(matched.select(*cold.columns)).unionByName(unmatched.select(*cold.columns))
-
-
-def full_accident_data(features: DataFrame, vehicle: DataFrame, casualty: DataFrame,
-                       skew_share: float | None = None, hot: tuple | None = None,
-                       min_rows: int = 100_000) -> DataFrame:
-    """Collision ⟕ vehicle ⟕ casualty (casualties are reached through
-    their vehicle, as in the view) with vehicle and casualty labels.
+    renamed = {k: f"__right_{k}" for k in keys}
+    others = [c for c in right.columns if c not in keys]
+    r = right.withColumnsRenamed(renamed)
+    matched = left.join(r, _equal(left, r, keys, renamed, null_safe), "inner").select(*left.columns, *others)
+    present = r.select(*renamed.values()).distinct()
+    alone = left.join(present, _equal(left, present, keys, renamed, null_safe), "left_anti")
+    pad = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in others]
+    return matched.unionByName(alone.select(*left.columns, *pad))
+
 
-    With ``skew_share`` set, keys holding more than that share of the child
-    rows are joined by :func:`skew_split_left_join` (two extra aggregates to
-    find them), or pass ``hot`` = (vehicle keys, casualty keys) found
-    elsewhere (e.g. on the raw tables; any key set gives the same result);
-    otherwise AQE's skew handling is relied on."""
+def full_accident_data(features: DataFrame, vehicle: DataFrame, casualty: DataFrame) -> DataFrame:
+    """Collision ⟕ vehicle ⟕ casualty (casualties are reached through
+    their vehicle, as in the view) with vehicle and casualty labels."""
     v = vehicle.select("collision_index", *VEHICLE_COLS)
-    cas = casualty.select("collision_index", "vehicle_reference", *[x for x in CASUALTY_COLS])
-    if skew_share is not None or hot is not None:
-        share = skew_share if skew_share is not None else 0.001
-        hv, hc = hot if hot is not None else (None, None)
-        cv = skew_split_left_join(features, v, ["collision_index"], hot=hv, share=share, min_rows=min_rows)
-        j = skew_split_left_join(cv, cas, ["collision_index", "vehicle_reference"], hot=hc, share=share,
-                                 min_rows=min_rows)
-        return j.select(*features.columns, *VEHICLE_COLS,
-                        codes.decode_domain(F.col("vehicle_type"), "vehicle_type").alias("vehicle_type_label"),
-                        *CASUALTY_COLS,
-                        codes.decode_domain(F.col("casualty_severity"), "severity").alias("casualty_severity_label"))
-    c = features.alias("c")
-    v = v.alias("v")
-    cas = cas.alias("cas")
-    j = (c.join(v, F.col("c.collision_index") == F.col("v.collision_index"), "left")
-         .join(cas, (F.col("c.collision_index") == F.col("cas.collision_index"))
-               & (F.col("v.vehicle_reference") == F.col("cas.vehicle_reference")), "left"))
-    return j.select(
-        "c.*",
-        *[F.col(f"v.{x}") for x in VEHICLE_COLS],
-        codes.decode_domain(F.col("v.vehicle_type"), "vehicle_type").alias("vehicle_type_label"),
-        *[F.col(f"cas.{x}") for x in CASUALTY_COLS],
-        codes.decode_domain(F.col("cas.casualty_severity"), "severity").alias("casualty_severity_label"),
-    )
-
-
-def _nullsafe_split(df: DataFrame, keys_df: DataFrame, on: Sequence[str], how: str) -> DataFrame:
-    """Semi/anti join against a small key table with pandas key matching."""
-    cond = None
-    for k in on:
-        e = df[k].eqNullSafe(keys_df[k])
-        cond = e if cond is None else cond & e
-    return df.join(keys_df, cond, how)
+    cas = casualty.select("collision_index", "vehicle_reference", *CASUALTY_COLS)
+    j = split_left_join(split_left_join(features, v, ["collision_index"]), cas, ["collision_index", "vehicle_reference"])
+    return j.select(*features.columns, *VEHICLE_COLS,
+                    codes.decode_domain(F.col("vehicle_type"), "vehicle_type").alias("vehicle_type_label"),
+                    *CASUALTY_COLS,
+                    codes.decode_domain(F.col("casualty_severity"), "severity").alias("casualty_severity_label"))
 
 
 def merge(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-          indicator: str | None = None, suffixes=("_x", "_y"), hot=None) -> DataFrame:
-    """pandas-style ``merge``: shared non-key columns get suffixes, keys are
-    matched null-safely (pandas matches missing keys), optional indicator
-    column 'both' / 'left_only'.
-
-    ``hot`` (left merges): keys with a large share of ``right``, joined as in
-    :func:`skew_split_left_join` -- hot ``right`` rows meet their few
-    ``left`` rows through a broadcast inner join, hot ``left`` rows without a
-    partner are padded; the result is the same for any key set."""
+          indicator: str | None = None, suffixes=("_x", "_y")) -> DataFrame:
+    """pandas-style ``merge`` (left or inner): shared non-key columns get
+    suffixes, keys are matched null-safely (pandas matches missing keys),
+    optional indicator column 'both' / 'left_only'."""
+    if how not in ("left", "inner"):
+        raise ValueError(f"unknown merge: {how}")
     on = list(on)
-    if hot is not None and how == "left" and not (isinstance(hot, list) and not hot):
-        keys_df = _key_table(left, on, hot)
-        cold = merge(_nullsafe_split(left, keys_df, on, "left_anti"), _nullsafe_split(right, keys_df, on, "left_anti"),
-                     on, "left", indicator, suffixes)
-        hot_left = _nullsafe_split(left, keys_df, on, "left_semi")
-        hot_right = _nullsafe_split(right, keys_df, on, "left_semi")
-        matched = merge(_bounded_broadcast(hot_left), hot_right, on, "inner", indicator, suffixes)
-        present = F.broadcast(hot_right.select(*on).distinct())
-        unmatched = merge(_nullsafe_split(hot_left, present, on, "left_anti"), right.filter(F.lit(False)),
-                          on, "left", indicator, suffixes)
-        # the three parts come from the same column list, so positional union is exact
-        return cold.union(matched).union(unmatched)
     overlap = (set(left.columns) & set(right.columns)) - set(on)
-    lcols = [F.col(f"l.`{c}`").alias(c + suffixes[0] if c in overlap else c) for c in left.columns]
     marker = "__right_present"
-    r = right.withColumn(marker, F.lit(True))
-    rcols = [F.col(f"r.`{c}`").alias(c + suffixes[1] if c in overlap else c) for c in right.columns if c not in on]
-    cond = None
-    for k in on:
-        e = F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`"))
-        cond = e if cond is None else cond & e
-    j = left.alias("l").join(r.alias("r"), cond, how)
-    out = lcols + rcols
+    lt = left.withColumnsRenamed({c: c + suffixes[0] for c in overlap})
+    rt = right.withColumnsRenamed({c: c + suffixes[1] for c in overlap}).withColumn(marker, F.lit(True))
+    j = split_left_join(lt, rt, on, null_safe=True)
+    if how == "inner":
+        j = j.filter(F.col(marker))
     if indicator:
-        out.append(F.when(F.col(f"r.{marker}"), "both").otherwise("left_only").alias(indicator))
-    return j.select(*out)
+        j = j.withColumn(indicator, F.when(F.col(marker), "both").otherwise("left_only"))
+    return j.drop(marker)
 
 
 def resolve_merge_columns(df: DataFrame) -> DataFrame:
@@ -193,13 +97,10 @@ def resolve_merge_columns(df: DataFrame) -> DataFrame:
     return df.select(*keep)
 
 
-def merge_with_indicator(collision: DataFrame, vehicle: DataFrame, casualty: DataFrame,
-                         hot: tuple | None = None) -> DataFrame:
-    """The notebook's two left merges with provenance indicators;
-    ``hot`` = (vehicle keys, casualty keys) enables the hot-key split."""
-    hv, hc = hot if hot is not None else (None, None)
-    m = merge(collision, vehicle, ["collision_index"], "left", "merge_vehicle", hot=hv)
-    return merge(m, casualty, ["collision_index", "vehicle_reference"], "left", "merge_casualty", hot=hc)
+def merge_with_indicator(collision: DataFrame, vehicle: DataFrame, casualty: DataFrame) -> DataFrame:
+    """The notebook's two left merges with provenance indicators."""
+    m = merge(collision, vehicle, ["collision_index"], "left", "merge_vehicle")
+    return merge(m, casualty, ["collision_index", "vehicle_reference"], "left", "merge_casualty")
 
 
 def casualty_training_rows(casualty: DataFrame, collision: DataFrame, vehicle: DataFrame) -> DataFrame:

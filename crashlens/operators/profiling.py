@@ -16,8 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from crashlens.functions.expr import attach_one_row, numeric_fields
-from crashlens.operators.quantiles import exact_quantiles, few_distinct, quantile_columns
-from crashlens.sources.schemas import bounded_domain
+from crashlens.operators.quantiles import KEYS, quantile_columns, quantiles, value_counts
 
 # Category orders of the notebook charts.
 WEEKDAY_ORDER = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -52,10 +51,8 @@ def minus_one_counts(df: DataFrame, value=-1) -> DataFrame:
 def describe_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
     """Q10 (numeric part of ``describe``): count, mean, std, min, quartiles, max.
 
-    ``exact`` gives ``percentile`` values (linear interpolation) through
-    :func:`quantile_columns` (map-based for low-cardinality columns, a
-    distributed sort for the others); ``exact=False`` uses
-    ``percentile_approx``.
+    ``exact`` gives ``percentile`` values (linear interpolation) from counted values
+    (:func:`quantile_columns`); ``exact=False`` uses ``percentile_approx``.
     """
     nums = numeric_fields(df)
     aggs = []
@@ -95,63 +92,60 @@ def dtypes_table(df: DataFrame):
     return df.sparkSession.createDataFrame(rows, "data_type string, column_names string, number_of_columns int")
 
 
-def _value_key(f: T.StructField) -> tuple[Column, Column]:
-    """(number, text) encoding of a value for exact distinct counting: numbers,
-    dates and timestamps stay numeric (no string formatting), text stays text."""
+def _value_key(f: T.StructField) -> dict[str, Column]:
+    """Encoding of a value for exact distinct counting: whole numbers, dates and
+    timestamps as bigint (all 64 bits count), other numbers as double, text as text."""
     c = F.col(f"`{f.name}`")
     dt = f.dataType
-    if isinstance(dt, T.StringType):
-        return F.lit(None).cast("double"), c
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double"), F.lit(None).cast("string")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double"), F.lit(None).cast("string")
-    if isinstance(dt, (T.NumericType, T.BooleanType)) and not isinstance(dt, T.DecimalType):
-        return c.cast("double"), F.lit(None).cast("string")
-    return F.lit(None).cast("double"), c.cast("string")
+    whole, real, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(dt, T.TimestampNTZType):  # no zone: day and time of day apart
+        whole = F.unix_date(c.cast("date")).cast("bigint") * 86_400_000_000 + F.hour(c).cast("bigint") * 3_600_000_000 + F.minute(c) * 60_000_000 + (
+            F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    elif isinstance(dt, T.TimestampType):
+        whole = F.unix_micros(c)
+    elif isinstance(dt, T.DateType):
+        whole = F.unix_date(c).cast("bigint")
+    elif isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        whole = c.cast("bigint")
+    elif isinstance(dt, (T.FloatType, T.DoubleType)):
+        real = c.cast("double")
+    else:
+        text = c.cast("string")
+    return {"vl": whole, "vn": real, "vs": text}
 
 
 def feature_overview(df: DataFrame, max_missing: float = 0.2, max_unique: int = 20,
                      exact: bool = True) -> DataFrame:
     """Q12: dtype, distinct values, missing count and rate, keep flag.
 
-    One scan: every row is unpivoted to (column index, value) pairs plus one
-    row-counter entry; a hash aggregate on (index, value) collapses repeated
-    values map-side, and a second aggregate per column gives the distinct
-    count and the non-null count.  ``exact=False`` uses HyperLogLog instead.
+    One run: every row is unpivoted to (column index, value) pairs, NULLs as a pair
+    of their own; a hash aggregate on (index, value) collapses repeated values
+    map-side, and a second aggregate per column gives the distinct and the missing
+    count.  ``exact=False`` uses HyperLogLog in a plain aggregate instead.
     """
     cols = df.columns
     fams = {f.name: dtype_family(f.dataType) for f in df.schema.fields}
     meta = df.sparkSession.createDataFrame([(i, c, fams[c]) for i, c in enumerate(cols)],
                                            "__i int, column_name string, dtype string")
     if exact:
-        entries = []
-        for i, f in enumerate(df.schema.fields):
-            vn, vs = _value_key(f)
-            entries.append(F.struct(F.lit(i).alias("__i"), vn.alias("vn"), vs.alias("vs")))
-        entries.append(F.struct(F.lit(-1).alias("__i"), F.lit(0.0).alias("vn"), F.lit(None).cast("string").alias("vs")))
-        pairs = (df.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
-                 .filter(F.col("vn").isNotNull() | F.col("vs").isNotNull()))
-        per_col = (pairs.groupBy("__i", "vn", "vs").agg(F.count(F.lit(1)).alias("__c"))
-                   .groupBy("__i").agg(F.count(F.lit(1)).alias("n_unique"), F.sum("__c").alias("__nn")))
-        # per_col has one row per column (+ the row counter), so the total is
-        # spread over those few rows by a window instead of a second pass
-        per_col = per_col.select("*", F.max(F.when(F.col("__i") == -1, F.col("__nn"))).over(Window.partitionBy())
-                                 .alias("__n"))
-        stats = meta.join(F.broadcast(per_col), "__i", "left").select(
-            "__i", "column_name", "dtype", F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
-            (F.coalesce("__n", F.lit(0)) - F.coalesce("__nn", F.lit(0))).alias("n_missing"),
-            F.coalesce("__n", F.lit(0)).alias("__n"))
+        entries = [F.struct(F.lit(i).alias("__i"), *[v.alias(k) for k, v in _value_key(f).items()])
+                   for i, f in enumerate(df.schema.fields)]
+        pairs = df.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
+        some = F.coalesce(F.col("vl").isNotNull() | F.col("vn").isNotNull() | F.col("vs").isNotNull(), F.lit(False))
+        per = (pairs.groupBy("__i", "vl", "vn", "vs").agg(F.count(F.lit(1)).alias("__c")).withColumn("__some", some)
+               .groupBy("__i").agg(F.count_if("__some").alias("n_unique"),
+                                   F.sum(F.when(F.col("__some"), 0).otherwise(F.col("__c"))).alias("n_missing"),
+                                   F.sum("__c").alias("__n")))
     else:
         agg = df.agg(F.count(F.lit(1)).alias("__n"),
                      *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)],
                      *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"u{i}") for i, c in enumerate(cols)])
-        long = agg.select("__n", F.explode(F.array(*[
-            F.struct(F.lit(i).alias("__i"), F.col(f"u{i}").alias("n_unique"), F.col(f"c{i}").alias("__nn"))
+        per = agg.select("__n", F.explode(F.array(*[
+            F.struct(F.lit(i).alias("__i"), F.col(f"u{i}").alias("n_unique"), (F.col("__n") - F.col(f"c{i}")).alias("n_missing"))
             for i in range(len(cols))])).alias("r")).select("__n", "r.*")
-        stats = meta.join(F.broadcast(long), "__i").select(
-            "__i", "column_name", "dtype", "n_unique", (F.col("__n") - F.col("__nn")).alias("n_missing"), "__n")
-    rate = F.col("n_missing").cast("double") / F.col("__n").cast("double")
+    # one row per column of the table
+    stats = meta.join(F.broadcast(per), "__i", "left").fillna(0, subset=["n_unique", "n_missing", "__n"])
+    rate = F.col("n_missing").cast("double") / F.nullif(F.col("__n").cast("double"), F.lit(0.0))
     return stats.select("column_name", "dtype", "n_unique", "n_missing", F.round(rate, 6).alias("missing_rate"),
                         ((rate < max_missing) & (F.col("n_unique") < max_unique)).alias("keep"))
 
@@ -162,28 +156,25 @@ def duplicate_row_count(df: DataFrame) -> DataFrame:
     return per.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
-def iqr_outliers(df: DataFrame, k: float = 1.5, exact: bool = True) -> DataFrame:
-    """Q14: values outside [q1 - k*IQR, q3 + k*IQR] per numeric column.
-
-    Pass 1: one aggregate of all quartiles; pass 2: one conditional count per
-    column against those bounds (appended as a one-row broadcast).
-    """
+def iqr_outliers(df: DataFrame, k: float = 1.5) -> DataFrame:
+    """Q14: values outside [q1 - k*IQR, q3 + k*IQR] per numeric column, from the
+    counted values (one run of the input)."""
     nums = numeric_fields(df)
-    qs = (quantile_columns(df, nums, [0.25, 0.75]) if exact else
-          df.agg(*[F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75], 10000).alias(f"q{i}")
-                   for i, c in enumerate(nums)]))
-    j = attach_one_row(df.select(*nums), qs)
-    counts = []
-    for i, c in enumerate(nums):
-        q1, q3 = F.col(f"q{i}")[0], F.col(f"q{i}")[1]
-        iqr = q3 - q1
-        x = F.col(c).cast("double")
-        counts.append(F.count_if((x < q1 - k * iqr) | (x > q3 + k * iqr)).cast("bigint").alias(f"o{i}"))
-        counts.append(F.first(q1).alias(f"a{i}"))
-        counts.append(F.first(q3).alias(f"b{i}"))
-    agg = j.agg(*counts)
-    return _long(agg, [(c, {"q1": F.round(F.col(f"a{i}"), 6), "q3": F.round(F.col(f"b{i}"), 6),
-                            "outlier_count": F.col(f"o{i}")}) for i, c in enumerate(nums)])
+    counts = value_counts(df.select(*nums), nums)
+    per = fenced(counts, k, [0.25, 0.75]).groupBy("feature").agg(
+        F.first("q1").alias("q1"), F.first("q3").alias("q3"), F.sum(F.when(~F.col("inside"), F.col("c")).otherwise(0)).alias("o"))
+    named = df.sparkSession.createDataFrame([(c,) for c in nums], "column_name string")
+    return named.join(per, F.col("column_name") == F.col("feature"), "left").select(
+        "column_name", F.round("q1", 6).alias("q1"), F.round("q3", 6).alias("q3"), F.coalesce("o", F.lit(0)).cast("bigint").alias("outlier_count"))
+
+
+def fenced(counts: DataFrame, k: float, probs: Sequence[float]) -> DataFrame:
+    """Counted values with their group's quartiles and whether they lie within the fences.
+    ``probs`` starts with the lower and ends with the upper quartile."""
+    q = quantiles(counts, probs)
+    j = counts.join(q, list(KEYS)).withColumns({"q1": F.col("q")[0], "q3": F.col("q")[len(probs) - 1]})
+    reach = k * (F.col("q3") - F.col("q1"))
+    return j.withColumn("inside", (F.col("x") >= F.col("q1") - reach) & (F.col("x") <= F.col("q3") + reach))
 
 
 def merge_entity_counts(merged: DataFrame) -> DataFrame:
@@ -292,29 +283,10 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], group: str | None = None,
                   with_all: bool = False) -> DataFrame:
     """Quartiles, whiskers (furthest values within k*IQR) and outliers,
     per column and group ('ALL' without a group; ``with_all`` adds the 'ALL'
-    rows to a grouped run).  One pass: the columns are unpivoted to
-    (feature, group, x) rows, quartiles are aggregated per (feature, group)
-    and joined back (one row per feature x group, bounded by the domains)."""
-    grp = F.col(group).cast("string") if group else F.lit("ALL")
-    entries = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        entries.append(F.struct(F.lit(c).alias("feature"), grp.alias("group_value"), x.alias("x")))
-        if group and with_all:
-            entries.append(F.struct(F.lit(c).alias("feature"), F.lit("ALL").alias("group_value"), x.alias("x")))
-    long = (df.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
-            .filter(F.col("x").isNotNull() & F.col("group_value").isNotNull()))
-    gk = ["feature", "group_value"]
-    bounded = all(bounded_domain(df.schema[c]) for c in cols)
-    q = (long.groupBy(*gk).agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q"))
-         if bounded or few_distinct(long, gk, "x") else exact_quantiles(long, gk, "x", [0.25, 0.5, 0.75]))
-    j = long.join(q, ["feature", "group_value"])
-    iqr = F.col("q")[2] - F.col("q")[0]
-    lo, hi = F.col("q")[0] - k * iqr, F.col("q")[2] + k * iqr
-    inside = (F.col("x") >= lo) & (F.col("x") <= hi)
-    return j.groupBy("feature", "group_value").agg(
-        F.round(F.first(F.col("q")[0]), 6).alias("q1"), F.round(F.first(F.col("q")[1]), 6).alias("median"),
-        F.round(F.first(F.col("q")[2]), 6).alias("q3"),
-        F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-        F.count_if(~inside).cast("bigint").alias("outliers"))
+    rows to a grouped run), all from the counted values."""
+    counts = value_counts(df, cols, group, with_all)
+    inside = F.when(F.col("inside"), F.col("x"))
+    return fenced(counts, k, [0.25, 0.5, 0.75]).groupBy(*KEYS).agg(
+        F.round(F.first("q1"), 6).alias("q1"), F.round(F.first(F.col("q")[1]), 6).alias("median"),
+        F.round(F.first("q3"), 6).alias("q3"), F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"),
+        F.sum(F.when(~F.col("inside"), F.col("c")).otherwise(0)).cast("bigint").alias("outliers"))

@@ -23,8 +23,10 @@ def future_dates(collision: DataFrame, as_of=None) -> DataFrame:
 
 
 def invalid_time(collision: DataFrame, time_col: str = "time_of_accident") -> DataFrame:
-    """Q2: times that do not parse as HH:mm within 00:00-23:59."""
-    return collision.agg(F.count_if(tod_minutes(time_col).isNull()).cast("bigint").alias("invalid_time_count"))
+    """Q2: times outside 00:00-23:59:59 or not of the form HH:mm[:ss]; a missing
+    time is not an invalid one (it compares as unknown)."""
+    bad = F.col(time_col).isNotNull() & tod_minutes(time_col).isNull()
+    return collision.agg(F.count_if(bad).cast("bigint").alias("invalid_time_count"))
 
 
 def invalid_severity(collision: DataFrame) -> DataFrame:

@@ -1,24 +1,14 @@
-"""Exact percentiles that stay distributed for high-cardinality values.
+"""Exact percentiles from counted values, distributed for any number of values.
 
-Spark's ``percentile`` keeps a value -> count map per group and merges the
-maps of a group in one task, so its memory grows with the number of distinct
-values (fine for code columns, not for coordinates or timestamps at scale).
-:func:`exact_quantiles` computes the same numbers from a range-sorted table of
-distinct (group, value, count) rows:
-
-1. distinct values with their counts (hash aggregate, map-side combine);
-2. range-partitioned sort, checkpointed to the shared checkpoint folder so the
-   partition ids stay fixed under task retries;
-3. running counts inside each sorted partition + per-partition offsets (one
-   row per partition) give every distinct value its global rank interval;
-4. the rows covering the target ranks of each group are picked by a join on
-   the partition id and interpolated exactly as ``percentile`` does:
-   ``position = p * (n - 1)``, ``(ceil - pos) * v[floor] + (pos - floor) * v[ceil]``.
-
-No task holds more than one sorted partition; the per-group tables have one
-row per group.  :func:`quantile_columns` picks Spark's ``percentile`` when
-every group has few distinct values (HyperLogLog check) and this operator
-otherwise.
+Every column is unpivoted and counted by value in one run of its input
+(:func:`value_counts`, combined map-side): repeated values cost one row whatever
+their number, and raw rows are never shuffled or read again.  The counted rows
+are range-sorted and checkpointed to the shared folder (partition numbers stay as
+they are when a task is repeated); running counts inside a sorted partition plus
+the partitions' offsets give every value its interval of ranks, and the values
+that cover a target rank are interpolated as Spark's ``percentile`` does:
+``position = p * (n - 1)``, ``(ceil - pos) * v[floor] + (pos - floor) * v[ceil]``.
+There is one path for all columns; no task holds more than a sorted partition.
 """
 
 from __future__ import annotations
@@ -29,98 +19,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crashlens.functions.expr import attach_one_row
 from crashlens.session import checkpoint_dir
-from crashlens.sources.schemas import bounded_domain
 
-# distinct values per group up to which Spark's map-based ``percentile`` is used
-MAP_PERCENTILE_MAX_DISTINCT = 1_000_000
+KEYS = ("feature", "group_value")
+ALL = "ALL"
 
 
-def exact_quantiles(long: DataFrame, group_cols: Sequence[str], x: str, probs: Sequence[float],
-                    out: str = "q") -> DataFrame:
-    """One row per group with a non-NULL value: ``group_cols..., out`` where
-    ``out`` is the array of exact percentiles at ``probs`` (``percentile``
-    semantics, NULLs ignored)."""
-    g = list(group_cols)
-    spark = long.sparkSession
-    checkpoint_dir(spark)
-    vc = (long.where(F.col(x).isNotNull()).groupBy(*g, F.col(x).cast("double").alias("__x"))
-          .agg(F.count(F.lit(1)).alias("__c")))
-    srt = vc.orderBy(*g, "__x").checkpoint(eager=True)
-    part = srt.withColumn("__p", F.spark_partition_id())
-    # running count inside each sorted partition (window = one partition's rows)
-    local = part.withColumn("__cum", F.sum("__c").over(
-        Window.partitionBy("__p").orderBy(*g, "__x").rowsBetween(Window.unboundedPreceding, 0)))
-    ptot = part.groupBy("__p").agg(F.sum("__c").alias("__pt"))
-    # one row per partition: offsets of the partitions in sort order
-    poff = ptot.select("__p", "__pt", F.coalesce(F.sum("__pt").over(
-        Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    ranked = local.join(F.broadcast(poff.select("__p", "__off")), "__p").select(
-        *g, "__x", "__p", (F.col("__off") + F.col("__cum") - F.col("__c")).alias("__s"),
-        (F.col("__off") + F.col("__cum")).alias("__e"))
-    groups = ranked.groupBy(*g).agg(F.min("__s").alias("__gs"), (F.max("__e") - F.min("__s")).alias("__n"))
-    # target ranks: two per probability (floor and ceil of the position)
-    targets = []
-    for i, p in enumerate(probs):
-        pos = (F.col("__n") - 1).cast("double") * F.lit(float(p))
-        targets.append(F.struct(F.lit(i).alias("__qi"), pos.alias("__pos"), F.lit(0).alias("__side"),
-                                (F.col("__gs") + F.floor(pos).cast("long")).alias("__r")))
-        targets.append(F.struct(F.lit(i).alias("__qi"), pos.alias("__pos"), F.lit(1).alias("__side"),
-                                (F.col("__gs") + F.ceil(pos).cast("long")).alias("__r")))
-    tg = groups.select(*g, F.explode(F.array(*targets)).alias("__t")).select(*g, "__t.*")
-    # partition holding each target rank (partitions x targets, both small)
-    tgp = tg.join(F.broadcast(poff), (F.col("__r") >= F.col("__off")) & (F.col("__r") < F.col("__off") + F.col("__pt")))
-    hit = ranked.alias("a").join(tgp.alias("t"), [F.col(f"a.{c}").eqNullSafe(F.col(f"t.{c}")) for c in g]
-                                 + [F.col("a.__p") == F.col("t.__p"), F.col("t.__r") >= F.col("a.__s"),
-                                    F.col("t.__r") < F.col("a.__e")])
-    picked = hit.select(*[F.col(f"a.{c}").alias(c) for c in g], "t.__qi", "t.__pos", "t.__side", "a.__x")
-    per = picked.groupBy(*g, "__qi").agg(
-        F.first("__pos").alias("__pos"),
-        F.max(F.when(F.col("__side") == 0, F.col("__x"))).alias("__lo"),
-        F.max(F.when(F.col("__side") == 1, F.col("__x"))).alias("__hi"))
-    lo_i, hi_i = F.floor("__pos"), F.ceil("__pos")
-    val = F.when(lo_i == hi_i, F.col("__lo")).otherwise(
-        (hi_i - F.col("__pos")) * F.col("__lo") + (F.col("__pos") - lo_i) * F.col("__hi"))
-    per = per.select(*g, "__qi", val.alias("__v"))
-    return per.groupBy(*g).agg(F.array(*[F.max(F.when(F.col("__qi") == i, F.col("__v")))
-                                         for i in range(len(probs))]).alias(out))
+def value_counts(df: DataFrame, cols: Sequence[str], group: str | None = None, with_all: bool = False) -> DataFrame:
+    """feature, group_value, x, c: how often each non-NULL value of ``cols`` occurs, per
+    value of ``group`` (NULL groups left out) or under 'ALL' (``with_all``: both), sorted
+    and checkpointed."""
+    entries = []
+    for name in cols:
+        x = F.col(f"`{name}`").cast("double").alias("x")
+        if group:
+            entries.append(F.struct(F.lit(name).alias("feature"), F.col(group).cast("string").alias("group_value"), x))
+        if not group or with_all:
+            entries.append(F.struct(F.lit(name).alias("feature"), F.lit(ALL).alias("group_value"), x))
+    checkpoint_dir(df.sparkSession)
+    rows = df.select(F.explode(F.array(*entries)).alias("r")).select("r.*").where("x IS NOT NULL AND group_value IS NOT NULL")
+    counts = rows.groupBy(*KEYS, "x").agg(F.count(F.lit(1)).alias("c"))
+    return counts.orderBy(*KEYS, "x").checkpoint(eager=True)
 
 
-def few_distinct(long: DataFrame, group_cols: Sequence[str], x: str,
-                 limit: int = MAP_PERCENTILE_MAX_DISTINCT) -> bool:
-    """True when every group has at most ``limit`` distinct values (HyperLogLog,
-    one aggregate; one row per group reaches the aggregate, one number the
-    driver)."""
-    per = long.groupBy(*group_cols).agg(F.approx_count_distinct(x, 0.05).alias("__d")) if group_cols \
-        else long.agg(F.approx_count_distinct(x, 0.05).alias("__d"))
-    m = per.agg(F.max("__d").alias("m")).first()["m"]
-    return (m or 0) <= limit
-
+def quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """feature, group_value, q (array of the exact percentiles at ``probs``) of the sorted
+    rows of :func:`value_counts`."""
+    part = counts.withColumn("p", F.spark_partition_id())
+    running = Window.partitionBy("p").orderBy(*KEYS, "x").rowsBetween(Window.unboundedPreceding, 0)
+    local = part.withColumn("cum", F.sum("c").over(running))
+    totals = part.groupBy("p").agg(F.sum("c").alias("size"))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("p", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("off"))
+    # one row per sorted partition
+    ranked = local.join(F.broadcast(offsets), "p").select(
+        *KEYS, "x", (F.col("off") + F.col("cum") - F.col("c")).alias("start"), (F.col("off") + F.col("cum")).alias("stop"))
+    groups = ranked.groupBy(*KEYS).agg(F.min("start").alias("first"), (F.max("stop") - F.min("start")).alias("n"))
+    # a group's target ranks go to its rows as one small array; a row keeps those it covers
+    position = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    wanted = F.array(*[r for i, pos in enumerate(position) for r in (
+        F.struct(F.lit(2 * i).alias("slot"), (F.col("first") + F.floor(pos)).alias("rank")),
+        F.struct(F.lit(2 * i + 1).alias("slot"), (F.col("first") + F.ceil(pos)).alias("rank")))])
+    targets = groups.select(*KEYS, "n", wanted.alias("wanted"))
+    hits = ranked.join(targets, list(KEYS)).select(*KEYS, "x", "n", F.explode(F.filter(
+        "wanted", lambda t: (t["rank"] >= F.col("start")) & (t["rank"] < F.col("stop")))["slot"]).alias("slot"))
+    picked = hits.groupBy(*KEYS).agg(F.first("n").alias("n"), *[
+        F.max(F.when(F.col("slot") == s, F.col("x"))).alias(f"v{s}") for s in range(2 * len(probs))])
+    values = []
+    for i, p in enumerate(probs):
+        pos = (F.col("n") - 1) * F.lit(float(p))
+        low, high = F.floor(pos), F.ceil(pos)
+        values.append(F.when(low == high, F.col(f"v{2 * i}")).otherwise(
+            (high - pos) * F.col(f"v{2 * i}") + (pos - low) * F.col(f"v{2 * i + 1}")))
+    return picked.select(*KEYS, F.array(*values).alias("q"))
 
-def quantile_columns(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                     limit: int = MAP_PERCENTILE_MAX_DISTINCT) -> DataFrame:
-    """One row: ``q{i}`` = exact percentiles of ``cols[i]`` at ``probs``.
 
-    Columns with a bounded domain (declared, or by type) and columns with few
-    distinct values (HyperLogLog pass over the other columns) use Spark's
-    ``percentile`` (one pass); the others go through :func:`exact_quantiles`
-    on an unpivoted (column index, value) table."""
+def quantile_columns(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """One row: ``q{i}`` = exact percentiles of ``cols[i]`` at ``probs`` (NULL for a column
+    without values)."""
     cols = list(cols)
     if not cols:
         return df.sparkSession.range(1).select()
-    small = [i for i, c in enumerate(cols) if bounded_domain(df.schema[c])]
-    check = [i for i in range(len(cols)) if i not in small]
-    if check:
-        d = df.agg(*[F.approx_count_distinct(F.col(cols[i]), 0.05).alias(f"d{i}") for i in check]).first()
-        small += [i for i in check if (d[f"d{i}"] or 0) <= limit]
-    big = [i for i in range(len(cols)) if i not in small]
-    res = df.agg(*[F.percentile(F.col(cols[i]).cast("double"), list(probs)).alias(f"q{i}") for i in small]) \
-        if small else df.sparkSession.range(1).select()
-    if big:
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("__i"), F.col(cols[i]).cast("double").alias("v"))
-                                             for i in big])).alias("r")).select("r.*")
-        q = exact_quantiles(long, ["__i"], "v", probs)
-        wide = q.agg(*[F.max(F.when(F.col("__i") == i, F.col("q"))).alias(f"q{i}") for i in big])
-        res = attach_one_row(res, wide)
-    return res.select(*[f"q{i}" for i in range(len(cols))])
+    q = quantiles(value_counts(df, cols), probs)
+    return q.agg(*[F.max(F.when(F.col("feature") == c, F.col("q"))).alias(f"q{i}") for i, c in enumerate(cols)])

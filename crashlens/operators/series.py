@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crashlens.functions.expr import start_of
+
 KEY = "series_key"
 
 
@@ -23,7 +25,7 @@ def _key(series_key: str | Column | None) -> Column:
 
 
 def counts_per_period(df: DataFrame, ts: str, unit: str, series_key=None, also_all: bool = False) -> DataFrame:
-    """Count rows per ``date_trunc(unit, ts)`` and series.
+    """Count rows per the start of ``ts``'s hour or day and series.
 
     With ``also_all`` every row feeds its own series and the 'ALL' series in the
     same scan (``explode`` of a two-element array before the aggregate).
@@ -31,7 +33,7 @@ def counts_per_period(df: DataFrame, ts: str, unit: str, series_key=None, also_a
     key = _key(series_key)
     if also_all and series_key is not None:
         key = F.explode(F.array(key, F.lit("ALL")))
-    per = df.select(key.alias(KEY), F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz").alias("ts"))
+    per = df.select(key.alias(KEY), start_of(unit, ts).alias("ts"))
     return per.filter(F.col("ts").isNotNull()).groupBy(KEY, "ts").agg(F.count(F.lit(1)).alias("y"))
 
 

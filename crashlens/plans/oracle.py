@@ -8,7 +8,7 @@ and builds the cleaned tables and views the queries read.
 
 from __future__ import annotations
 
-from crashlens.functions import codes
+from crashlens.plans import oracle_labels
 from crashlens.sources import fixtures
 
 
@@ -55,12 +55,12 @@ def _features(period_night: str) -> str:
            WHEN {period_night.format(h=hour)} THEN 'Night'
            ELSE 'Off-Peak' END AS time_period,
       CASE WHEN {dow} IN (0, 6) THEN TRUE ELSE FALSE END AS is_weekend,
-      {_case('collision_severity', codes.SEVERITY, None)} AS severity_label,
-      {_case('weather_conditions', codes.WEATHER, 'Unknown')} AS weather_label,
-      {_case('light_conditions', codes.LIGHT, 'Unknown')} AS light_label,
-      {_case('road_surface_conditions', codes.SURFACE, 'Unknown')} AS road_surface_label,
-      {_case('road_type', codes.ROAD_TYPE, 'Unknown')} AS road_type_label,
-      {_case('urban_or_rural_area', codes.AREA, 'Unknown')} AS area_type_label
+      {_case('collision_severity', oracle_labels.DOMAINS["severity"], None)} AS severity_label,
+      {_case('weather_conditions', oracle_labels.DOMAINS["weather"], 'Unknown')} AS weather_label,
+      {_case('light_conditions', oracle_labels.DOMAINS["light"], 'Unknown')} AS light_label,
+      {_case('road_surface_conditions', oracle_labels.DOMAINS["surface"], 'Unknown')} AS road_surface_label,
+      {_case('road_type', oracle_labels.DOMAINS["road_type"], 'Unknown')} AS road_type_label,
+      {_case('urban_or_rural_area', oracle_labels.DOMAINS["area"], 'Unknown')} AS area_type_label
     FROM collision c"""
 
 
@@ -116,7 +116,7 @@ def _nb_global() -> str:
 
 def _nb_full() -> str:
     labels = ", ".join(f"{_case(f'CAST({c} AS DOUBLE)', m, None)} AS {c}_label"
-                       for c, m in codes.NOTEBOOK_LABELS.items())
+                       for c, m in oracle_labels.NOTEBOOK.items())
     return f"""
     nb_clean AS ({_nb_global()}),
     nb_dt AS (
@@ -138,8 +138,8 @@ def _prelude() -> str:
                                 "sex_of_driver": (-1,), "driver_imd_decile": (-1,)}.items())
     cc = ", ".join(f"CASE WHEN {c} = -1 THEN NULL ELSE {c} END AS {c}"
                    for c in ("age_of_casualty", "sex_of_casualty", "casualty_imd_decile", "pedestrian_location"))
-    veh_label = _case("v.vehicle_type", codes.VEHICLE_TYPE, "Other")
-    cas_label = _case("cas.casualty_severity", codes.SEVERITY, None)
+    veh_label = _case("v.vehicle_type", oracle_labels.DOMAINS["vehicle_type"], "Other")
+    cas_label = _case("cas.casualty_severity", oracle_labels.DOMAINS["severity"], None)
     return f"""WITH {fixtures.oracle_ctes()},
     collision AS (
       SELECT * REPLACE (

@@ -236,6 +236,12 @@ BODIES["training_matrix"] = TM + "SELECT * FROM tm"
 BODIES["class_distribution"] = TM + f"""
 SELECT label, n, {rnd('CAST(n AS DOUBLE) / SUM(n) OVER ()', 6)} AS share
 FROM (SELECT label, COUNT(*) AS n FROM tm GROUP BY label) t"""
+BODIES["stratified_folds"] = TM + """
+SELECT label, CAST(fold AS INTEGER) AS fold, n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END AS n
+FROM (SELECT label, COUNT(*) AS n FROM tm GROUP BY label) t, range(5) f(fold)
+WHERE n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END > 0"""
+BODIES["smote_balanced"] = TM + """
+SELECT label, MAX(COUNT(*)) OVER () AS n FROM tm GROUP BY label"""
 BODIES["class_weights"] = TM + f"""
 SELECT label, n, {rnd('CAST(SUM(n) OVER () AS DOUBLE) / (COUNT(*) OVER () * n)', 6)} AS weight
 FROM (SELECT label, COUNT(*) AS n FROM tm GROUP BY label) t"""

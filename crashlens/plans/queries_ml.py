@@ -11,8 +11,7 @@ from crashlens.plans.tables import TRAINING_FEATURES
 
 ID_COLS = ("collision_index", "vehicle_reference", "casualty_reference")
 # registered model sizes: the reference's settings (trees, rounds, iterations)
-MODEL_PARAMS = {"rf": dict(num_trees=100, max_depth=15), "gbt": dict(gbt_iter=100), "mlp": dict(mlp_iter=500)}
-_holdout_cache: dict[tuple, DataFrame] = {}
+MODEL_PARAMS = {"rf": dict(num_trees=100, max_depth=ml.DEPTH), "gbt": dict(gbt_iter=100), "mlp": dict(mlp_iter=500)}
 
 
 def matrix(spark, sf) -> DataFrame:
@@ -39,68 +38,66 @@ def _(spark, sf):
 
 @q("class_weights")
 def _(spark, sf):
-    return ml.class_weights(matrix(spark, sf))
+    return ml.class_weights(matrix(spark, sf)).withColumn("weight", F.round("weight", 6))
 
 
 @q("scaled_features")
 def _(spark, sf):
     m = matrix(spark, sf)
-    return ml.standard_scale(m, feature_names(m), ID_COLS)
+    names = feature_names(m)
+    return ml.standard_scale(m, names, ID_COLS).withColumns({c: F.round(c, 4) for c in names})
 
 
 @q("macro_metrics")
 def _(spark, sf):
     m = matrix(spark, sf)
     rule = (F.when(F.col("speed_limit") >= 60, 1).when(F.col("number_of_casualties") >= 3, 0).otherwise(2))
-    return ml.macro_metrics(m.withColumn("prediction", rule))
+    return rounded(ml.macro_metrics(m.withColumn("prediction", rule)))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c, kind in df.dtypes if kind == "double"})
+
+
+def labelled(spark, sf) -> DataFrame:
+    return with_row_id(ml.labelled_rows(T(spark, sf).training_rows, TRAINING_FEATURES, id_cols=ID_COLS))
 
 
 @q("stratified_folds")
 def _(spark, sf):
-    folds = ml.stratified_folds(with_row_id(matrix(spark, sf)), "row_id", 5)
+    folds = ml.stratified_folds(labelled(spark, sf).select("row_id", "label"), "row_id", 5)
     return folds.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @q("smote_balanced")
 def _(spark, sf):
     m = with_row_id(matrix(spark, sf))
-    bal = ml.smote(m, feature_names(matrix(spark, sf)), "row_id")
-    return bal.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return ml.smote(m, feature_names(m), "row_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def holdout(spark, sf, model: str) -> DataFrame:
-    key = (id(spark), sf, model)
-    if key not in _holdout_cache:
-        m = with_row_id(matrix(spark, sf))
-        res = ml.holdout_metrics(m, model, feature_names(matrix(spark, sf)), "row_id",
-                                 **MODEL_PARAMS.get(model, {}))
-        _holdout_cache[key] = spark.createDataFrame(res.collect(), res.schema)  # one row of metrics
-    return _holdout_cache[key]
+def validated(spark, sf, *models: str) -> DataFrame:
+    rows = labelled(spark, sf)
+    return rounded(ml.compare_models(rows, feature_names(rows), "row_id", 5, MODEL_PARAMS, models))
 
 
-for _m in ("lr", "rf", "mlp", "gbt"):
-    q(f"clf_{_m}")(lambda spark, sf, _m=_m: holdout(spark, sf, _m))
+for _m in ml.MODELS:
+    q(f"clf_{_m}")(lambda spark, sf, _m=_m: validated(spark, sf, _m))
 
 
 @q("model_comparison")
 def _(spark, sf):
-    out = None
-    for m in ("lr", "rf", "mlp", "gbt"):
-        r = holdout(spark, sf, m)
-        out = r if out is None else out.unionByName(r)
-    return out
+    return validated(spark, sf, *ml.MODELS)
 
 
 @q("best_model")
 def _(spark, sf):
-    from crashlens.plans.queries import QUERIES
-    return ml.best_model(QUERIES["model_comparison"](spark, sf))
+    return ml.best_model(validated(spark, sf, *ml.MODELS))
 
 
 @q("cv_metrics")
 def _(spark, sf):
-    m = with_row_id(matrix(spark, sf))
-    return ml.cross_validate(m, "lr", feature_names(matrix(spark, sf)), "row_id", 5)
+    """Cross-validation of the two models that need no resampling."""
+    return validated(spark, sf, "lr", "rf")
 
 
 @q("vif")

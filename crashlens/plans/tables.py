@@ -65,8 +65,8 @@ class Tables:
     # -- SQL-script pipeline -------------------------------------------------
     @cached_property
     def collision(self) -> DataFrame:
-        # the primary key is declared unique; dq_key_violations checks it
-        return cleaning.clean_collision(self.raw_collision)
+        # the script removes repeated keys before the views read the table
+        return cleaning.dedup_collisions(cleaning.clean_collision(self.raw_collision))
 
     @cached_property
     def vehicle(self) -> DataFrame:
@@ -81,24 +81,7 @@ class Tables:
 
     @cached_property
     def full(self) -> DataFrame:
-        return joins.full_accident_data(self.features(), self.vehicle, self.casualty, hot=self.hot_child_keys)
-
-    @cached_property
-    def hot_child_keys(self) -> tuple[list, list]:
-        """Keys holding > 0.1 % of the child rows (J1, J2 hot-key split): one
-        keys-only aggregate per child table, at most 1,000 tuples each to the
-        driver.  With no hot key the joins stay plain joins.  Found on the raw
-        child projections: no dedup shuffle is needed since the split is exact
-        for any key set."""
-        vk, ck = ["collision_index"], ["collision_index", "vehicle_reference"]
-        vt = self.raw_casualty.schema["vehicle_reference"].dataType
-        # both key aggregates in one job (their scans run side by side)
-        both = (joins.hot_key_table(self.raw_vehicle, vk, 0.001)
-                .select(F.lit(0).alias("__t"), "collision_index", F.lit(None).cast(vt).alias("vehicle_reference"))
-                .unionByName(joins.hot_key_table(self.raw_casualty, ck, 0.001).select(F.lit(1).alias("__t"), *ck))
-                .collect())
-        return ([(r["collision_index"],) for r in both if r["__t"] == 0],
-                [(r["collision_index"], r["vehicle_reference"]) for r in both if r["__t"] == 1])
+        return joins.full_accident_data(self.features(), self.vehicle, self.casualty)
 
     # -- notebook pipeline ---------------------------------------------------
     def _nb_table(self, df: DataFrame, cols, name: str) -> DataFrame:
@@ -122,8 +105,7 @@ class Tables:
 
     @cached_property
     def nb_merged(self) -> DataFrame:
-        return joins.merge_with_indicator(self.nb_collision, self.nb_vehicle, self.nb_casualty,
-                                          hot=self.hot_child_keys)
+        return joins.merge_with_indicator(self.nb_collision, self.nb_vehicle, self.nb_casualty)
 
     @cached_property
     def nb_full(self) -> DataFrame:

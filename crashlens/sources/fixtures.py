@@ -71,8 +71,8 @@ FROM (
 
 VEHICLE_SQL = """
 SELECT
-  (CASE WHEN l_partkey % 503 = 0 THEN l_orderkey + 100000000 ELSE l_orderkey END) * 10 + l_linenumber AS vehicle_id,
-  CAST(CASE WHEN l_partkey % 503 = 0 THEN l_orderkey + 100000000 ELSE l_orderkey END AS STRING) AS collision_index,
+  (CASE WHEN l_partkey % 19 = 0 THEN l_orderkey + 100000000 ELSE l_orderkey END) * 10 + l_linenumber AS vehicle_id,
+  CAST(CASE WHEN l_partkey % 19 = 0 THEN l_orderkey + 100000000 ELSE l_orderkey END AS STRING) AS collision_index,
   CAST(l_linenumber AS STRING) AS vehicle_reference,
   CAST(CASE l_partkey % 12 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 8
        WHEN 6 THEN 9 WHEN 7 THEN 19 WHEN 8 THEN 11 WHEN 9 THEN 10 WHEN 10 THEN 20 ELSE 99 END AS INT) AS vehicle_type,
@@ -85,15 +85,14 @@ SELECT
   CAST(NULL AS INT) AS driver_home_area_type,
   l_shipdate AS created_at
 FROM {lineitem}
-WHERE l_partkey % 19 <> 0
 """
 
 CASUALTY_SQL = """
 SELECT
   l_orderkey * 100 + l_linenumber * 10 + 1 + l_suppkey % 2 AS casualty_id,
   CAST(l_orderkey AS STRING) AS collision_index,
-  CAST(l_linenumber AS STRING) AS vehicle_reference,
-  CAST(1 + l_suppkey % 2 AS STRING) AS casualty_reference,
+  CAST(CASE WHEN l_returnflag = 'N' THEN 1 ELSE l_linenumber END AS STRING) AS vehicle_reference,
+  CAST(CASE WHEN l_returnflag = 'N' THEN 10 * l_linenumber ELSE 0 END + 1 + l_suppkey % 2 AS STRING) AS casualty_reference,
   CAST(1 + l_partkey % 3 AS INT) AS casualty_class,
   CAST(CASE WHEN l_partkey % 101 = 0 THEN -1
             ELSE CASE WHEN l_suppkey % 20 = 0 THEN 1 WHEN l_suppkey % 20 < 5 THEN 2 ELSE 3 END
@@ -107,7 +106,6 @@ SELECT
   CAST(NULL AS INT) AS casualty_imd_decile,
   l_shipdate AS created_at
 FROM {lineitem}
-WHERE l_returnflag <> 'N'
 """
 
 # Collision input for the dedup job: every row plus a later copy of the

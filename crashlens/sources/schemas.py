@@ -54,23 +54,3 @@ EVENTS = T.StructType([
 
 KEYS = {"collision": ("collision_index",), "vehicle": ("collision_index", "vehicle_reference"),
         "casualty": ("collision_index", "vehicle_reference", "casualty_reference")}
-
-# Columns whose values come from a code list or a small range by definition
-# (codes, per-accident counts and ordinals, ages, speed limits, calendar
-# parts): their distinct values stay bounded whatever the row count, so exact
-# map-based percentiles are safe on them without a cardinality check.
-BOUNDED_DOMAIN_COLUMNS = frozenset({
-    "collision_severity", "casualty_severity", "weather_conditions", "light_conditions",
-    "road_surface_conditions", "road_type", "urban_or_rural_area", "junction_detail", "junction_control",
-    "special_conditions_at_site", "police_force", "first_road_class", "vehicle_type", "vehicle_manoeuvre",
-    "sex_of_driver", "age_band_of_driver", "driver_imd_decile", "casualty_class", "sex_of_casualty",
-    "casualty_type", "pedestrian_location", "number_of_vehicles", "number_of_casualties", "speed_limit",
-    "age_of_driver", "age_of_casualty", "vehicle_reference", "casualty_reference", "hour", "hour_of_day",
-    "time_slot_15min", "day_of_week", "month", "is_weekend", "label",
-})
-
-
-def bounded_domain(field: T.StructField) -> bool:
-    """True for declared bounded columns and for types with a small domain."""
-    return field.name in BOUNDED_DOMAIN_COLUMNS or isinstance(
-        field.dataType, (T.BooleanType, T.ByteType, T.ShortType))

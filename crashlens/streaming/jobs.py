@@ -33,10 +33,11 @@ def hourly_counts_stream(events: DataFrame, series_key: str = "event_type", dela
             .select("series_key", F.col("window.start").cast("timestamp_ntz").alias("ts"), "y"))
 
 
-def score_requests_stream(requests: DataFrame, features: DataFrame) -> DataFrame:
-    """U2 on a request stream (stream-static left join per micro-batch)."""
-    from crashlens.operators.risk import risk_score_batch
-    return risk_score_batch(features, requests)
+def score_requests_stream(requests: DataFrame, cube: DataFrame) -> DataFrame:
+    """U2 on a request stream (stream-static left join per micro-batch) against a
+    written :func:`crashlens.operators.risk.risk_cube`."""
+    from crashlens.operators.risk import score_requests
+    return score_requests(cube, requests)
 
 
 def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, mode: str = "append"):

@@ -18,11 +18,11 @@ def spark():
     s = (SparkSession.builder.master("local[*]").appName("crashlens-tests")
          .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
          .config("spark.driver.memory", "8g")
-         .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+         .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="crashlens-test-warehouse-"))
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="crashlens-test-ckpt-")).getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     configure(s)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="crashlens-test-ckpt-"))
     yield s
     s.stop()
 

@@ -22,9 +22,27 @@ def test_csv_roundtrip_with_declared_schema(spark, sf):
     out = os.path.join(_tmp(), "collision_csv")
     io.write_csv(t.raw_collision, out)
     back = io.read_collisions(spark, out)
-    assert back.count() == t.raw_collision.count()
-    assert back.filter(F.col("_corrupt_record").isNotNull() | F.col("collision_index").isNull()).count() == 0
+    assert io.reject_counts(back).count() == 0
     assert [f.name for f in back.schema.fields][:-1] == [f.name for f in schemas.COLLISION.fields]
+    same = io.accepted(back)
+    rows = lambda df: sorted(map(str, df.select(*same.columns).collect()))
+    assert rows(same) == rows(t.raw_collision)
+
+
+def test_csv_binds_by_header(spark):
+    """Reordered, extra and missing columns, the published date names, and bad values."""
+    path = os.path.join(_tmp(), "collision.csv")
+    with open(path, "w") as f:
+        f.write("collision_index, collision_severity,date,time,number_of_vehicles,longitude,location_easting\n"
+                "A1,3,30/03/2025,01:30,2,-0.5,123\nA2,bad,31/02/2025,02:00,,NULLISH,\nA3,1,2025-04-01,23:59,1\n")
+    df = io.read_collisions(spark, path)
+    rows = {r.collision_index: r for r in df.collect()}
+    assert (rows["A1"].collision_severity, str(rows["A1"].date_of_accident), rows["A1"].time_of_accident, rows["A1"].number_of_vehicles) == (3, "2025-03-30", "01:30", 2)
+    assert rows["A1"].raw_date == "30/03/2025" and rows["A1"].location_easting == "123" and rows["A1"].speed_limit is None
+    assert set(rows["A2"]["_rejects"]) == {"collision_severity", "date_of_accident", "longitude"} and rows["A1"]["_rejects"] == []
+    assert rows["A3"].longitude is None and str(rows["A3"].date_of_accident) == "2025-04-01"
+    assert {r.column_name: r.n for r in io.reject_counts(df).collect()} == {"collision_severity": 1, "date_of_accident": 1, "longitude": 1}
+    assert io.accepted(df).count() == 2
 
 
 def test_partitioned_parquet_prunes_by_month(spark, sf):
@@ -38,12 +56,12 @@ def test_partitioned_parquet_prunes_by_month(spark, sf):
 
 
 def test_pipeline_model_save_load(spark, sf):
-    m = queries_ml.with_row_id(queries_ml.matrix(spark, sf))
-    feats = queries_ml.feature_names(queries_ml.matrix(spark, sf))
-    model = ml.fit(m, "lr", feats, "row_id")
+    m = queries_ml.labelled(spark, sf)
+    model = ml.fit(m, "lr", queries_ml.feature_names(m), "row_id")
     path = os.path.join(_tmp(), "lr")
-    ml.save_model(model, path)
-    again = ml.load_model(path)
+    ml.save_model(model, path, "lr", spark)
+    again, kind = ml.load_model(path, spark)
+    assert kind == "lr"
     a = ml.predict(model, m).select("row_id", "prediction")
     b = ml.predict(again, m).select("row_id", F.col("prediction").alias("p2"))
     assert a.join(b, "row_id").filter(F.col("prediction") != F.col("p2")).count() == 0
@@ -72,7 +90,9 @@ def test_request_stream_scored(spark, sf):
     src = os.path.join(base, "req")
     req.write.parquet(src)
     stream = spark.readStream.schema(req.schema).parquet(src)
-    scored = jobs.score_requests_stream(stream, f)
+    cube = os.path.join(base, "cube")
+    risk.risk_cube(f).write.parquet(cube)
+    scored = jobs.score_requests_stream(stream, spark.read.parquet(cube))
     jobs.run_available_now(scored, os.path.join(base, "out"), os.path.join(base, "ckpt"))
     out = spark.read.parquet(os.path.join(base, "out"))
     batch = risk.risk_score_batch(f, req)
@@ -93,57 +113,43 @@ def test_dtypes_table(spark, sf):
     assert rows["int"] >= 10 and rows["object"] >= 4
 
 
-def test_skew_split_join_equals_plain_join(spark, sf):
+def test_split_left_join_equals_plain_join(spark):
+    """Missing, repeated and NULL keys on both sides, with and without null-safe keys."""
+    left = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4), (None, 5)], "k string, x int")
+    right = spark.createDataFrame([("a", 10), ("a", 11), ("a", 12), ("c", 13), (None, 14), (None, 15), ("z", 16)], "k string, y int")
+    got = joins.split_left_join(left, right, ["k"])
+    assert sorted(got.collect(), key=str) == sorted(left.join(right, ["k"], "left").collect(), key=str)
+    merged = joins.merge(left, right, ["k"], "left", "ind")
+    safe = left.alias("l").join(right.alias("r"), F.col("l.k").eqNullSafe(F.col("r.k")), "left").select("l.k", "x", "y")
+    assert sorted(merged.select("k", "x", "y").collect(), key=str) == sorted(safe.collect(), key=str)
+    assert {(r.k, r.ind) for r in merged.collect()} == {("a", "both"), ("b", "left_only"), ("c", "both"), (None, "both")}
+    assert joins.merge(left, right, ["k"], "inner").count() == 3 + 1 + 4
+
+
+def test_split_left_join_with_a_hot_key(spark, sf):
     t = Tables(spark, sf)
     v = t.vehicle
     hot = v.select("collision_index").first()[0]
     extra = (v.limit(3000).withColumn("collision_index", F.lit(hot))
              .withColumn("vehicle_reference", F.concat(F.lit("h"), F.col("vehicle_id").cast("string"))))
-    skewed = v.unionByName(extra)
-    plain = joins.full_accident_data(t.features(), skewed, t.casualty)
-    split = joins.full_accident_data(t.features(), skewed, t.casualty, skew_share=0.01, min_rows=100)
-    assert joins.hot_keys(skewed, ["collision_index"], 0.01, min_rows=100) == [(hot,)]
-    assert joins.hot_keys(t.raw_vehicle, ["collision_index"], 0.001) == []  # min_rows guards small tables
+    skewed = v.unionByName(extra).select("collision_index", *joins.VEHICLE_COLS)
+    plain = t.features().join(skewed, ["collision_index"], "left")
+    split = joins.split_left_join(t.features(), skewed, ["collision_index"])
     assert plain.count() == split.count()
-    assert plain.exceptAll(split).count() == 0
-
+    assert plain.select(*split.columns).exceptAll(split).count() == 0
 
-def test_skew_split_absent_and_null_hot_keys(spark):
-    left = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "k string, x int")
-    right = spark.createDataFrame([("a", 10), ("a", 11), ("a", 12), ("c", 13), (None, 14), (None, 15)],
-                                  "k string, y int")
-    hot = [("a",), ("b",), ("zz",), (None,)]          # b: no right rows, zz: in neither, None: NULL key
-    plain = left.join(right, ["k"], "left")
-    split = joins.skew_split_left_join(left, right, ["k"], hot=hot)
-    assert sorted(plain.collect(), key=str) == sorted(split.collect(), key=str)
-    # pandas-style merge matches NULL keys; the split must keep that
-    m_plain = joins.merge(left, right, ["k"], "left", "ind")
-    m_split = joins.merge(left, right, ["k"], "left", "ind", hot=hot)
-    assert sorted(m_plain.collect(), key=str) == sorted(m_split.collect(), key=str)
-    assert m_split.filter(F.col("k").isNull()).count() == 2
 
-
-def test_skew_split_hot_part_is_broadcast_inner(spark):
+def test_accident_join_is_inner_on_the_child_side(spark, sf):
+    """Joins that AQE can split on either side; no job runs to build the plan."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        left = spark.range(0, 100).select(F.col("id").cast("string").alias("k"))
-        right = spark.range(0, 5000).select((F.col("id") % 3).cast("string").alias("k"), F.col("id").alias("v"))
-        plan = joins.skew_split_left_join(left, right, ["k"], hot=[("0",)])._jdf.queryExecution() \
-            .executedPlan().toString()
-        assert "BroadcastHashJoin" in plan and "Inner, BuildRight" in plan
-        assert "RightOuter" not in plan
+        plan = Tables(spark, sf).full._jdf.queryExecution().executedPlan().toString()
+        assert "LeftOuter" not in plan and "RightOuter" not in plan and "Inner" in plan and "LeftAnti" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_notebook_merge_split_equals_plain(spark, sf):
+def test_repeated_collisions_do_not_multiply_rows(spark, sf):
     t = Tables(spark, sf)
-    v = t.nb_vehicle
-    hot_v = [tuple(r) for r in v.groupBy("collision_index").count().orderBy(F.desc("count"), "collision_index")
-             .limit(3).select("collision_index").collect()]
-    hot_c = [tuple(r) for r in t.nb_casualty.select("collision_index", "vehicle_reference").distinct()
-             .orderBy("collision_index", "vehicle_reference").limit(3).collect()]
-    plain = joins.merge_with_indicator(t.nb_collision, v, t.nb_casualty)
-    split = joins.merge_with_indicator(t.nb_collision, v, t.nb_casualty, hot=(hot_v + [("nope",)], hot_c))
-    assert plain.count() == split.count()
-    assert plain.exceptAll(split).count() == 0
+    t.__dict__["raw_collision"] = t.raw_collision_dup
+    assert t.full.count() == Tables(spark, sf).full.count()

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from crashlens.operators import cleaning, features, joins, risk, series
+from crashlens.operators import cleaning, features, joins, quality, risk, series
 from crashlens.operators.series import forecast_metrics
 
 
@@ -124,23 +124,64 @@ def test_bad_dates_dropped(spark):
 
 
 def test_exact_quantiles_match_percentile_across_partitions(spark, sf):
-    from crashlens.operators.quantiles import exact_quantiles, quantile_columns
+    from crashlens.operators.quantiles import quantile_columns, quantiles, value_counts
     from crashlens.plans.tables import Tables
 
-    c = Tables(spark, sf).raw_collision
-    long = c.select(F.col("police_force").alias("g"), F.col("longitude").alias("x")).unionByName(
-        c.select(F.lit(None).cast("int").alias("g"), F.col("speed_limit").cast("double").alias("x")))
+    c = Tables(spark, sf).raw_collision.withColumn("none", F.lit(None).cast("double"))
+    cols = ["longitude", "latitude", "speed_limit", "none"]
     probs = [0.0, 0.25, 0.5, 0.75, 1.0, 0.333]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {r.g: [round(v, 9) for v in r.q] for r in exact_quantiles(long, ["g"], "x", probs).collect()}
-        cols = ["longitude", "latitude", "speed_limit"]
-        forced = quantile_columns(c, cols, [0.25, 0.5, 0.75], limit=0).first()   # all columns sorted
+        counts = value_counts(c, cols, "police_force", with_all=True)
+        got = {(r.feature, r.group_value): [round(v, 9) for v in r.q] for r in quantiles(counts, probs).collect()}
+        wide = quantile_columns(c, cols, [0.25, 0.5, 0.75]).first()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    ref = {r.g: [round(v, 9) for v in r.q] for r in long.groupBy("g").agg(F.percentile("x", probs).alias("q")).collect()
-           if r.q is not None}
-    assert got == ref
-    exp = c.agg(*[F.percentile(F.col(k).cast("double"), [0.25, 0.5, 0.75]).alias(f"q{i}")
-                  for i, k in enumerate(cols)]).first()
-    assert [list(forced[f"q{i}"]) for i in range(3)] == [list(exp[f"q{i}"]) for i in range(3)]
+    want = {}
+    for name in cols[:3]:
+        per = F.percentile(F.col(name).cast("double"), probs).alias("q")
+        for r in c.groupBy(F.col("police_force").cast("string").alias("g")).agg(per).collect() + c.agg(F.lit("ALL").alias("g"), per).collect():
+            if r.g is not None and r.q is not None:
+                want[name, r.g] = [round(v, 9) for v in r.q]
+    assert got == want
+    exp = c.agg(*[F.percentile(F.col(k).cast("double"), [0.25, 0.5, 0.75]).alias(f"q{i}") for i, k in enumerate(cols)]).first()
+    assert [wide[f"q{i}"] and list(wide[f"q{i}"]) for i in range(4)] == [exp[f"q{i}"] and list(exp[f"q{i}"]) for i in range(4)]
+
+
+def test_box_plots_and_outliers_use_counted_values(spark, sf):
+    """One run of the input, and no exchange of raw rows by (feature, group)."""
+    from crashlens.operators import profiling
+    from crashlens.plans.tables import Tables
+
+    c = Tables(spark, sf).raw_collision
+    for df in (profiling.boxplot_stats(c, ["speed_limit", "longitude"], "police_force"), profiling.iqr_outliers(c.select("speed_limit", "longitude"))):
+        assert "parquet" not in df._jdf.queryExecution().executedPlan().toString()
+    x = spark.createDataFrame([(float(v),) for v in [1, 2, 2, 3, 3, 3, 4, 4, 50]], "x double")
+    r = profiling.boxplot_stats(x, ["x"]).first()
+    assert (r.q1, r.median, r.q3, r.whisker_low, r.whisker_high, r.outliers) == (2.0, 3.0, 4.0, 1.0, 4.0, 1)
+
+
+def test_long_ids_are_told_apart(spark):
+    from crashlens.operators import profiling
+
+    df = spark.createDataFrame([(2 ** 53 + i, None) for i in range(4)], "id long, empty string")
+    rows = {r.column_name: (r.n_unique, r.n_missing) for r in profiling.feature_overview(df).collect()}
+    assert rows == {"id": (4, 0), "empty": (0, 4)}
+
+
+def test_times_with_seconds_and_missing_times(spark):
+    df = spark.createDataFrame([("00:00:00",), ("23:59:59",), (None,), ("12:30",), ("24:00",), ("7:05",)], "time_of_accident string")
+    assert quality.invalid_time(df).first().invalid_time_count == 2
+
+
+def test_session_zone_does_not_matter(spark):
+    """Local hours that a zone skips or repeats stay as written."""
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        df = spark.createDataFrame([("30/03/2025", "01:30"), ("30/03/2025", "02:30"), ("26/10/2025", "01:30")], "raw_date string, raw_time string")
+        parsed = cleaning.parse_datetime(df)
+        assert [str(r.datetime) for r in parsed.orderBy("datetime").collect()] == ["2025-03-30 01:30:00", "2025-03-30 02:30:00", "2025-10-26 01:30:00"]
+        hours = series.counts_per_period(parsed, "datetime", "hour").orderBy("ts").collect()
+        assert [(str(r.ts), r.y) for r in hours] == [("2025-03-30 01:00:00", 1), ("2025-03-30 02:00:00", 1), ("2025-10-26 01:00:00", 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
