@@ -12,8 +12,8 @@ so an alignment inside that band is exact.  Texts below five words are one
 shingle.
 
 Equal texts are one node from the start, so copies cost one row each.  Buckets
-are compared in rounds, in a number of pairs linear in their size: first every
-member with its bucket's leader; then, in every bucket that still holds several
+are compared in rounds, in a number of pairs linear in their size: first the members
+with their buckets' leaders; then, in every bucket that still holds several
 components, members of different components that are near in an order drawn anew
 each round (all pairs where a bucket has at most ``NEIGHBOURS`` + 1 members), until a
 round adds no link.  A class is a connected component of links.
@@ -40,7 +40,7 @@ WORDS, SKETCHES, PICKED, AGREE = 5, 20, 3, 2
 #: Least similarity of a link.
 LEAST = 0.8
 #: Members compared with each one in a round, and members of a block of a large bucket.
-NEIGHBOURS, BLOCK = 4, 4096
+NEIGHBOURS, BLOCK = 3, 4096
 #: Bytes of text that a Python worker handles at a time.
 SLICE = 2 << 20
 #: Sketches whose buckets' leaders the first round compares.
@@ -193,16 +193,30 @@ def components(links: DataFrame) -> DataFrame:
 MEMBER = ("digest", "n", "marks")
 
 
-def leader_pairs(members: DataFrame) -> DataFrame:
-    """a (a bucket's leader, its least digest) and b of the first buckets."""
-    leaders = members.where(F.col("s") < FIRST).groupBy("s", "key").agg(F.min(F.struct(*MEMBER)).alias("leader"))
-    met = members.join(leaders, ["s", "key"]).where((F.col("digest") != F.col("leader.digest")) & alike(F.struct(*MEMBER), F.col("leader")))
+def ordered(one, other) -> list:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+
+def leader_pairs(members: DataFrame, comp: DataFrame | None = None) -> DataFrame:
+    """a (a bucket's leader) and b, another member: of the first buckets, or of all buckets
+    for members of another component than their leader's.
+
+    The leader is the member that shares the most bucket places.  The text that the
+    others were copied from is the one closest to all of them, so it leads its buckets.
+    """
+    own = members.where(F.col("s") < FIRST).withColumn("comp", F.col("digest")) if comp is None else labelled(members, comp)
+    leaders = own.groupBy("s", "key").agg(F.max(F.struct("shared", *MEMBER, "comp")).alias("leader"))
+    met = own.join(leaders, ["s", "key"]).where((F.col("comp") != F.col("leader.comp")) & alike(F.struct(*MEMBER), F.col("leader")))
     return met.select(F.col("leader.digest").alias("a"), F.col("digest").alias("b")).distinct()
 
 
+def labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
+    return members.join(comp, members["digest"] == comp["node"], "left").select(*members.columns, F.coalesce("comp", "digest").alias("comp"))
+
+
 def neighbour_pairs(members: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
     """Pairs of different components near each other in this round's order of each bucket."""
-    own = members.join(comp, members["digest"] == comp["node"], "left").select("s", "key", *MEMBER, F.coalesce("comp", "digest").alias("comp"))
+    own = labelled(members, comp)
     several = own.groupBy("s", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y")
     placed = own.join(several.select("s", "key", "size"), ["s", "key"]).withColumn("drawn", F.xxhash64("digest", "s", F.lit(turn)))
     placed = placed.withColumn("block", F.pmod("drawn", F.ceil(F.col("size") / BLOCK)))
@@ -210,7 +224,7 @@ def neighbour_pairs(members: DataFrame, comp: DataFrame, turn: int) -> DataFrame
     following = F.collect_list(F.struct(*MEMBER, "comp")).over(order.rowsBetween(1, NEIGHBOURS))
     pairs = placed.withColumn("following", following).select(*MEMBER, "comp", F.explode("following").alias("other"))
     pairs = pairs.where((F.col("comp") != F.col("other.comp")) & alike(F.struct(*MEMBER), F.col("other")))
-    return pairs.select(F.least("digest", "other.digest").alias("a"), F.greatest("digest", "other.digest").alias("b")).distinct()
+    return pairs.select("digest", F.col("other.digest").alias("to")).select(*ordered("digest", "to")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -220,26 +234,31 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     marks = F.unhex(F.array_join(F.transform("keys", lambda k: F.lpad(F.hex(F.shiftrightunsigned(k, 48)), 4, "0")), ""))
     placed = nodes.select("digest", "n", marks.alias("marks"), F.posexplode("keys").alias("s", "key"))
-    shared = placed.groupBy("s", "key").agg(F.count("*").alias("size")).where("size > 1").select("s", "key")
-    members = written(placed.join(shared, ["s", "key"]), "near-members")
+    sizes = placed.groupBy("s", "key").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(placed.join(sizes, ["s", "key"]), "near-buckets")
+    shared = members.groupBy("digest").agg(F.sum("size").alias("shared"))
+    members = written(members.drop("size").join(shared, "digest"), "near-members")
     wanted = nodes.select("digest", "rep").join(members.select("digest").distinct(), "digest").select(F.col("digest").alias("d"), "rep")
     source = texts(docs)
     # the wanted texts grow with the corpus: a shuffle join at every size
     bodies = source.join(wanted.hint("merge"), (source["doc_id"] == wanted["rep"]) & (source["digest"] == wanted["d"]), "left_semi")
     bodies = written(bodies.select("digest", "text").dropDuplicates(["digest"]), "near-texts")
-    tested = written(leader_pairs(members), "near-pairs")
-    links = written(verified(tested, bodies), "near-links")
-    # members linked to one leader are connected, so the second round leaves their pairs out
+    pairs = written(leader_pairs(members), "near-pairs")
+    tested = pairs.select(*ordered("a", "b"))
+    links = written(verified(pairs, bodies), "near-links")
+    # members linked to one leader are connected: enough to leave their pairs out for now
     comp = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp"))
+    pairs = leader_pairs(members, comp).select(*ordered("a", "b")).distinct()
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    links, tested = links.unionAll(written(verified(pairs, bodies), "near-links")), tested.unionAll(pairs)
     turn = 1
     while True:
+        comp = components(links)
         pairs = written(neighbour_pairs(members, comp, turn).join(tested, ["a", "b"], "left_anti"), "near-pairs")
         new = written(verified(pairs, bodies), "near-links")
         if new.isEmpty():
             break
         links, tested, turn = links.unionAll(new), tested.unionAll(pairs), turn + 1
-        comp = components(links)
-    comp = components(links) if turn == 1 else comp
     own = rows.join(comp, rows["digest"] == comp["node"], "left").select("doc_id", "digest", F.coalesce("comp", "digest").alias("comp"))
     own = written(own, "near-own")
     groups = own.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
