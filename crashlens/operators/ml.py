@@ -8,6 +8,7 @@ over folds and models (orchestration), never over rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -222,7 +223,7 @@ def estimator(model: str, n_features: int, n_rows: int, num_trees: int = 100, ma
                                               layers=[n_features, 50, n_classes], maxIter=mlp_iter, seed=SEED)
     if model == "gbt":
         gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=gbt_iter, maxDepth=3, stepSize=0.1, seed=SEED)
-        return OneVsRest(classifier=gbt, featuresCol="features", labelCol=LABEL)
+        return OneVsRest(classifier=gbt, featuresCol="features", labelCol=LABEL, parallelism=n_classes)
     raise ValueError(f"unknown model type: {model}")
 
 
@@ -258,13 +259,16 @@ def cross_validate(df: DataFrame, model: str, features: Sequence[str], id_col: s
     The confusion counts of each fold (classes squared) are computed while the folded
     rows are cached; the result is a table of those few numbers."""
     folded = stratified_folds(df, id_col, k).persist()
+
+    def confusion(f: int) -> list[tuple]:
+        m = fit(folded.filter(F.col("fold") != f), model, features, id_col, **params)
+        pred = predict(m, folded.filter(F.col("fold") == f))
+        return [(f, int(r[LABEL]), int(r["prediction"]), r["n"])
+                for r in pred.groupBy(LABEL, "prediction").agg(F.count(F.lit(1)).alias("n")).collect()]
+
     try:
-        counts = []
-        for f in range(k):
-            m = fit(folded.filter(F.col("fold") != f), model, features, id_col, **params)
-            pred = predict(m, folded.filter(F.col("fold") == f))
-            counts += [(f, int(r[LABEL]), int(r["prediction"]), r["n"]) for r in
-                       pred.groupBy(LABEL, "prediction").agg(F.count(F.lit(1)).alias("n")).collect()]
+        with ThreadPoolExecutor(k) as pool:  # the folds' jobs share the cluster
+            counts = [row for rows in pool.map(confusion, range(k)) for row in rows]
     finally:
         folded.unpersist()
     conf = df.sparkSession.createDataFrame(counts, "fold int, y int, p int, n long")
