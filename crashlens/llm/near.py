@@ -43,8 +43,6 @@ LEAST = 0.8
 NEIGHBOURS, BLOCK = 3, 4096
 #: Bytes of text that a Python worker handles at a time.
 SLICE = 2 << 20
-#: Sketches whose buckets' leaders the first round compares.
-FIRST = 3
 
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -176,15 +174,19 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, comp (least node of its component) of every node with a link: least labels
-    over links, then over labels, until nothing changes."""
+    over links until nothing changes, from the third turn on also over labels, which
+    makes long chains short."""
     edges = written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    comp = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("c")).select("node", F.least("node", "c").alias("comp"), F.lit(0).alias("moved")), "near-components")
+    comp = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("c")).select("node", F.least("node", "c").alias("comp"), F.lit(0).alias("moved"))
+    comp, turn = written(comp, "near-components"), 0
     while True:
+        turn += 1
         sent = edges.join(comp, edges["b"] == comp["node"]).select(F.col("a").alias("node"), F.col("comp"), F.lit(None).cast("binary").alias("old"))
         every = sent.unionAll(comp.select("node", "comp", F.col("comp").alias("old")))
-        step = every.groupBy("node").agg(F.min("comp").alias("c"), F.max("old").alias("old"))
-        up = comp.select(F.col("node").alias("n2"), F.col("comp").alias("c2"))
-        step = step.join(up, step["c"] == up["n2"]).select("node", F.least("c", "c2").alias("comp"), "old")
+        step = every.groupBy("node").agg(F.min("comp").alias("comp"), F.max("old").alias("old"))
+        if turn > 2:
+            up = comp.select(F.col("node").alias("n2"), F.col("comp").alias("c2"))
+            step = step.join(up, step["comp"] == up["n2"]).select("node", F.least("comp", "c2").alias("comp"), "old")
         comp = written(step.select("node", "comp", (F.col("comp") != F.col("old")).cast("int").alias("moved")), "near-components")
         if comp.where("moved > 0").isEmpty():
             return comp.drop("moved")
@@ -197,17 +199,15 @@ def ordered(one, other) -> list:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
-def leader_pairs(members: DataFrame, comp: DataFrame | None = None) -> DataFrame:
-    """a (a bucket's leader) and b, another member: of the first buckets, or of all buckets
-    for members of another component than their leader's.
+def leader_pairs(members: DataFrame) -> DataFrame:
+    """Each member with its buckets' leaders.
 
     The leader is the member that shares the most bucket places.  The text that the
     others were copied from is the one closest to all of them, so it leads its buckets.
     """
-    own = members.where(F.col("s") < FIRST).withColumn("comp", F.col("digest")) if comp is None else labelled(members, comp)
-    leaders = own.groupBy("s", "key").agg(F.max(F.struct("shared", *MEMBER, "comp")).alias("leader"))
-    met = own.join(leaders, ["s", "key"]).where((F.col("comp") != F.col("leader.comp")) & alike(F.struct(*MEMBER), F.col("leader")))
-    return met.select(F.col("leader.digest").alias("a"), F.col("digest").alias("b")).distinct()
+    leaders = members.groupBy("s", "key").agg(F.max(F.struct("shared", *MEMBER)).alias("leader"))
+    met = members.join(leaders, ["s", "key"]).where((F.col("digest") != F.col("leader.digest")) & alike(F.struct(*MEMBER), F.col("leader")))
+    return met.select("digest", F.col("leader.digest").alias("to")).select(*ordered("digest", "to")).distinct()
 
 
 def labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -222,8 +222,9 @@ def neighbour_pairs(members: DataFrame, comp: DataFrame, turn: int) -> DataFrame
     placed = placed.withColumn("block", F.pmod("drawn", F.ceil(F.col("size") / BLOCK)))
     order = Window.partitionBy("s", "key", "block").orderBy("drawn", "digest")
     following = F.collect_list(F.struct(*MEMBER, "comp")).over(order.rowsBetween(1, NEIGHBOURS))
-    pairs = placed.withColumn("following", following).select(*MEMBER, "comp", F.explode("following").alias("other"))
-    pairs = pairs.where((F.col("comp") != F.col("other.comp")) & alike(F.struct(*MEMBER), F.col("other")))
+    met = placed.select(F.struct(*MEMBER, "comp").alias("one"), following.alias("following"))
+    fitting = F.filter("following", lambda other: (F.col("one.comp") != other["comp"]) & alike(F.col("one"), other))
+    pairs = met.select(F.col("one.digest").alias("digest"), F.explode(fitting).alias("other"))
     return pairs.select("digest", F.col("other.digest").alias("to")).select(*ordered("digest", "to")).distinct()
 
 
@@ -243,14 +244,8 @@ def classes(docs: DataFrame) -> DataFrame:
     # the wanted texts grow with the corpus: a shuffle join at every size
     bodies = source.join(wanted.hint("merge"), (source["doc_id"] == wanted["rep"]) & (source["digest"] == wanted["d"]), "left_semi")
     bodies = written(bodies.select("digest", "text").dropDuplicates(["digest"]), "near-texts")
-    pairs = written(leader_pairs(members), "near-pairs")
-    tested = pairs.select(*ordered("a", "b"))
-    links = written(verified(pairs, bodies), "near-links")
-    # members linked to one leader are connected: enough to leave their pairs out for now
-    comp = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp"))
-    pairs = leader_pairs(members, comp).select(*ordered("a", "b")).distinct()
-    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-    links, tested = links.unionAll(written(verified(pairs, bodies), "near-links")), tested.unionAll(pairs)
+    tested = written(leader_pairs(members), "near-pairs")
+    links = written(verified(tested, bodies), "near-links")
     turn = 1
     while True:
         comp = components(links)
