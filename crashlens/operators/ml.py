@@ -267,6 +267,7 @@ def cross_validate(df: DataFrame, model: str, features: Sequence[str], id_col: s
                 for r in pred.groupBy(LABEL, "prediction").agg(F.count(F.lit(1)).alias("n")).collect()]
 
     try:
+        folded.count()  # cached once, before the folds read it side by side
         with ThreadPoolExecutor(k) as pool:  # the folds' jobs share the cluster
             counts = [row for rows in pool.map(confusion, range(k)) for row in rows]
     finally:
