@@ -30,8 +30,11 @@ RESULT_ORDER = {
 
 
 def _ordered(query, names):
-    order = [F.desc_nulls_last(n[1:]) if n[0] == "-" else F.asc(n) for n in names]
-    return lambda spark, sf_dir: query(spark, sf_dir).orderBy(*order)
+    def run(spark, sf_dir):
+        order = [F.desc_nulls_last(n[1:]) if n[0] == "-" else F.asc(n) for n in names]
+        return query(spark, sf_dir).orderBy(*order)
+
+    return run
 
 
 def queries():
