@@ -99,7 +99,7 @@ def _value_key(f: T.StructField) -> dict[str, Column]:
     dt = f.dataType
     whole, real, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if isinstance(dt, T.TimestampNTZType):  # no zone: day and time of day apart
-        whole = F.unix_date(c.cast("date")).cast("bigint") * 86_400_000_000 + F.hour(c).cast("bigint") * 3_600_000_000 + F.minute(c) * 60_000_000 + (
+        whole = F.unix_date(c.cast("date")).cast("bigint") * 86_400_000_000 + F.hour(c).cast("bigint") * 3_600_000_000 + F.minute(c).cast("bigint") * 60_000_000 + (
             F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
     elif isinstance(dt, T.TimestampType):
         whole = F.unix_micros(c)
