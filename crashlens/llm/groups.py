@@ -22,13 +22,32 @@ from crashlens.llm.common import plain, scratch
 def dealt(docs: DataFrame, name: str, per_partition: int = 2) -> DataFrame:
     """grp int, doc_id, text.  ``spark.sql.shuffle.partitions`` is set for the input's size,
     so ``per_partition`` times as many groups bound a group's size."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = parts * per_partition
-    rows = plain(docs).select(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n)).cast("int").alias("grp"), "doc_id", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = plain(docs).select(number(parts * per_partition).alias("grp"), "doc_id", "text")
+    return bucketed(rows.repartition(parts, "grp"), name, parts)
+
+
+def cut_in_place(docs: DataFrame, name: str, bytes_each: int = 8 << 20) -> DataFrame:
+    """grp int, doc_id, text, without a shuffle: every input partition is cut into the same
+    number of groups, of about ``bytes_each`` bytes of text."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    source = plain(docs)
+    total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    each = -(-max(parts, total // bytes_each) // max(1, source.rdd.getNumPartitions()))
+    grp = F.spark_partition_id() * each + number(each)
+    return bucketed(source.select(grp.alias("grp"), "doc_id", "text"), name, parts)
+
+
+def number(n: int):
+    return F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n)).cast("int")
+
+
+def bucketed(rows: DataFrame, name: str, buckets: int) -> DataFrame:
+    """``rows`` as an external table in the scratch folder, bucketed by ``grp``."""
+    spark = rows.sparkSession
     table = f"llm_{name}_{uuid.uuid4().hex[:12]}"
-    writer = rows.repartition(parts, "grp").write.option("compression", "zstd").option("path", scratch(spark, name))
-    writer.bucketBy(parts, "grp").saveAsTable(table)
+    writer = rows.write.option("compression", "zstd").option("path", scratch(spark, name))
+    writer.bucketBy(buckets, "grp").saveAsTable(table)
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # the name only: an external table's files stay
     return out

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from crashlens.llm.common import as_batch, written
-from crashlens.llm.groups import dealt, destinations, one
+from crashlens.llm.groups import cut_in_place, destinations, one
 
 MARK = "▁"
 #: A chunk: markers and the characters up to the next marker.
@@ -100,7 +100,7 @@ def answer(path: str):
 
 def encode(docs: DataFrame, model_path: str, end_id: int = 2) -> DataFrame:
     """doc_id, ids array<int> of every text, the end id last."""
-    table = dealt(docs, "pieces")
+    table = cut_in_place(docs, "pieces")
     id_type = table.schema["doc_id"].dataType.simpleString()
     parts = destinations(table)
     asked = table.groupBy("grp").applyInArrow(ask(parts), _ASKED)
