@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from crashlens.functions.expr import attach_one_row, numeric_fields
 from crashlens.operators.cleaning import encode_target, median_impute
 from crashlens.operators.ranking import hash_ranks, sorted_ranks
+from crashlens.session import checkpoint_dir
 
 LABEL = "label"
 SEED = 42
@@ -130,7 +131,8 @@ def nearest(df: DataFrame, features: Sequence[str], id_col: str, k: int, seed: i
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", ignore_index=True)
         own = np.flatnonzero(pdf["rank"].to_numpy() // block == pdf["part"].iloc[0])
-        values, labels, ids = np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(), pdf["id"].to_numpy()
+        values, labels, ids = np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(), pdf["id"].tolist()
+        lists = values.tolist()
         found = [[] for _ in own]
         for lo in range(0, len(own), 2048):  # a slice of rows against their neighbours at a time
             some = own[lo:lo + 2048]
@@ -139,10 +141,12 @@ def nearest(df: DataFrame, features: Sequence[str], id_col: str, k: int, seed: i
             at = np.clip(at, 0, len(pdf) - 1)
             there &= labels[at] == labels[some][:, None]
             d = np.where(there, ((values[at] - values[some][:, None, :]) ** 2).sum(-1), np.inf)
-            for i, row in enumerate(d):
-                best = sorted(zip(row.tolist(), ids[at[i]].tolist(), at[i].tolist()))[:k]
-                found[lo + i] = [(dist, name, values[j].tolist()) for dist, name, j in best if dist < np.inf]
-        return pd.DataFrame({"id": ids[own], "near": pd.Series(found, dtype=object)})
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]  # ties by rank
+            picked = np.take_along_axis(at, best, 1)
+            dist = np.take_along_axis(d, best, 1)
+            for i, (ds, js) in enumerate(zip(dist.tolist(), picked.tolist())):
+                found[lo + i] = [(e, ids[j], lists[j]) for e, j in zip(ds, js) if e < np.inf]
+        return pd.DataFrame({"id": pd.Series([ids[j] for j in own], dtype=object), "near": pd.Series(found, dtype=object)})
 
     parts = []
     for r in range(projections):
@@ -169,11 +173,13 @@ def smote(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5, seed:
     rows.  A row without neighbours is repeated.
     """
     cols = list(features)
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
+    checkpoint_dir(df.sparkSession)
+    # read many times below: the input's plan runs once
+    typed = df.select(F.col(id_col).cast("string").alias(id_col), F.col(label).cast("int").alias(label),
+                      *[F.col(c).cast("double").alias(c) for c in cols]).checkpoint(eager=True)
+    counts = typed.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
     most = counts.agg(F.max("__nc").alias("__nmax"))
     plan = attach_one_row(counts, most).select(label, "__nc", (F.col("__nmax") - F.col("__nc")).alias("__need"))
-    typed = df.select(F.col(id_col).cast("string").alias(id_col), F.col(label).cast("int").alias(label),
-                      *[F.col(c).cast("double").alias(c) for c in cols])
     short = typed.join(F.broadcast(plan.filter(F.col("__need") > 0)), label)  # one row per class
     ranked = class_rank(short, id_col, label, seed)
     copies = (F.floor(F.col("__need") / F.col("__nc")) + F.when(F.col("class_rank") < F.col("__need") % F.col("__nc"), 1).otherwise(0)).cast("int")
