@@ -15,8 +15,8 @@ Equal texts are one node from the start, so copies cost one row each.  Buckets
 are compared in rounds, in a number of pairs linear in their size: first the members
 with their buckets' leaders; then, in every bucket that still holds several
 components, members of different components that are near in an order drawn anew
-each round (all pairs where a bucket has at most ``NEIGHBOURS`` + 1 members), until a
-round adds no link.  A class is a connected component of links.
+each round (all pairs where a bucket has at most ``NEIGHBOURS`` + 1 members).  Buckets
+that a new link touches are compared again, until a round adds no link.  A class is a connected component of links.
 
 Edge cases: a null text counts as empty; empty texts are equal texts; repeated
 rows belong to one class and carry the same result; a row with a null id is in
@@ -246,14 +246,18 @@ def classes(docs: DataFrame) -> DataFrame:
     bodies = written(bodies.select("digest", "text").dropDuplicates(["digest"]), "near-texts")
     tested = written(leader_pairs(members), "near-pairs")
     links = written(verified(tested, bodies), "near-links")
-    turn = 1
+    active, turn = members, 1
     while True:
         comp = components(links)
-        pairs = written(neighbour_pairs(members, comp, turn).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        pairs = written(neighbour_pairs(active, comp, turn).join(tested, ["a", "b"], "left_anti"), "near-pairs")
         new = written(verified(pairs, bodies), "near-links")
         if new.isEmpty():
             break
         links, tested, turn = links.unionAll(new), tested.unionAll(pairs), turn + 1
+        # only where a component has grown can there be more to find
+        grown = new.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        buckets = members.join(grown, "digest", "left_semi").select("s", "key").distinct()
+        active = written(members.join(buckets, ["s", "key"], "left_semi"), "near-active")
     own = rows.join(comp, rows["digest"] == comp["node"], "left").select("doc_id", "digest", F.coalesce("comp", "digest").alias("comp"))
     own = written(own, "near-own")
     groups = own.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
