@@ -27,17 +27,6 @@ def dealt(docs: DataFrame, name: str, per_partition: int = 2) -> DataFrame:
     return bucketed(rows.repartition(parts, "grp"), name, parts)
 
 
-def cut_in_place(docs: DataFrame, name: str, bytes_each: int = 8 << 20) -> DataFrame:
-    """grp int, doc_id, text, without a shuffle: every input partition is cut into the same
-    number of groups, of about ``bytes_each`` bytes of text."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = plain(docs)
-    total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    each = -(-max(parts, total // bytes_each) // max(1, source.rdd.getNumPartitions()))
-    grp = F.spark_partition_id() * each + number(each)
-    return bucketed(source.select(grp.alias("grp"), "doc_id", "text"), name, parts)
-
-
 def number(n: int):
     return F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n)).cast("int")
 
