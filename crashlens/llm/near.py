@@ -16,7 +16,12 @@ are compared in rounds, in a number of pairs linear in their size: first the mem
 with their buckets' leaders; then, in every bucket that still holds several
 components, members of different components that are near in an order drawn anew
 each round (all pairs where a bucket has at most ``NEIGHBOURS`` + 1 members).  Buckets
-that a new link touches are compared again, until a round adds no link.  A class is a connected component of links.
+that a new link touches are compared again, until a round adds no link.  These rounds
+only join what is easily joined; the last pass is exact: in every larger bucket that
+still holds several components, all pairs of different components are held against
+each other, block by block, by their keys, lengths and a count of shingles in ``BINS``
+bins (whose overlap is at least that of the shingles, so no link is lost), and the
+texts of those that remain are aligned.  A class is a connected component of links.
 
 Edge cases: a null text counts as empty; empty texts are equal texts; repeated
 rows belong to one class and carry the same result; a row with a null id is in
@@ -41,6 +46,8 @@ WORDS, SKETCHES, PICKED, AGREE = 5, 20, 3, 2
 LEAST = 0.8
 #: Members compared with each one in a round, and members of a block of a large bucket.
 NEIGHBOURS, BLOCK = 3, 4096
+#: Bins of shingles, one byte each; rows of a block that the exact pass compares at a time.
+BINS, STRIP = 128, 128
 #: Bytes of text that a Python worker handles at a time.
 SLICE = 2 << 20
 
@@ -228,6 +235,84 @@ def neighbour_pairs(members: DataFrame, comp: DataFrame, turn: int) -> DataFrame
     return pairs.select("digest", F.col("other.digest").alias("to")).select(*ordered("digest", "to")).distinct()
 
 
+def binned(x: np.ndarray) -> bytes:
+    """Shingles by bin; 255 stands for that many or more."""
+    bins = np.bincount((mixed(x) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    return np.minimum(bins, 255).astype(np.uint8).tobytes()
+
+
+def profiles(wanted: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """digest, n, keys and bins as bytes, of the wanted digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=SLICE):
+            bins = [binned(shingles(word_values([t.encode()], WordValues())[0])) for t in batch.column("text").to_pylist()]
+            schema = pa.schema([("digest", pa.binary()), ("bins", pa.binary())])
+            yield as_batch(schema, batch.column("digest"), bins)
+
+    counted = bodies.join(wanted.hint("merge"), "digest", "left_semi").select("digest", "text").mapInArrow(run, "digest binary, bins binary")
+    keys = F.unhex(F.array_join(F.transform("keys", lambda k: F.lpad(F.hex(k), 16, "0")), "")).alias("keys")
+    return counted.join(nodes.select("digest", "n", keys), "digest")
+
+
+def possible(table: pa.Table) -> pa.Table:
+    """The pairs (a, b) of a bucket's two blocks (or inside its one block) that can be similar.
+
+    A pair is told only in the first of the buckets that it shares."""
+    out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    s, two = table.column("s")[0].as_py(), table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+    table = table.sort_by([("own", "ascending"), ("digest", "ascending")]).combine_chunks()
+    m = table.num_rows
+    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64).reshape(m, SKETCHES).T.copy()
+    bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(m, BINS)
+    comp = table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+    n = table.column("n").to_numpy().astype(np.int64)
+    # two blocks: members of the first against those of the second; one: against those that follow
+    first = int((table.column("own").to_numpy() == table.column("lo")[0].as_py()).sum()) if two else m
+    left, right = [], []
+    for start in range(0, first, STRIP):
+        stop, rest = min(start + STRIP, first), first if two else start
+        one, other = slice(start, stop), slice(rest, m)
+        good = comp[one, None] != comp[None, other]
+        good &= np.minimum(n[one, None], n[None, other]) >= LEAST * np.maximum(n[one, None], n[None, other])
+        for k in range(s):
+            good &= keys[k, one, None] != keys[k, None, other]
+        agree = np.ones(good.shape, np.uint8)
+        for k in range(s + 1, SKETCHES):
+            agree += keys[k, one, None] == keys[k, None, other]
+        x, y = np.nonzero(good & (agree >= AGREE))
+        x, y = x + start, y + rest
+        if not two:
+            x, y = x[x < y], y[x < y]
+        for at in range(0, len(x), 1 << 15):
+            i, j = x[at : at + (1 << 15)], y[at : at + (1 << 15)]
+            least = np.minimum(bins[i], bins[j])
+            shared, whole = least.sum(axis=1, dtype=np.int64), n[i] + n[j]
+            stays = (shared >= LEAST * (whole - shared)) | (least == 255).any(axis=1)
+            left.append(i[stays])
+            right.append(j[stays])
+    i, j = (np.concatenate([np.empty(0, np.int64), *part]) for part in (left, right))
+    digests = table.column("digest").to_pylist()
+    pairs = [sorted((digests[p], digests[q])) for p, q in zip(i.tolist(), j.tolist())]
+    return pa.table([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], schema=out)
+
+
+def exact_pairs(members: DataFrame, comp: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """All pairs of different components that can be similar and share no small bucket first.
+
+    A bucket of several blocks sends each member to as many groups as it has blocks, one
+    for each pair of blocks, so no group holds more than about two blocks."""
+    own = labelled(members, comp).select("s", "key", "digest", "comp")
+    several = own.groupBy("s", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
+    several = several.where((F.col("x") != F.col("y")) & (F.col("size") > NEIGHBOURS + 1)).select("s", "key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    placed = written(own.join(several, ["s", "key"]), "near-large")
+    placed = placed.join(profiles(placed.select("digest").distinct(), nodes, bodies), "digest")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("digest", "s"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.select("s", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "digest", "n", "comp", "keys", "bins")
+    return placed.groupBy("s", "key", "lo", "hi").applyInArrow(possible, "a binary, b binary")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, digest of its text, class_id (least doc_id of the
     class), class_size, kept."""
@@ -258,6 +343,10 @@ def classes(docs: DataFrame) -> DataFrame:
         grown = new.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
         buckets = members.join(grown, "digest", "left_semi").select("s", "key").distinct()
         active = written(members.join(buckets, ["s", "key"], "left_semi"), "near-active")
+    pairs = written(exact_pairs(members, comp, nodes, bodies).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    new = written(verified(pairs, bodies), "near-links")
+    if not new.isEmpty():
+        comp = components(links.unionAll(new))
     own = rows.join(comp, rows["digest"] == comp["node"], "left").select("doc_id", "digest", F.coalesce("comp", "digest").alias("comp"))
     own = written(own, "near-own")
     groups = own.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))

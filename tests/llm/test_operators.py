@@ -463,6 +463,63 @@ def test_near_classes(spark, empty):
     assert near.classes(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 300])
+def test_near_classes_in_a_large_bucket(spark, monkeypatch, block):
+    """Near copies planted among unlike texts that share a passage, with no small bucket in common, are all found."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    r = np.random.default_rng(13)
+    line = lambda n: [f"w{x}" for x in r.integers(10**9, size=n)]
+    values = lambda t: near.shingles(near.word_values([t.encode()], near.WordValues())[0])
+    passage = line(100)
+    texts = {i: " ".join(passage + line(28)) for i in range(1100)}
+    common = near.sketch(values(" ".join(passage)))
+    for i in range(2000, 2010):
+        old = texts[i - 2000].split()
+        while True:
+            texts[i] = " ".join(old[:115] + line(13))
+            one, other = values(texts[i - 2000]), values(texts[i])
+            shared = [(x, p) for x, y, p in zip(near.sketch(one), near.sketch(other), common) if x == y]
+            if all(x == p for x, p in shared) and len(shared) >= near.AGREE:
+                break
+            old = texts[i - 2000].split()[:100] + line(28)
+            texts[i - 2000] = " ".join(old)
+        assert near.similarity(one, other, near.LEAST) >= near.LEAST
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in near.classes(table).collect()}
+    assert got == {i: i - 2000 if i >= 2000 else i for i in texts}
+
+
+def test_possible_pairs_brute(spark):
+    """The exact pass tells every pair of a bucket of over 1,000 unlike texts that its bounds allow."""
+    r = np.random.default_rng(12)
+    m = 1200
+    keys = r.integers(0, 40, (m, near.SKETCHES)).astype(np.uint64)
+    keys[:, 3] = 5  # the bucket
+    n = r.integers(60, 100, m)
+    bins = np.stack([np.bincount(r.integers(0, 9 if i % 2 else near.BINS, n[i]), minlength=near.BINS) for i in range(m)]).astype(np.uint8)
+    comp = r.integers(0, 600, m)
+    digests = [i.to_bytes(16, "big") for i in range(m)]
+    want = set()
+    for i in range(m):
+        same = keys[i] == keys
+        least = np.minimum(bins[i], bins).sum(axis=1, dtype=np.int64)
+        fits = (same.sum(axis=1) >= near.AGREE) & ~same[:, :3].any(axis=1) & (comp != comp[i]) & (np.minimum(n, n[i]) >= near.LEAST * np.maximum(n, n[i]))
+        fits &= least >= near.LEAST * (n + n[i] - least)
+        want |= {(i, j) for j in np.flatnonzero(fits).tolist() if i < j}
+    assert len(want) > 1000
+    for blocks in (1, 3):
+        own, got = np.arange(m) % blocks, []
+        for lo in range(blocks):
+            for hi in range(lo, blocks):
+                at = np.flatnonzero((own == lo) | (own == hi)).tolist()
+                table = near.pa.table({
+                    "s": [3] * len(at), "lo": [lo] * len(at), "hi": [hi] * len(at), "own": own[at].tolist(), "digest": [digests[i] for i in at],
+                    "n": n[at].tolist(), "comp": [digests[comp[i]] for i in at], "keys": [keys[i].tobytes() for i in at], "bins": [bins[i].tobytes() for i in at],
+                })
+                got += [(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in zip(*near.possible(table).to_pydict().values())]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_banded_alignment():
     r = np.random.default_rng(4)
     for _ in range(300):
