@@ -10,9 +10,8 @@ from crashlens.plans.queries import CORR_COLS, T, _daily, _hourly, q
 from crashlens.plans.tables import TRAINING_FEATURES
 
 ID_COLS = ("collision_index", "vehicle_reference", "casualty_reference")
-# registered model sizes: fewer rounds and iterations than the operator's defaults (the
-# reference's 100 and 500), since every query fits each model on five folds
-MODEL_PARAMS = {"rf": dict(num_trees=100, max_depth=ml.DEPTH), "gbt": dict(gbt_iter=20), "mlp": dict(mlp_iter=100)}
+# registered model sizes: the reference's
+MODEL_PARAMS = {"rf": dict(num_trees=100, max_depth=ml.DEPTH), "gbt": dict(gbt_iter=100), "mlp": dict(mlp_iter=500)}
 
 
 def matrix(spark, sf) -> DataFrame:

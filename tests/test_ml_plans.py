@@ -145,3 +145,20 @@ def test_plan_walk_rejects_raw_single_partition_window(spark):
         .withColumn("r", F.row_number().over(Window.orderBy("k")))
     plan = ok._jdf.queryExecution().executedPlan()
     _plan_nodes_ok(plan.inputPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan, "agg")
+
+
+def test_registered_model_sizes_are_the_reference_ones(spark, sf, monkeypatch):
+    from crashlens.plans import queries_ml, registry
+
+    calls = {}
+
+    def compared(rows, features, id_col, k, params, models):
+        calls[name] = (k, params, set(models))
+        return spark.range(0).select("id")
+
+    monkeypatch.setattr(queries_ml.ml, "compare_models", compared)
+    monkeypatch.setattr(queries_ml.ml, "best_model", lambda df: df)
+    for name in ("clf_gbt", "clf_mlp", "model_comparison", "best_model"):
+        registry.queries()[name](spark, sf)
+        k, params, _ = calls[name]
+        assert k == 5 and params["gbt"] == {"gbt_iter": 100} and params["mlp"] == {"mlp_iter": 500}
