@@ -96,8 +96,8 @@ def _(spark, sf):
 
 @q("cv_metrics")
 def _(spark, sf):
-    """Cross-validation of the two models that need no resampling."""
-    return validated(spark, sf, "lr", "rf")
+    """Cross-validation of all models."""
+    return validated(spark, sf, *ml.MODELS)
 
 
 @q("vif")

@@ -162,3 +162,10 @@ def test_registered_model_sizes_are_the_reference_ones(spark, sf, monkeypatch):
         registry.queries()[name](spark, sf)
         k, params, _ = calls[name]
         assert k == 5 and params["gbt"] == {"gbt_iter": 100} and params["mlp"] == {"mlp_iter": 500}
+
+
+def test_cv_metrics_covers_every_model(spark, sf, monkeypatch):
+    from crashlens.plans import queries_ml, registry
+
+    monkeypatch.setattr(queries_ml, "validated", lambda spark, sf, *models: models)
+    assert registry.queries()["cv_metrics"](spark, sf) == ("lr", "rf", "mlp", "gbt")
