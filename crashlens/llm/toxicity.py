@@ -5,7 +5,8 @@ lowest) outside the held-out fold.  Spark counts the words' documents by class
 and keeps the ``vocabulary`` most telling ones.  Each labelled text that names a
 group is paired with copies in which that term is swapped for the others, and
 the loss adds ``penalty`` times the squared change of the logit, so the choice of
-the group named moves the score little.  Scoring is one pass over the texts with
+the group named moves the score little.  Those terms give no stem, which would carry
+the group's weight past the swap.  Scoring is one pass over the texts with
 the word weights (``vocabulary`` entries at most) in the tasks' closure.
 
 Edge cases: null and empty texts get the score of a text without known words;
@@ -39,23 +40,24 @@ _TO_SPACE = bytes.maketrans(_MARKS, b" " * len(_MARKS))
 STEM = 5
 
 
-def terms(text: str) -> set[bytes]:
+def terms(text: str, identity: frozenset[bytes] = frozenset(t.encode() for t in IDENTITY_TERMS)) -> set[bytes]:
     """Distinct lower-case words, ASCII punctuation taken as space, and the stems of
-    longer words with a star."""
+    longer words other than identity terms with a star."""
     words = set(text.lower().encode().translate(_TO_SPACE).split())
-    return words | {w[:STEM] + b"*" for w in words if len(w) > STEM}
+    return words | {w[:STEM] + b"*" for w in words if len(w) > STEM and w not in identity}
 
 
-def training_words(docs: DataFrame, labels: DataFrame, held_out, max_train: int) -> DataFrame:
+def training_words(docs: DataFrame, labels: DataFrame, held_out, max_train: int, identity: tuple[str, ...] = IDENTITY_TERMS) -> DataFrame:
     """doc_id, toxic, words of the training sample."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = plain(docs).join(F.broadcast(sample), "doc_id")  # at most max_train rows of two numbers
+    whole = frozenset(t.encode() for t in identity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words = [sorted(terms(t)) for t in batch.column("text").to_pylist()]
+            words = [sorted(terms(t, whole)) for t in batch.column("text").to_pylist()]
             schema = pa.schema([("toxic", pa.int32()), ("words", pa.list_(pa.binary()))])
             yield as_batch(schema, batch.column("toxic").cast(pa.int32()), words)
 
@@ -103,7 +105,7 @@ def fit(
     identity: tuple[str, ...] = IDENTITY_TERMS, penalty: float = 1.0, ridge: float = 1e-4, steps: int = 300,
 ) -> tuple[dict[bytes, float], float]:
     """(word -> weight, bias)."""
-    rows = written(training_words(docs, labels, held_out, max_train), "toxicity-train")
+    rows = written(training_words(docs, labels, held_out, max_train, identity), "toxicity-train")
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < positive < n:
         share = min(max(positive / n if n else 0.0, 1e-9), 1 - 1e-9)
@@ -122,38 +124,38 @@ def fit(
     return {t: float(x) for t, x in zip(vocab, w)}, float(bias)
 
 
-def scores(texts: list[str], weights: dict[bytes, float], bias: float) -> np.ndarray:
-    known, get = weights.keys(), weights.__getitem__
-    z = np.asarray([sum(map(get, sorted(terms(t) & known)), bias) for t in texts])
+def scores(texts: list[str], weights: dict[bytes, float], bias: float, identity: tuple[str, ...] = IDENTITY_TERMS) -> np.ndarray:
+    known, get, whole = weights.keys(), weights.__getitem__, frozenset(t.encode() for t in identity)
+    z = np.asarray([sum(map(get, sorted(terms(t, whole) & known)), bias) for t in texts])
     return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def score(docs: DataFrame, weights: dict[bytes, float], bias: float) -> DataFrame:
+def score(docs: DataFrame, weights: dict[bytes, float], bias: float, identity: tuple[str, ...] = IDENTITY_TERMS) -> DataFrame:
     """doc_id, score of every whole text."""
     source = plain(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("score", pa.float64())])
-            yield as_batch(schema, batch.column("doc_id"), scores(batch.column("text").to_pylist(), weights, bias))
+            yield as_batch(schema, batch.column("doc_id"), scores(batch.column("text").to_pylist(), weights, bias, identity))
 
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, fold: int = 5, threshold: float = 0.5, **training) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, fold: int = 5, threshold: float = 0.5, identity: tuple[str, ...] = IDENTITY_TERMS, **training) -> DataFrame:
     """The documents, all columns, whose score is below ``threshold``."""
-    weights, bias = fit(docs, labels, F.coalesce(crc_mod(F.col("doc_id"), fold) == 0, F.lit(False)), **training)
+    weights, bias = fit(docs, labels, F.coalesce(crc_mod(F.col("doc_id"), fold) == 0, F.lit(False)), identity=identity, **training)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield batch.filter(pa.array(scores([t or "" for t in batch.column("text").to_pylist()], weights, bias) < threshold))
+            yield batch.filter(pa.array(scores([t or "" for t in batch.column("text").to_pylist()], weights, bias, identity) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, fold: int = 5, **training) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, fold: int = 5, identity: tuple[str, ...] = IDENTITY_TERMS, **training) -> DataFrame:
     """doc_id, held_out (crc32 of the id as text, mod ``fold``, is 0), score, predicted."""
     held = F.coalesce(crc_mod(F.col("doc_id"), fold) == 0, F.lit(False))
-    weights, bias = fit(docs, labels, held, **training)
-    scored = score(docs, weights, bias)
+    weights, bias = fit(docs, labels, held, identity=identity, **training)
+    scored = score(docs, weights, bias, identity)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

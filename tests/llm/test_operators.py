@@ -389,6 +389,25 @@ def test_toxicity_held_out_and_fair(spark, empty):
     assert toxicity.classify(empty, truth).count() == 0
 
 
+def test_toxicity_stems_do_not_carry_groups(spark):
+    """Labelled rows that name a group of over 5 letters: the neutral text's score follows the penalty in full."""
+    r = np.random.default_rng(10)
+    rows = []
+    for i in range(400):
+        body = prose(9000 + i, 20).split()
+        toxic = i % 4 == 0
+        if toxic:
+            body[3] = str(r.choice(["scumbag", "idiotic"]))
+        body[5] = str(r.choice(["immigrants", "women"], p=[0.9, 0.1] if toxic else [0.1, 0.9]))
+        rows.append((i, " ".join(body), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    w, bias = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"), F.lit(False), penalty=30.0)
+    assert b"immig*" not in w
+    one, other = toxicity.scores(["we met immigrants there", "we met women there"], w, bias)
+    assert abs(np.log(one / (1 - one)) - np.log(other / (1 - other)) - (w[b"immigrants"] - w[b"women"])) < 1e-6
+    assert abs(one - other) < 0.05
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity.classify(docs, none).collect()
