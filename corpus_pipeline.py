@@ -14,6 +14,10 @@ from crashlens.llm import lines, near, packing, pii, toxicity
 from crashlens.llm.common import documents, labels, tokenizer_path, written
 
 
+#: Least words of a line that is dropped where it repeats alone, without its neighbours.
+PARAGRAPH = 50
+
+
 def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns, with ``n_chars`` of the text as it is now."""
     if "n_chars" in columns:
@@ -28,9 +32,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of runs of lines; a document whose words all lie
+    """Texts without the later copies of runs of lines and of paragraphs; a document whose words all lie
     in such copies goes."""
-    edited = lines.remove_repeats(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c not in ("doc_id", "text")}))
+    edited = lines.remove_repeats(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c not in ("doc_id", "text")}), line_words=PARAGRAPH)
     stays = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     others = [F.col(f"own_{c}").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
     named = edited.where(stays).select("doc_id", "text", *others)

@@ -15,6 +15,10 @@ stops there, after log2(min_lines) rounds whatever the documents' lengths.  All
 members but the first in (doc_id, line) order are later copies; windows that
 touch or overlap make up the maximal runs that are deleted.
 
+With ``line_words``, a single line of at least that many words (a paragraph) is a run
+of its own whatever its neighbours: all its copies but the first go too.  Shorter lines
+that repeat alone stay.
+
 Lines without a word are no part of the sequence; those inside a deleted run go
 with it, all others stay.  Edge cases: a
 null text counts as empty and is returned as null; repeated rows (same id and
@@ -49,6 +53,13 @@ def same_key(left: DataFrame, right: DataFrame, *more):
     return on
 
 
+def long_enough(line_words: int | None) -> list:
+    """Whether a line has that many words, if the number is asked for."""
+    if line_words is None:
+        return []
+    return [(F.size(F.filter(F.split("line", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")) >= line_words).alias("long")]
+
+
 def ranked(members: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``members`` (KEY, i, keys) that share their keys with another one, with an
     order-preserving ``rank`` of the keys."""
@@ -57,13 +68,15 @@ def ranked(members: DataFrame, keys: list[str], name: str) -> DataFrame:
     return written(members.join(written(order, f"{name}-order"), keys).select(*KEY, "i", "rank"), name)
 
 
-def repeated_windows(docs: DataFrame, min_lines: int) -> DataFrame:
-    """KEY, i, rank of every run of ``min_lines`` lines that occurs more than once;
-    i numbers a document's lines with a word."""
+def repeated_windows(docs: DataFrame, min_lines: int, line_words: int | None = None) -> DataFrame:
+    """KEY, i, rank, width of every run of ``min_lines`` lines, and of every line of at
+    least ``line_words`` words, that occurs more than once; i numbers a document's lines
+    with a word."""
     worded = keyed(docs).select(*KEY, F.filter("lines", has_word).alias("lines"))
     lines = worded.select(*KEY, F.posexplode("lines").alias("i", "line"))
-    first = lines.select(*KEY, "i", F.unhex(F.sha2(F.col("line").cast("binary"), 256)).alias("digest"))
-    at = ranked(written(first, "lines-digests").distinct(), ["digest"], "lines-rank1")
+    first = lines.select(*KEY, "i", F.unhex(F.sha2(F.col("line").cast("binary"), 256)).alias("digest"), *long_enough(line_words))
+    first = written(first, "lines-digests").distinct()
+    at = ranked(first, ["digest"], "lines-rank1")
     depth = 1
     while depth < min_lines:
         step = min(depth, min_lines - depth)
@@ -71,28 +84,34 @@ def repeated_windows(docs: DataFrame, min_lines: int) -> DataFrame:
         pairs = at.join(later, at["doc_id"].eqNullSafe(later["d"]) & (at["body"] == later["b"]) & (at["i"] == later["j"]))
         depth += step
         at = ranked(pairs.select(*KEY, "i", F.col("rank").alias("head"), "second"), ["head", "second"], f"lines-rank{depth}")
-    return at
+    found = at.withColumn("width", F.lit(min_lines))
+    if line_words is None:
+        return found
+    return found.unionByName(ranked(first.where("long"), ["digest"], "lines-single").withColumn("width", F.lit(1)))
 
 
-def later_copies(windows: DataFrame, min_lines: int) -> DataFrame:
+def later_copies(windows: DataFrame) -> DataFrame:
     """KEY, runs: the maximal runs of lines to delete as sorted structs (first, last) of i."""
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "body", "i")
-    first = windows.groupBy("rank").agg(F.min(place).alias("first"))
-    copies = windows.join(first, "rank").where(~place.eqNullSafe(F.col("first")))
+    first = windows.groupBy("rank", "width").agg(F.min(place).alias("first"))
+    copies = windows.join(first, ["rank", "width"]).where(~place.eqNullSafe(F.col("first")))
+    copies = copies.groupBy(*KEY, "i").agg(F.max("width").alias("width"))
     own = Window.partitionBy(*KEY).orderBy("i")
-    apart = F.coalesce(F.col("i") - F.lag("i").over(own) > min_lines, F.lit(True))
-    runs = copies.select(*KEY, "i", apart.cast("int").alias("apart")).withColumn("run", F.sum("apart").over(own))
-    spans = runs.groupBy(*KEY, "run").agg(F.min("i").alias("first"), (F.max("i") + min_lines - 1).alias("last"))
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.col("i") > F.max(F.col("i") + F.col("width")).over(before), F.lit(True))
+    runs = copies.select(*KEY, "i", "width", apart.cast("int").alias("apart")).withColumn("run", F.sum("apart").over(own))
+    spans = runs.groupBy(*KEY, "run").agg(F.min("i").alias("first"), (F.max(F.col("i") + F.col("width")) - 1).alias("last"))
     return spans.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """The documents with later copies of repeated runs deleted from ``text``, and
+def remove_repeats(docs: DataFrame, min_lines: int = 2, line_words: int | None = None) -> DataFrame:
+    """The documents with later copies of repeated runs (and single lines of at least
+    ``line_words`` words, if given) deleted from ``text``, and
     ``runs`` (null where nothing was deleted), ``n_lines`` and ``n_removed``; the
     last three replace columns of those names."""
     if not {"doc_id", "text"} <= set(docs.columns):
         raise ValueError("documents need doc_id and text")
-    found = later_copies(repeated_windows(docs, min_lines), min_lines)
+    found = later_copies(repeated_windows(docs, min_lines, line_words))
     found = written(found.select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("runs").alias("__runs")), "lines-runs")
     text = F.coalesce(F.col("text"), F.lit(""))
     # the runs grow with the corpus: a shuffle join at every size, never a broadcast

@@ -217,6 +217,17 @@ def test_line_dedup_brute(spark, least):
         assert got[i] == "\n".join(x for p, x in enumerate(every) if not any(a <= p <= b for a, b in gone))
 
 
+def test_single_repeated_paragraphs(spark):
+    """A long line that repeats alone goes in the pipeline's stage; a short one stays."""
+    import corpus_pipeline
+
+    long, short = " ".join(f"p{i}" for i in range(60)), "a short line"
+    texts = [f"a0\n{long}\n{short}\nb0", f"a1\n{short}\nc1\n{long}\n\nb1", f"{long}\nd\nrun one\nrun two", f"e\nrun one\nrun two\n{long}\nf"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, table, "").collect()}
+    assert got == {0: texts[0], 1: f"a1\n{short}\nc1\n\nb1", 2: "d\nrun one\nrun two", 3: "e\nf"}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracles(spark, sf, name):
     from tools_compare import canon
