@@ -1,12 +1,10 @@
-"""Substring dedup: words inside repeated windows, found by prefix-partitioned suffix trees.
-
-Every word position with a full window after it is a suffix.  The trees are built
-in two levels with variable-length prefixes.  First the suffixes' short prefixes
-are counted: one that is alone is a leaf right below its prefix and is done.  The
-others get a longer prefix, which deals them into groups of bounded size, and the
-group's subtree is built by sorting (prefix, rest of the window): neighbours that
-are equal to the window's depth share an internal node at least that deep, so
-their windows occur more than once.
+"""Substring dedup: words inside repeated windows, found by window fingerprints.
+
+Every word position with a full window after it is a suffix.  No suffix tree is
+built.  First the suffixes' short prefixes are counted: one that is alone is done.
+The others are dealt by the hash of a longer prefix of fixed length and sorted by
+(prefix, rest of the window): neighbours that are equal are windows that occur more
+than once.  A prefix with many different continuations is not split.
 
 A group of documents sends each distinct prefix (or suffix) once, with a mark
 when it has several itself.  So a passage in a third of all documents costs a
