@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crashlens.llm import exact, lines, near, packing, pieces, pii, quality, scoring, substrings, toxicity
-from crashlens.llm.common import documents, labels, tokenizer_path
+from crashlens.llm import exact, lines, manifest, near, oracles, packing, periodic, pieces, pii, quality, scoring, search, substrings, toxicity
+from crashlens.llm.common import crc_mod, documents, labels, tokenizer_path
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +61,44 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(documents(spark, sf_dir)).drop("digest")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.when(crc_mod(F.col("doc_id"), 3) == 0, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    rows = manifest.prove(documents(spark, sf_dir), claims={"text": tampered})
+    rows = rows.withColumn("folded_root", manifest.fold(F.col("claimed"), F.col("proof")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """The documents; of those whose id's crc32 ends in 0, the words from one on repeat a stretch."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("words")
+    a = F.pmod(g, F.greatest(n, F.lit(1)))
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    again = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).cast("int"))))
+    rows = docs.withColumn("words", F.when(h % 10 == 0, words)).withColumn("a", a).withColumn("p", p)
+    return rows.select("doc_id", F.when(F.size("words") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.collapse(repeating(documents(spark, sf_dir)))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return rows.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), "longest.length", (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_pii, op3_line_dedup, op4_quality_rules, op5_exact_dedup, op6_lm_scoring, op7_sentencepiece,
-    op8_substring_dedup, op9_toxicity, op10_near_dedup,
+    op8_substring_dedup, op9_toxicity, op10_near_dedup, op11_manifest, op12_periodic, op13_top_k,
 )}
 
 
@@ -96,4 +131,5 @@ FROM kept GROUP BY doc_id""",
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    **oracles.SQL,
 }
