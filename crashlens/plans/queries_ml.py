@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crashlens.operators import features, forecast, ml, profiling, series
 from crashlens.plans.queries import CORR_COLS, T, _daily, _hourly, q
 from crashlens.plans.tables import TRAINING_FEATURES
+from crashlens.session import stored
 
 ID_COLS = ("collision_index", "vehicle_reference", "casualty_reference")
 # registered model sizes: the reference's
-MODEL_PARAMS = {"rf": dict(num_trees=100, max_depth=ml.DEPTH), "gbt": dict(gbt_iter=100), "mlp": dict(mlp_iter=500)}
+MODEL_PARAMS = {"rf": dict(num_trees=100), "gbt": dict(gbt_iter=100), "mlp": dict(mlp_iter=500)}
+#: Metrics of a model on a dataset, stored when a key first asks for them in a session.
+METRICS: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def matrix(spark, sf) -> DataFrame:
@@ -76,8 +81,14 @@ def _(spark, sf):
 
 
 def validated(spark, sf, *models: str) -> DataFrame:
-    rows = labelled(spark, sf)
-    return rounded(ml.compare_models(rows, feature_names(rows), "row_id", 5, MODEL_PARAMS, models))
+    """Cross-validated metrics, one row per model; the model keys and the comparing keys read one stored table."""
+    key = lambda m: (spark.sparkContext.applicationId, sf, m)
+    missing = [m for m in models if key(m) not in METRICS]
+    if missing:
+        rows = labelled(spark, sf)
+        found = stored(rounded(ml.compare_models(rows, feature_names(rows), "row_id", 5, MODEL_PARAMS, missing)), "metrics")
+        METRICS.update({key(m): found.where(F.col("model") == m) for m in missing})
+    return reduce(DataFrame.unionByName, [METRICS[key(m)] for m in models])
 
 
 for _m in ml.MODELS:

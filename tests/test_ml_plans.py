@@ -154,11 +154,13 @@ def test_registered_model_sizes_are_the_reference_ones(spark, sf, monkeypatch):
 
     def compared(rows, features, id_col, k, params, models):
         calls[name] = (k, params, set(models))
-        return spark.range(0).select("id")
+        return spark.range(0).select(F.col("id").cast("string").alias("model"))
 
     monkeypatch.setattr(queries_ml.ml, "compare_models", compared)
+    monkeypatch.setattr(queries_ml, "rounded", lambda df: df)
     monkeypatch.setattr(queries_ml.ml, "best_model", lambda df: df)
     for name in ("clf_gbt", "clf_mlp", "model_comparison", "best_model"):
+        monkeypatch.setattr(queries_ml, "METRICS", {})
         registry.queries()[name](spark, sf)
         k, params, _ = calls[name]
         assert k == 5 and params["gbt"] == {"gbt_iter": 100} and params["mlp"] == {"mlp_iter": 500}
