@@ -6,18 +6,23 @@
   duplicates, source tag) -> merges with indicators -> global sentinels ->
   datetime parsing -> time features -> labels.
 
-Nothing here runs a job: each method returns a DataFrame plan.  Callers that
-reuse a relation many times in one session may ``persist()`` it themselves.
+The reference cleans its tables in place before anything reads them.  So the cleaned,
+deduplicated tables, the loader's rows and the notebook's table are written once per
+session and folder, when a query first asks for them (:func:`kept`); every query after
+that reads its columns from there, and the three cleaned tables lie bucketed and sorted
+by ``collision_index``, so their joins need no exchange.  The other methods return plans.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashlens.operators import cleaning, features, joins
+from crashlens.session import stored, stored_by_key
 from crashlens.sources import fixtures
 
 NB_COLLISION_COLS = ("collision_index", "raw_date", "raw_time", "weather_conditions", "light_conditions",
@@ -36,11 +41,28 @@ TRAINING_FEATURES = ("number_of_vehicles", "number_of_casualties", "day_of_week"
                      "age_of_driver", "age_of_casualty", "sex_of_casualty", "casualty_class", "casualty_type")
 
 
+#: Tables written by a session: (application, folder, table).
+KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def forget(sf_dir: str) -> None:
+    """Have the tables of a folder written anew when next asked for (its files have changed)."""
+    for key in [k for k in KEPT if k[1] == sf_dir]:
+        del KEPT[key]
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
+    def kept(self, name: str, plan: Callable[[], DataFrame], key: str | None = None) -> DataFrame:
+        """The table that ``plan`` tells, from where this session wrote it (bucketed by ``key``)."""
+        at = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if at not in KEPT:
+            KEPT[at] = stored_by_key(plan(), name, key) if key else stored(plan(), name)
+        return KEPT[at]
+
     # -- fixtures -----------------------------------------------------------
     @cached_property
     def raw_collision(self) -> DataFrame:
@@ -66,15 +88,15 @@ class Tables:
     @cached_property
     def collision(self) -> DataFrame:
         # the script removes repeated keys before the views read the table
-        return cleaning.dedup_collisions(cleaning.clean_collision(self.raw_collision))
+        return self.kept("collision", lambda: cleaning.dedup_collisions(cleaning.clean_collision(self.raw_collision)), "collision_index")
 
     @cached_property
     def vehicle(self) -> DataFrame:
-        return cleaning.dedup_vehicles(cleaning.clean_vehicle(self.raw_vehicle))
+        return self.kept("vehicle", lambda: cleaning.dedup_vehicles(cleaning.clean_vehicle(self.raw_vehicle)), "collision_index")
 
     @cached_property
     def casualty(self) -> DataFrame:
-        return cleaning.dedup_casualties(cleaning.clean_casualty(self.raw_casualty))
+        return self.kept("casualty", lambda: cleaning.dedup_casualties(cleaning.clean_casualty(self.raw_casualty)), "collision_index")
 
     def features(self, night: str = "literal") -> DataFrame:
         return features.with_features(self.collision, night)
@@ -109,6 +131,9 @@ class Tables:
 
     @cached_property
     def nb_full(self) -> DataFrame:
+        return self.kept("notebook", self._nb_full)
+
+    def _nb_full(self) -> DataFrame:
         t = cleaning.global_sentinels_to_null(self.nb_merged)
         t = joins.resolve_merge_columns(t)
         t = cleaning.parse_datetime(t, "raw_date", "raw_time")
@@ -119,7 +144,10 @@ class Tables:
     @cached_property
     def training_rows(self) -> DataFrame:
         """J3 on deduplicated (not sentinel-cleaned) tables; the loader handles -1."""
-        col = self.raw_collision.withColumn("day_of_week", (F.dayofweek("date_of_accident") - 1))
+        return self.kept("training", self._training_rows)
+
+    def _training_rows(self) -> DataFrame:
+        col = cleaning.dedup_collisions(self.raw_collision).withColumn("day_of_week", (F.dayofweek("date_of_accident") - 1))
         veh = cleaning.dedup_vehicles(self.raw_vehicle)
         cas = cleaning.dedup_casualties(self.raw_casualty)
         return joins.casualty_training_rows(cas, col, veh)

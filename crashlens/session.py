@@ -73,3 +73,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_by_key(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` written once as an external table in the shared folder, one sorted file for each
+    bucket of ``key``: joins and groups on ``key`` read it without a shuffle or a sort.
+
+    The number of buckets is ``spark.sql.shuffle.partitions``, as set for the input's size."""
+    spark = df.sparkSession
+    token = uuid.uuid4().hex[:12]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(buckets, key).write.option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}-{token}")
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(f"crashlens_{name}_{token}")
+    return spark.table(f"crashlens_{name}_{token}")
