@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY = "series_key"
@@ -193,47 +193,76 @@ def model_info(series: DataFrame, models=("arima", "sarima", "additive"), season
     return out
 
 
-def forecast_ahead(series: DataFrame, horizon: int = 168, model: str = "additive", p: int = 5,
-                   q: int = 2) -> DataFrame:
-    """Future periods at the series' own step.
+STATE = ("model", "season", "ar", "ma", "ts", "n", "step", "coef", "mean", "sd", "recent")
+
 
-    ``additive`` evaluates the fitted design at future times; ``arima`` continues
-    the differenced model with future innovations 0, from the last few values of
-    each series.
-    """
+def model_state(series: DataFrame, model: str = "additive", season: int = 24, p: int = 5, q: int = 2) -> DataFrame:
+    """One row per series with all that a forecast needs: the coefficients in the order of the
+    design and, for the additive model, mean and deviation of the values, for the others the
+    last values, differences and innovations (a season of them for ``sarima``)."""
     bounds = [F.max("ts").alias("ts"), F.first("n").alias("n"), F.first("step").alias("step")]
-    later = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")
-    ahead = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("step") * F.col("h"))
-    named = [KEY, F.lit(model).alias("model"), "ts", F.lit(None).cast("double").alias("y"), "yhat"]
+    named = [F.lit(model).alias("model"), *(F.lit(v).alias(n) for n, v in (("season", season), ("ar", p), ("ma", q)))]
+    none = F.lit(None).cast("double")
     if model == "additive":
         rows, coef = fitted_additive(series)
-        future = rows.groupBy(KEY).agg(*bounds).select("*", later).withColumn("ts", ahead).withColumn("t", F.col("n") + F.col("h") - 1)
-        future = future.withColumn("x", additive_design(_share(), _hours("ts"), F.col("step"))).join(coef, KEY)
-        return future.withColumn("yhat", dot("x", "coef") * F.col("sd") + F.col("mean")).select(*named)
-    spec = arma("arima", 24, p, q)
+        ends = rows.groupBy(KEY).agg(*bounds).withColumn("recent", F.lit(None).cast("array<struct<t: bigint, y: double, z: double, e: double>>"))
+        return ends.join(coef, KEY).select("*", *named).select(KEY, *STATE)
+    spec = arma(model, season, p, q)
     rows, coef = fitted_arma(series, spec)
-    last = rows.filter(F.col("t") >= F.col("n") - max(p, q))
-    ends = last.groupBy(KEY).agg(
-        *bounds, F.array_sort(F.collect_list(F.struct("t", "y", "z", F.coalesce(F.col("z") - F.col("fit"), F.lit(0.0)).alias("e")))).alias("last"))
+    reach = max(max(d for d, _ in spec.difference), *spec.values, *spec.innovations)
+    shock = F.coalesce(F.col("z") - F.col("fit"), F.lit(0.0)).alias("e")
+    ends = rows.filter(F.col("t") >= F.col("n") - reach).groupBy(KEY).agg(*bounds, F.array_sort(F.collect_list(F.struct("t", "y", "z", shock))).alias("recent"))
+    return ends.join(coef, KEY).select("*", none.alias("mean"), none.alias("sd"), *named).select(KEY, *STATE)
+
+
+def continued(coef: Sequence[float], spec: Arma, y: list[float], z: list[float], e: list[float], horizon: int) -> list[float]:
+    """The values after ``y``, with future innovations 0; what lies before the history counts as 0."""
+    reach = max(max(d for d, _ in spec.difference), *spec.values, *spec.innovations)
+    y, z, e = ([0.0] * reach + list(v) for v in (y, z, e))
+    for _ in range(horizon):
+        z.append(float(np.dot(coef, [1.0, *(z[-i] for i in spec.values), *(e[-i] for i in spec.innovations)])))
+        e.append(0.0)
+        y.append(z[-1] - sum(c * y[-d] for d, c in spec.difference))
+    return y[len(y) - horizon:]
+
+
+def forecast_from(state: DataFrame, horizon: int = 168) -> DataFrame:
+    """The periods after the end of each series of :func:`model_state`, at its own step, without a fit."""
+    later = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")
+    ahead = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("step") * F.col("h"))
+    named = [KEY, "model", "ts", F.lit(None).cast("double").alias("y"), "yhat"]
+    future = state.filter("model = 'additive'").select("*", later).withColumn("ts", ahead).withColumn("t", F.col("n") + F.col("h") - 1)
+    future = future.withColumn("x", additive_design(_share(), _hours("ts"), F.col("step")))
+    additive = future.withColumn("yhat", dot("x", "coef") * F.col("sd") + F.col("mean")).select(*named)
 
     def go_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             paths = []
-            for last, coef in zip(pdf["last"], pdf["coef"]):
-                z, e, y, path = [r["z"] or 0.0 for r in last], [r["e"] for r in last], last[-1]["y"], []
-                z, e = [0.0] * p + z, [0.0] * q + e
-                for _ in range(horizon):
-                    z.append(float(np.dot(coef, [1.0, *(z[-i] for i in spec.values), *(e[-i] for i in spec.innovations)])))
-                    e.append(0.0)
-                    y += z[-1]
-                    path.append(y)
-                paths.append(path)
-            yield pdf[[KEY, "ts", "step"]].assign(path=paths)
-
-    paths = ends.join(coef, KEY).select(KEY, "ts", "step", "last", "coef").mapInPandas(
-        go_on, f"{KEY} string, ts timestamp_ntz, step long, path array<double>")
-    steps = paths.select(KEY, "ts", "step", F.posexplode("path").alias("h", "yhat")).withColumn("h", F.col("h") + 1)
-    return steps.withColumn("ts", ahead).select(*named)
+            for model, season, p, q, coef, recent in zip(*(pdf[c] for c in ("model", "season", "ar", "ma", "coef", "recent"))):
+                y, z, e = ([r[c] if r[c] is not None and not np.isnan(r[c]) else 0.0 for r in recent] for c in "yze")
+                paths.append(continued(coef, arma(model, int(season), int(p), int(q)), y, z, e, horizon))
+            yield pdf[[KEY, "model", "ts", "step"]].assign(path=paths)
+
+    paths = state.filter("model <> 'additive'").mapInPandas(go_on, f"{KEY} string, model string, ts timestamp_ntz, step long, path array<double>")
+    steps = paths.select(KEY, "model", "ts", "step", F.posexplode("path").alias("h", "yhat")).withColumn("h", F.col("h") + 1)
+    return additive.unionByName(steps.withColumn("ts", ahead).select(*named))
+
+
+def forecast_ahead(series: DataFrame, horizon: int = 168, model: str = "additive", p: int = 5,
+                   q: int = 2, season: int = 24) -> DataFrame:
+    """Future periods of a freshly fitted model: ``additive`` evaluates its design at future
+    times, ``arima`` and ``sarima`` continue the differenced series."""
+    return forecast_from(model_state(series, model, season, p, q), horizon)
+
+
+def save_state(state: DataFrame, path: str) -> None:
+    """The fitted models as a table."""
+    state.write.mode("overwrite").parquet(path)
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`save_state` wrote, for :func:`forecast_from`."""
+    return spark.read.parquet(path)
 
 
 def compare_models(series: DataFrame, models=("arima", "sarima", "additive"), season: int = 24) -> DataFrame:

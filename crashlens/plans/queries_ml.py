@@ -134,6 +134,7 @@ def _(spark, sf):
 @q("forecast_ahead")
 def _(spark, sf):
     return (forecast.forecast_ahead(_hourly(spark, sf), 168, "arima")
+            .unionByName(forecast.forecast_ahead(_hourly(spark, sf), 168, "sarima", season=24))
             .unionByName(forecast.forecast_ahead(_daily(spark, sf), 7, "additive")))
 
 
