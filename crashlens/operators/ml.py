@@ -16,19 +16,18 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from crashlens.functions.expr import attach_one_row, numeric_fields
-from crashlens.operators import boosting, forest, network
+from crashlens.operators import boosting, forest, neighbours, network
 from crashlens.operators.blocks import Block, blocks, packed, summed
 from crashlens.operators.cleaning import encode_target, median_impute
 from crashlens.operators.quantiles import quantiles, value_counts
-from crashlens.operators.ranking import hash_ranks, sorted_ranks
-from crashlens.session import checkpoint_dir, stored
+from crashlens.operators.ranking import hash_ranks
+from crashlens.session import stored
 
 LABEL = "label"
 SEED = 42
@@ -116,58 +115,6 @@ def metrics_of(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 # ---- SMOTE ------------------------------------------------------------------
-def nearest(df: DataFrame, features: Sequence[str], id_col: str, k: int, seed: int = SEED, label: str = LABEL,
-            projections: int = 4, reach: int = 32, block: int = 20_000) -> DataFrame:
-    """``id_col``, ``near``: the k nearest rows of the same class as an array of (d, id, x).
-
-    Locality-sensitive search, alike for all class sizes: rows are sorted by each
-    of ``projections`` random directions, and the ``reach`` rows before and after
-    are the candidates, of which the k nearest over all directions stay (all
-    neighbours are candidates in a class of at most ``reach`` + 1 rows).  A sorted
-    run is cut into blocks of ranks whose border rows are copied to the next
-    block, so no task holds more than a block and the result does not depend on
-    ``block``.
-    """
-    x = F.array(*[F.col(c).cast("double") for c in features]).alias("x")
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(label).alias("label"), x)
-    rng = np.random.default_rng(seed)
-    out_schema = "id string, near array<struct<d: double, id: string, x: array<double>>>"
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank", ignore_index=True)
-        own = np.flatnonzero(pdf["rank"].to_numpy() // block == pdf["part"].iloc[0])
-        values, labels, ids = np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(), pdf["id"].tolist()
-        lists = values.tolist()
-        found = [[] for _ in own]
-        for lo in range(0, len(own), 2048):  # a slice of rows against their neighbours at a time
-            some = own[lo:lo + 2048]
-            at = some[:, None] + np.concatenate([np.arange(-reach, 0), np.arange(1, reach + 1)])[None, :]
-            there = (at >= 0) & (at < len(pdf))
-            at = np.clip(at, 0, len(pdf) - 1)
-            there &= labels[at] == labels[some][:, None]
-            d = np.where(there, ((values[at] - values[some][:, None, :]) ** 2).sum(-1), np.inf)
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]  # ties by rank
-            picked = np.take_along_axis(at, best, 1)
-            dist = np.take_along_axis(d, best, 1)
-            for i, (ds, js) in enumerate(zip(dist.tolist(), picked.tolist())):
-                found[lo + i] = [(e, ids[j], lists[j]) for e, j in zip(ds, js) if e < np.inf]
-        return pd.DataFrame({"id": pd.Series([ids[j] for j in own], dtype=object), "near": pd.Series(found, dtype=object)})
-
-    parts = []
-    for r in range(projections):
-        weights = rng.normal(size=len(features))
-        along = sum((F.col("x")[i] * F.lit(float(w)) for i, w in enumerate(weights)), F.lit(0.0))
-        ranked = sorted_ranks(rows.withColumn("along", along), ["label", "along", "id"], "rank")
-        blocks = F.array_distinct(F.array(*[F.floor((F.col("rank") + o) / block) for o in (-reach, 0, reach)]))
-        dealt = ranked.select("id", "label", "x", "rank", F.explode(blocks).alias("part")).filter(F.col("part") >= 0)
-        parts.append(dealt.groupBy("part").applyInPandas(search, out_schema))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    near = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)  # projections x k entries
-    return every.groupBy("id").agg(near.alias("near")).withColumnRenamed("id", id_col)
-
-
 def smote(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5, seed: int = SEED,
           label: str = LABEL, within: str | None = None, **search) -> DataFrame:
     """M8: raise every class to the majority count with SMOTE samples, in each group of the
@@ -175,7 +122,7 @@ def smote(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5, seed:
 
     Class rank r gets ``need // n_c + (r < need % n_c)`` new rows, so the number is
     exact.  Each lies between its row and one of the row's k nearest
-    (:func:`nearest`), drawn by hashes of the id, so repeated tasks make the same
+    (``neighbours.nearest``, exact), drawn by hashes of the id, so repeated tasks make the same
     rows.  A row without neighbours is repeated.
     """
     cols, groups = list(features), [within] if within else []
@@ -193,7 +140,7 @@ def smote(df: DataFrame, features: Sequence[str], id_col: str, k: int = 5, seed:
     group = F.col(within).cast("long") if within else F.lit(0).cast("long")
     own = F.concat_ws(":", *groups, id_col)
     apart = short.select(own.alias("__own"), (group * (1 << 32) + F.col(label)).alias("__class"), *cols)
-    near = nearest(apart, cols, "__own", k, seed, "__class", **search)
+    near = neighbours.nearest(apart, cols, "__own", k, seed, "__class", **search)
     wanted = ranked.withColumn("__copies", copies).filter(F.col("__copies") > 0).withColumn("__own", own).join(near, "__own", "left")
     each = wanted.withColumn("__j", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     pick = F.pmod(F.xxhash64(id_col, "__j", F.lit(seed)), F.greatest(F.size("near"), F.lit(1))).cast("int")

@@ -3,9 +3,11 @@
 import os
 import tempfile
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from crashlens.operators import ml
+from crashlens.operators import ml, neighbours
 from crashlens.plans import queries_ml
 from crashlens.plans.queries import QUERIES
 
@@ -49,23 +51,26 @@ def test_network_pipeline_runs_with_resampling(spark, sf):
 
 def test_smote_does_not_depend_on_blocks(spark):
     rows = spark.createDataFrame([(str(i), int(i % 10 == 0), float(i % 37), float((i * 7) % 11)) for i in range(600)], "id string, label int, a double, b double")
-    one = ml.smote(rows, ["a", "b"], "id", block=20_000)
-    many = ml.smote(rows, ["a", "b"], "id", block=10, reach=8)
-    same = ml.smote(rows, ["a", "b"], "id", block=37, reach=8)
+    one = ml.smote(rows, ["a", "b"], "id")
+    many = ml.smote(rows, ["a", "b"], "id", block=10)
+    same = ml.smote(rows, ["a", "b"], "id", block=37, most=2)
     assert one.groupBy("label").count().collect()[0]["count"] == 540 and one.count() == 1080
-    assert many.exceptAll(same).count() == 0 and many.count() == 1080
-
-
-def test_nearest_is_exact_in_small_classes(spark):
-    import numpy as np
-
-    r = np.random.default_rng(0).normal(size=(30, 3))
-    rows = spark.createDataFrame([(str(i), 0, *map(float, v)) for i, v in enumerate(r)], "id string, label int, a double, b double, c double")
-    got = {x["id"]: [n["id"] for n in x["near"]] for x in ml.nearest(rows, ["a", "b", "c"], "id", 5).collect()}
-    for i in range(30):
-        d = ((r - r[i]) ** 2).sum(1)
-        d[i] = np.inf
-        assert got[str(i)] == [str(j) for j in np.argsort(d)[:5]]
+    assert many.exceptAll(same).count() == 0 and one.exceptAll(same).count() == 0 and many.count() == 1080
+
+
+@pytest.mark.parametrize("block, most", [(4096, 256), (16, 256), (16, 3)])
+def test_nearest_is_exact(spark, block, most):
+    """Also with ties, repeated rows, a class below k rows and cells above a block."""
+    r = np.random.default_rng(0)
+    x = np.concatenate([r.normal(size=(120, 3)), r.integers(0, 3, (80, 3)), np.tile([[1.0, 1.0, 1.0]], (40, 1))])
+    label = np.where(np.arange(240) < 3, 2, np.arange(240) % 2)
+    rows = spark.createDataFrame([(f"{i:03}", int(label[i]), *map(float, v)) for i, v in enumerate(x)], "id string, label int, a double, b double, c double")
+    found = neighbours.nearest(rows, ["a", "b", "c"], "id", 5, 42, "label", block, most)
+    got = {v["id"]: [n["id"] for n in v["near"]] for v in found.collect()}
+    for i in range(240):
+        others = [j for j in range(240) if j != i and label[j] == label[i]]
+        d = {j: sum((x[i, f] - x[j, f]) ** 2 for f in range(3)) for j in others}
+        assert got[f"{i:03}"] == [f"{j:03}" for j in sorted(others, key=lambda j: (d[j], j))[:5]]
 
 
 def test_no_cartesian_product_on_big_inputs(spark, sf):
