@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crashlens.session import checkpoint_dir
-
 
 def hash_ranks(df: DataFrame, group: Sequence[str], key: Column, ties: Sequence[str], out: str, bits: int = 16) -> DataFrame:
     """``out``: the row's rank (from 0) in its group in the order of ``key``, a
@@ -26,19 +24,3 @@ def hash_ranks(df: DataFrame, group: Sequence[str], key: Column, ties: Sequence[
     own = Window.partitionBy(*group, "__b").orderBy("__h", *ties)
     return (keyed.join(offsets, [*group, "__b"])
             .withColumn(out, F.col("__off") + F.row_number().over(own) - 1).drop("__h", "__b", "__off"))
-
-
-def sorted_ranks(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    """``out``: the row's rank (from 0) in the order of ``order``, for any values.
-
-    The range-sorted rows are checkpointed to the shared folder, so partition
-    numbers stay as they are when a task is repeated; a partition's offset is the
-    sum of the partitions before it (one row per partition)."""
-    checkpoint_dir(df.sparkSession)
-    rows = df.orderBy(*order).checkpoint(eager=True).withColumn("__p", F.spark_partition_id())
-    totals = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    own = Window.partitionBy("__p").orderBy(*order)
-    return (rows.join(F.broadcast(offsets), "__p")  # one row per partition
-            .withColumn(out, F.col("__off") + F.row_number().over(own) - 1).drop("__p", "__off"))
