@@ -71,15 +71,22 @@ def _w(series_key: str | None, order: str) -> Window:
     return (Window.partitionBy(series_key) if series_key else Window.partitionBy()).orderBy(order)
 
 
-def daily_trend_rolling(collision: DataFrame, series_key: str | None = None, lag_days: int = 30) -> DataFrame:
-    """Per day with accidents, 7-row rolling mean/max and a 30-row lag."""
+def daily_trend_rolling(collision: DataFrame, series_key: str | None = None, lag_days: int = 30, calendar: bool = False) -> DataFrame:
+    """Per day with accidents, 7-row rolling mean/max and a 30-row lag.
+
+    ``calendar``: frames of days instead of rows, so days without accidents count as gaps:
+    the mean and maximum of the days with accidents among the last seven, and the value
+    exactly ``lag_days`` before (NULL if there is none)."""
     keys = [series_key] if series_key else []
     daily = collision.groupBy(*keys, "date_of_accident").agg(
         F.count(F.lit(1)).alias("daily_accidents"),
         F.avg("number_of_casualties").alias("avg_daily_casualties"))
     w = _w(series_key, "date_of_accident")
-    roll = w.rowsBetween(-6, 0)
-    lag = F.lag("daily_accidents", lag_days).over(w)
+    roll, lag = w.rowsBetween(-6, 0), F.lag("daily_accidents", lag_days).over(w)
+    if calendar:
+        days = (Window.partitionBy(*keys)).orderBy(F.unix_date("date_of_accident"))
+        # one row per day, so a frame of one day holds its value
+        roll, lag = days.rangeBetween(-6, 0), F.max("daily_accidents").over(days.rangeBetween(-lag_days, -lag_days))
     return daily.select(*keys, "date_of_accident", "daily_accidents", "avg_daily_casualties",
                         F.avg("daily_accidents").over(roll).alias("rolling_7day_avg"),
                         F.max("daily_accidents").over(roll).alias("rolling_7day_max"),

@@ -180,6 +180,15 @@ SELECT date_of_accident, daily_accidents, avg_daily_casualties,
        daily_accidents - LAG(daily_accidents, 30) OVER (ORDER BY date_of_accident) AS month_change
 FROM (SELECT date_of_accident, COUNT(*) AS daily_accidents, AVG(number_of_casualties) AS avg_daily_casualties
       FROM collision GROUP BY date_of_accident) d"""
+BODIES["daily_trend_calendar"] = """
+SELECT d.date_of_accident, d.daily_accidents, d.avg_daily_casualties,
+       AVG(d.daily_accidents) OVER w AS rolling_7day_avg, MAX(d.daily_accidents) OVER w AS rolling_7day_max,
+       b.daily_accidents AS accidents_30days_ago, d.daily_accidents - b.daily_accidents AS month_change
+FROM (SELECT date_of_accident, COUNT(*) AS daily_accidents, AVG(number_of_casualties) AS avg_daily_casualties
+      FROM collision GROUP BY date_of_accident) d
+LEFT JOIN (SELECT date_of_accident, COUNT(*) AS daily_accidents FROM collision GROUP BY date_of_accident) b
+  ON b.date_of_accident = d.date_of_accident - INTERVAL 30 DAY
+WINDOW w AS (ORDER BY d.date_of_accident RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)"""
 BODIES["forecast_features"] = f"""
 SELECT date_of_accident, accidents AS target,
        LAG(accidents, 1) OVER (ORDER BY date_of_accident) AS lag_1day,

@@ -444,6 +444,11 @@ def _(spark, sf):
     return series.daily_trend_rolling(T(spark, sf).collision)
 
 
+@q("daily_trend_calendar")
+def _(spark, sf):
+    return series.daily_trend_rolling(T(spark, sf).collision, calendar=True)
+
+
 @q("forecast_features")
 def _(spark, sf):
     return series.forecast_features(T(spark, sf).collision)

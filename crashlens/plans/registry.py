@@ -14,6 +14,7 @@ RESULT_ORDER = {
     "daily_accident_stats": ("day_of_week",),
     "monthly_accident_trends": ("year", "month"),
     "daily_trend_rolling": ("date_of_accident",),
+    "daily_trend_calendar": ("date_of_accident",),
     "slot_15min_stats": ("time_slot_15min",),
     "time_period_comparison": ("-accident_count", "time_period"),
     "time_period_comparison_wrap": ("-accident_count", "time_period"),

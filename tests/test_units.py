@@ -185,3 +185,16 @@ def test_session_zone_does_not_matter(spark):
         assert [(str(r.ts), r.y) for r in hours] == [("2025-03-30 01:00:00", 1), ("2025-03-30 02:00:00", 1), ("2025-10-26 01:00:00", 1)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_calendar_trend_sees_gaps(spark):
+    from datetime import date, timedelta
+
+    from crashlens.operators import series
+
+    days = {0: 2, 1: 1, 9: 4, 30: 3, 31: 1}
+    rows = [(date(2024, 1, 1) + timedelta(days=d), 1) for d, n in days.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "date_of_accident date, number_of_casualties int")
+    got = {(r["date_of_accident"] - date(2024, 1, 1)).days: r for r in series.daily_trend_rolling(df, calendar=True).collect()}
+    assert got[1]["rolling_7day_avg"] == 1.5 and got[9]["rolling_7day_avg"] == 4.0 and got[31]["rolling_7day_max"] == 3
+    assert got[30]["accidents_30days_ago"] == 2 and got[31]["month_change"] == 0 and got[9]["accidents_30days_ago"] is None
