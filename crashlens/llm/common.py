@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (used as pa.compute)
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Most bytes of text or ids that one Arrow batch made by an operator holds.
 BATCH_BYTES = 8 << 20
+#: Folder of each scratch table that is in use.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,7 +46,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PLACES[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that :func:`written` made and that no plan still to run reads.
+
+    Frames that are not such a table are passed over."""
+    for table in tables:
+        path = _PLACES.pop(table, None)
+        if path:
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

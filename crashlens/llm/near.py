@@ -11,17 +11,21 @@ that similarity no aligned pair lies further from the diagonal than (a + b) / 9,
 so an alignment inside that band is exact.  Texts below five words are one
 shingle.
 
-Equal texts are one node from the start, so copies cost one row each.  Buckets
-are compared in rounds, in a number of pairs linear in their size: first the members
-with their buckets' leaders; then, in every bucket that still holds several
-components, members of different components that are near in an order drawn anew
-each round (all pairs where a bucket has at most ``NEIGHBOURS`` + 1 members).  Buckets
-that a new link touches are compared again, until a round adds no link.  These rounds
-only join what is easily joined; the last pass is exact: in every larger bucket that
-still holds several components, all pairs of different components are held against
-each other, block by block, by their keys, lengths and a count of shingles in ``BINS``
-bins (whose overlap is at least that of the shingles, so no link is lost), and the
-texts of those that remain are aligned.  A class is a connected component of links.
+Equal texts are one node from the start, so copies cost one row each.  Links are only
+kept as the component of each node: the links that a round adds are links between
+components, so they are few after the first round.  Buckets are compared in rounds, in a
+number of pairs linear in their size: first each member with the best of its buckets'
+leaders; then with the other leaders, where these belong to other components; then, in
+every bucket that still holds several components, members of different components that are
+near in an order drawn anew each round (all pairs where a bucket has at most
+``NEIGHBOURS`` + 1 members).  Buckets that a new link touches are compared again, until a
+round adds no link.  These rounds only join what is easily joined; the last pass is exact:
+every larger bucket that still holds several components is split by each further key of its
+members (a pair needs ``AGREE`` = 2), and in what then still holds several components
+all pairs of different components are held against each other, block by block, by their
+keys, lengths and a count of shingles in ``BINS`` bins (whose overlap is at least that of
+the shingles, so no link is lost), and the texts of those that remain are aligned.  A class
+is a connected component of links.  Tables that a later round replaces are deleted.
 
 Edge cases: a null text counts as empty; empty texts are equal texts; repeated
 rows belong to one class and carry the same result; a row with a null id is in
@@ -38,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crashlens.llm.common import as_batch, slices, written
+from crashlens.llm.common import as_batch, discard, slices, written
 from crashlens.llm.groups import WordValues, mixed, window_values, word_values
 
 WORDS, SKETCHES, PICKED, AGREE = 5, 20, 3, 2
@@ -194,9 +198,29 @@ def components(links: DataFrame) -> DataFrame:
         if turn > 2:
             up = comp.select(F.col("node").alias("n2"), F.col("comp").alias("c2"))
             step = step.join(up, step["comp"] == up["n2"]).select("node", F.least("comp", "c2").alias("comp"), "old")
+        before = comp
         comp = written(step.select("node", "comp", (F.col("comp") != F.col("old")).cast("int").alias("moved")), "near-components")
+        discard(before)
         if comp.where("moved > 0").isEmpty():
-            return comp.drop("moved")
+            discard(edges)
+            return comp
+
+
+def joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, comp of all nodes linked so far: ``links`` become links between the components
+    of ``comp`` (None before the first), whose components replace them."""
+    if comp is None:
+        return components(links)
+    for end in ("a", "b"):
+        names = comp.select(F.col("node").alias(end), F.col("comp").alias("label"))
+        links = links.join(names, end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    found = components(links.where("a <> b"))
+    up = found.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    moved = comp.join(up, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    alone = found.join(comp.select("node"), "node", "left_anti").select("node", "comp")
+    after = written(moved.unionAll(alone), "near-components")
+    discard(comp, found)
+    return after
 
 
 MEMBER = ("digest", "n", "marks")
@@ -207,14 +231,25 @@ def ordered(one, other) -> list:
 
 
 def leader_pairs(members: DataFrame) -> DataFrame:
-    """Each member with its buckets' leaders.
+    """a, b, best: each member with its buckets' leaders; ``best`` marks the member's first.
 
     The leader is the member that shares the most bucket places.  The text that the
     others were copied from is the one closest to all of them, so it leads its buckets.
     """
     leaders = members.groupBy("s", "key").agg(F.max(F.struct("shared", *MEMBER)).alias("leader"))
     met = members.join(leaders, ["s", "key"]).where((F.col("digest") != F.col("leader.digest")) & alike(F.struct(*MEMBER), F.col("leader")))
-    return met.select("digest", F.col("leader.digest").alias("to")).select(*ordered("digest", "to")).distinct()
+    mine = met.groupBy("digest").agg(F.collect_set(F.struct("leader.shared", F.col("leader.digest").alias("to"))).alias("led"))  # SKETCHES at most
+    each = mine.select("digest", F.array_max("led").alias("first"), F.explode("led").alias("one"))
+    pairs = each.select(*ordered("digest", "one.to"), (F.col("one") == F.col("first")).alias("best"))
+    return pairs.groupBy("a", "b").agg(F.max("best").alias("best"))
+
+
+def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    one = comp.select(F.col("node").alias("a"), F.col("comp").alias("x"))
+    other = comp.select(F.col("node").alias("b"), F.col("comp").alias("y"))
+    named = pairs.join(one, "a", "left").join(other, "b", "left")
+    return named.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
 def labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -256,11 +291,12 @@ def profiles(wanted: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFram
 
 
 def possible(table: pa.Table) -> pa.Table:
-    """The pairs (a, b) of a bucket's two blocks (or inside its one block) that can be similar.
+    """The pairs (a, b) of a part's two blocks (or inside its one block) that can be similar.
 
-    A pair is told only in the first of the buckets that it shares."""
+    A pair is told only where the part's two keys are the first two that it shares."""
     out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    s, two = table.column("s")[0].as_py(), table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+    s, s2 = table.column("s")[0].as_py(), table.column("s2")[0].as_py()
+    two = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
     table = table.sort_by([("own", "ascending"), ("digest", "ascending")]).combine_chunks()
     m = table.num_rows
     keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64).reshape(m, SKETCHES).T.copy()
@@ -275,12 +311,10 @@ def possible(table: pa.Table) -> pa.Table:
         one, other = slice(start, stop), slice(rest, m)
         good = comp[one, None] != comp[None, other]
         good &= np.minimum(n[one, None], n[None, other]) >= LEAST * np.maximum(n[one, None], n[None, other])
-        for k in range(s):
-            good &= keys[k, one, None] != keys[k, None, other]
-        agree = np.ones(good.shape, np.uint8)
-        for k in range(s + 1, SKETCHES):
-            agree += keys[k, one, None] == keys[k, None, other]
-        x, y = np.nonzero(good & (agree >= AGREE))
+        for k in range(s2):
+            if k != s:
+                good &= keys[k, one, None] != keys[k, None, other]
+        x, y = np.nonzero(good)
         x, y = x + start, y + rest
         if not two:
             x, y = x[x < y], y[x < y]
@@ -300,17 +334,25 @@ def possible(table: pa.Table) -> pa.Table:
 def exact_pairs(members: DataFrame, comp: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFrame:
     """All pairs of different components that can be similar and share no small bucket first.
 
-    A bucket of several blocks sends each member to as many groups as it has blocks, one
-    for each pair of blocks, so no group holds more than about two blocks."""
+    A bucket is split into parts by every later key (sketch s2) of its members: two that
+    agree in two keys meet in a part.  A part of several blocks sends each member to as
+    many groups as it has blocks, one for each pair of blocks, so no group holds more than
+    about two blocks."""
     own = labelled(members, comp).select("s", "key", "digest", "comp")
     several = own.groupBy("s", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
-    several = several.where((F.col("x") != F.col("y")) & (F.col("size") > NEIGHBOURS + 1)).select("s", "key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    placed = written(own.join(several, ["s", "key"]), "near-large")
+    large = own.join(several.where((F.col("x") != F.col("y")) & (F.col("size") > NEIGHBOURS + 1)).select("s", "key"), ["s", "key"])
+    later = large.join(members.select("digest", F.col("s").alias("s2"), F.col("key").alias("key2")), "digest").where("s2 > s")
+    later = written(later, "near-parts")
+    part = ["s", "key", "s2", "key2"]
+    sizes = later.groupBy(*part).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
+    sizes = sizes.where("x <> y").select(*part, F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    placed = written(later.join(sizes, part), "near-large")
+    discard(later)
     placed = placed.join(profiles(placed.select("digest").distinct(), nodes, bodies), "digest")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("digest", "s"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("s", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "digest", "n", "comp", "keys", "bins")
-    return placed.groupBy("s", "key", "lo", "hi").applyInArrow(possible, "a binary, b binary")
+    placed = placed.select(*part, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "digest", "n", "comp", "keys", "bins")
+    return placed.groupBy(*part, "lo", "hi").applyInArrow(possible, "a binary, b binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -323,32 +365,49 @@ def classes(docs: DataFrame) -> DataFrame:
     sizes = placed.groupBy("s", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(placed.join(sizes, ["s", "key"]), "near-buckets")
     shared = members.groupBy("digest").agg(F.sum("size").alias("shared"))
+    buckets = members
     members = written(members.drop("size").join(shared, "digest"), "near-members")
+    discard(buckets)
     wanted = nodes.select("digest", "rep").join(members.select("digest").distinct(), "digest").select(F.col("digest").alias("d"), "rep")
     source = texts(docs)
     # the wanted texts grow with the corpus: a shuffle join at every size
     bodies = source.join(wanted.hint("merge"), (source["doc_id"] == wanted["rep"]) & (source["digest"] == wanted["d"]), "left_semi")
     bodies = written(bodies.select("digest", "text").dropDuplicates(["digest"]), "near-texts")
-    tested = written(leader_pairs(members), "near-pairs")
-    links = written(verified(tested, bodies), "near-links")
-    active, turn = members, 1
+    led = written(leader_pairs(members), "near-pairs")
+    links = written(verified(led.where("best").drop("best"), bodies), "near-links")
+    comp = joined(None, links)
+    discard(links)
+    links = written(verified(apart(led.where("NOT best"), comp), bodies), "near-links")
+    if not links.isEmpty():
+        comp = joined(comp, links)
+    discard(links)
+    tested, active, turn = [led], members, 1
     while True:
-        comp = components(links)
-        pairs = written(neighbour_pairs(active, comp, turn).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        pairs = neighbour_pairs(active, comp, turn)
+        for seen in tested:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = written(pairs, "near-pairs")
         new = written(verified(pairs, bodies), "near-links")
+        tested.append(pairs)
         if new.isEmpty():
             break
-        links, tested, turn = links.unionAll(new), tested.unionAll(pairs), turn + 1
+        comp, turn = joined(comp, new), turn + 1
         # only where a component has grown can there be more to find
         grown = new.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
         buckets = members.join(grown, "digest", "left_semi").select("s", "key").distinct()
-        active = written(members.join(buckets, ["s", "key"], "left_semi"), "near-active")
-    pairs = written(exact_pairs(members, comp, nodes, bodies).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        active, before = written(members.join(buckets, ["s", "key"], "left_semi"), "near-active"), active
+        discard(new, *([before] if turn > 2 else []))
+    pairs = exact_pairs(members, comp, nodes, bodies)
+    for seen in tested:
+        pairs = pairs.join(seen, ["a", "b"], "left_anti")
+    pairs = written(pairs, "near-pairs")
     new = written(verified(pairs, bodies), "near-links")
     if not new.isEmpty():
-        comp = components(links.unionAll(new))
+        comp = joined(comp, new)
+    discard(new, pairs, members, active, bodies, *tested)
     own = rows.join(comp, rows["digest"] == comp["node"], "left").select("doc_id", "digest", F.coalesce("comp", "digest").alias("comp"))
     own = written(own, "near-own")
+    discard(rows, comp)
     groups = own.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     result = own.join(groups, "comp").select("doc_id", "digest", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     lone = docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))

@@ -568,14 +568,18 @@ def test_possible_pairs_brute(spark):
     assert len(want) > 1000
     for blocks in (1, 3):
         own, got = np.arange(m) % blocks, []
-        for lo in range(blocks):
-            for hi in range(lo, blocks):
-                at = np.flatnonzero((own == lo) | (own == hi)).tolist()
-                table = near.pa.table({
-                    "s": [3] * len(at), "lo": [lo] * len(at), "hi": [hi] * len(at), "own": own[at].tolist(), "digest": [digests[i] for i in at],
-                    "n": n[at].tolist(), "comp": [digests[comp[i]] for i in at], "keys": [keys[i].tobytes() for i in at], "bins": [bins[i].tobytes() for i in at],
-                })
-                got += [(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in zip(*near.possible(table).to_pydict().values())]
+        parts = [(s2, key2) for s2 in range(4, near.SKETCHES) for key2 in range(40)]
+        for s2, key2 in parts:
+            for lo in range(blocks):
+                for hi in range(lo, blocks):
+                    at = np.flatnonzero(((own == lo) | (own == hi)) & (keys[:, s2] == key2)).tolist()
+                    if not at:
+                        continue
+                    table = near.pa.table({
+                        "s": [3] * len(at), "s2": [s2] * len(at), "lo": [lo] * len(at), "hi": [hi] * len(at), "own": own[at].tolist(), "digest": [digests[i] for i in at],
+                        "n": n[at].tolist(), "comp": [digests[comp[i]] for i in at], "keys": [keys[i].tobytes() for i in at], "bins": [bins[i].tobytes() for i in at],
+                    })
+                    got += [(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in zip(*near.possible(table).to_pydict().values())]
         assert len(got) == len(set(got)) and set(got) == want
 
 
