@@ -71,6 +71,41 @@ def describe_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
         "q75": F.round(F.col(f"q{i}")[2], 6), "max": F.col(f"hi{i}")}) for i, c in enumerate(nums)])
 
 
+def text_value_counts(df: DataFrame) -> DataFrame:
+    """column_name, value, c: how often each value of the columns that are not numbers
+    occurs, NULLs included; values as text.  Counts of several inputs merge by
+    :func:`merged_counts`, so a profile can be kept up to date."""
+    nums = set(numeric_fields(df))
+    names = [c for c in df.columns if c not in nums]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, c bigint")
+    entries = [F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(names)]
+    counted = df.select(F.explode(F.array(*entries)).alias("r")).select("r.*").groupBy("i", "value").agg(F.count(F.lit(1)).alias("c"))
+    return counted.select(F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1).alias("column_name"), "value", "c")
+
+
+def merged_counts(one: DataFrame, other: DataFrame) -> DataFrame:
+    return one.unionByName(other).groupBy("column_name", "value").agg(F.sum("c").alias("c"))
+
+
+def describe_text(counts: DataFrame) -> DataFrame:
+    """Q10 (text part of ``describe``) from :func:`text_value_counts`: count, unique, top and
+    freq; of equally frequent values the smallest is top.  A column of NULLs has no top."""
+    some = F.col("value").isNotNull()
+    best = F.min(F.when(some, F.struct((-F.col("c")).alias("less"), "value")))
+    per = counts.groupBy("column_name").agg(
+        F.coalesce(F.sum(F.when(some, F.col("c"))), F.lit(0)).alias("count"), F.count("value").alias("unique"), best.alias("best"))
+    return per.select("column_name", "count", "unique", F.col("best.value").alias("top"), (-F.col("best.less")).alias("freq"))
+
+
+def describe_all(df: DataFrame) -> DataFrame:
+    """Q10: ``describe(include='all')``, one row per column; the fields of the other kind are NULL."""
+    text = describe_text(text_value_counts(df))
+    if not numeric_fields(df):
+        return text
+    return describe_numeric(df).unionByName(text, allowMissingColumns=True)
+
+
 def dtype_family(dt: T.DataType) -> str:
     if isinstance(dt, T.BooleanType):
         return "bool"

@@ -56,6 +56,39 @@ BODIES["profile_describe"] = union(
     f"{rnd(f'QUANTILE_CONT(CAST({c} AS DOUBLE), 0.5)', 6)} AS q50, "
     f"{rnd(f'QUANTILE_CONT(CAST({c} AS DOUBLE), 0.75)', 6)} AS q75, CAST(MAX({c}) AS DOUBLE) AS max "
     f"FROM raw_collision" for c in RAW_COLLISION_NUMERIC)
+RAW_COLLISION_TEXT = tuple(c for c in COLLISION_COLS if c not in RAW_COLLISION_NUMERIC)
+_MEASURES = ("mean", "std", "min", "q25", "q50", "q75", "max")
+BODIES["profile_describe_all"] = f""",
+numbers AS ({BODIES["profile_describe"]})
+SELECT column_name, count, CAST(NULL AS BIGINT) AS "unique", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq, {', '.join(_MEASURES)} FROM numbers
+UNION ALL
+""" + union(
+    f"SELECT '{c}', COUNT({c}), COUNT(DISTINCT {c}), "
+    f"(SELECT CAST({c} AS VARCHAR) FROM raw_collision WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, CAST({c} AS VARCHAR) LIMIT 1), "
+    f"(SELECT COUNT(*) FROM raw_collision WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC LIMIT 1), "
+    f"{', '.join('CAST(NULL AS DOUBLE)' for _ in _MEASURES)} FROM raw_collision" for c in RAW_COLLISION_TEXT)
+BODIES["constraint_violations"] = """,
+whole_collision AS (SELECT * FROM raw_collision_dup WHERE collision_index IS NOT NULL AND date_of_accident IS NOT NULL AND time_of_accident IS NOT NULL),
+parents AS (SELECT DISTINCT collision_index FROM whole_collision),
+whole_vehicle AS (SELECT * FROM raw_vehicle WHERE vehicle_id IS NOT NULL AND collision_index IS NOT NULL AND vehicle_reference IS NOT NULL),
+whole_casualty AS (SELECT * FROM raw_casualty WHERE casualty_id IS NOT NULL AND collision_index IS NOT NULL AND vehicle_reference IS NOT NULL
+                   AND casualty_reference IS NOT NULL),
+found AS (
+""" + union(
+    [f"SELECT '{t}' AS table_name, 'not_null:{c}' AS reason, COUNT(*) AS n FROM {src} WHERE {c} IS NULL"
+     for t, src, cols in (("collision", "raw_collision_dup", ("collision_index", "date_of_accident", "time_of_accident")),
+                          ("vehicle", "raw_vehicle", ("vehicle_id", "collision_index", "vehicle_reference")),
+                          ("casualty", "raw_casualty", ("casualty_id", "collision_index", "vehicle_reference", "casualty_reference")))
+     for c in cols]
+    + [f"SELECT '{t}', 'references:collision', COUNT(*) FROM raw_{t} WHERE collision_index IS NOT NULL "
+       f"AND collision_index NOT IN (SELECT collision_index FROM parents)" for t in ("vehicle", "casualty")]
+    + ["SELECT 'collision', 'unique:collision_index', COUNT(*) - COUNT(DISTINCT collision_index) FROM whole_collision"]
+    + [f"SELECT '{t}', 'unique:{','.join(keys)}', CAST(COALESCE(SUM(k - 1), 0) AS BIGINT) FROM (SELECT COUNT(*) AS k FROM whole_{t} "
+       f"WHERE collision_index IN (SELECT collision_index FROM parents) GROUP BY {', '.join(keys)})"
+       for t, keys in (("vehicle", ("collision_index", "vehicle_reference")),
+                       ("casualty", ("collision_index", "vehicle_reference", "casualty_reference")))]) + """)
+SELECT * FROM found WHERE n > 0"""
+BODIES["risk_score_incremental"] = BODIES["risk_score_batch"]
 BODIES["feature_overview"] = union(
     f"SELECT '{c}' AS column_name, '{t}' AS dtype, COUNT(DISTINCT {c}) AS n_unique, "
     f"COUNT(*) - COUNT({c}) AS n_missing, {rnd(f'CAST(COUNT(*) - COUNT({c}) AS DOUBLE) / COUNT(*)', 6)} AS missing_rate, "

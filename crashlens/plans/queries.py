@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from crashlens.operators import (cleaning, features, joins, profiling, quality, risk, series, stats)
 from crashlens.plans.tables import TRAINING_FEATURES, Tables
+from crashlens.sources import constraints
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +21,7 @@ QUERIES: dict[str, Query] = {}
 # registered parameters (function defaults keep the reference's values)
 FUTURE_AS_OF = "2001-01-01"
 HIGH_RISK_PERIOD_THRESHOLD = 100
+CUBE_SPLIT = "1995-06-17"
 RISK_POINT = dict(hour=17, day_of_week=5, weather=1, light=1, road_surface=None, urban_rural=1)
 CORR_COLS = ("hour_of_day", "day_of_week", "month", "time_slot_15min", "weather_conditions", "light_conditions",
              "road_surface_conditions", "speed_limit", "number_of_vehicles", "number_of_casualties")
@@ -179,6 +181,18 @@ def _(spark, sf):
     return profiling.describe_numeric(T(spark, sf).raw_collision)
 
 
+@q("profile_describe_all")
+def _(spark, sf):
+    return profiling.describe_all(T(spark, sf).raw_collision)
+
+
+@q("constraint_violations")
+def _(spark, sf):
+    t = T(spark, sf)
+    tables = {"collision": t.raw_collision_dup, "vehicle": t.raw_vehicle, "casualty": t.raw_casualty}
+    return constraints.violation_counts(constraints.judged_tables(tables))
+
+
 @q("feature_overview")
 def _(spark, sf):
     return profiling.feature_overview(T(spark, sf).nb_full)
@@ -363,6 +377,15 @@ def _(spark, sf):
     return risk.risk_score_batch(f, risk.requests_from_collisions(f))
 
 
+@q("risk_score_incremental")
+def _(spark, sf):
+    """U2 from a cube that was kept up to date: the accidents before a day, then the others."""
+    f = T(spark, sf).features()
+    early = F.coalesce(F.col("date_of_accident") < F.lit(CUBE_SPLIT).cast("date"), F.lit(False))
+    state = risk.add_to_state(risk.cube_state(f.where(early)), risk.cube_state(f.where(~early)))
+    return risk.score_requests(risk.cube_of_state(state), risk.requests_from_collisions(f))
+
+
 # ---- notebook EDA tables ---------------------------------------------------
 @q("categorical_frequencies")
 def _(spark, sf):
