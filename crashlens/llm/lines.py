@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crashlens.llm.common import written
+from crashlens.llm.common import discard, written
 
 KEY = ["doc_id", "body"]
 
@@ -65,7 +65,10 @@ def ranked(members: DataFrame, keys: list[str], name: str) -> DataFrame:
     order-preserving ``rank`` of the keys."""
     groups = members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     order = groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id())
-    return written(members.join(written(order, f"{name}-order"), keys).select(*KEY, "i", "rank"), name)
+    order = written(order, f"{name}-order")
+    out = written(members.join(order, keys).select(*KEY, "i", "rank"), name)
+    discard(order)
+    return out
 
 
 def repeated_windows(docs: DataFrame, min_lines: int, line_words: int | None = None) -> DataFrame:
@@ -75,7 +78,8 @@ def repeated_windows(docs: DataFrame, min_lines: int, line_words: int | None = N
     worded = keyed(docs).select(*KEY, F.filter("lines", has_word).alias("lines"))
     lines = worded.select(*KEY, F.posexplode("lines").alias("i", "line"))
     first = lines.select(*KEY, "i", F.unhex(F.sha2(F.col("line").cast("binary"), 256)).alias("digest"), *long_enough(line_words))
-    first = written(first, "lines-digests").distinct()
+    digests = written(first, "lines-digests")
+    first = digests.distinct()
     at = ranked(first, ["digest"], "lines-rank1")
     depth = 1
     while depth < min_lines:
@@ -83,11 +87,14 @@ def repeated_windows(docs: DataFrame, min_lines: int, line_words: int | None = N
         later = at.select(F.col("doc_id").alias("d"), F.col("body").alias("b"), (F.col("i") - step).alias("j"), F.col("rank").alias("second"))
         pairs = at.join(later, at["doc_id"].eqNullSafe(later["d"]) & (at["body"] == later["b"]) & (at["i"] == later["j"]))
         depth += step
+        before = at
         at = ranked(pairs.select(*KEY, "i", F.col("rank").alias("head"), "second"), ["head", "second"], f"lines-rank{depth}")
+        discard(before)
     found = at.withColumn("width", F.lit(min_lines))
-    if line_words is None:
-        return found
-    return found.unionByName(ranked(first.where("long"), ["digest"], "lines-single").withColumn("width", F.lit(1)))
+    if line_words is not None:
+        found = found.unionByName(ranked(first.where("long"), ["digest"], "lines-single").withColumn("width", F.lit(1)))
+    discard(digests)
+    return found
 
 
 def later_copies(windows: DataFrame) -> DataFrame:
