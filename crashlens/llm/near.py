@@ -12,20 +12,20 @@ so an alignment inside that band is exact.  Texts below five words are one
 shingle.
 
 Equal texts are one node from the start, so copies cost one row each.  Links are only
-kept as the component of each node: the links that a round adds are links between
-components, so they are few after the first round.  Buckets are compared in rounds, in a
-number of pairs linear in their size: first each member with the best of its buckets'
+kept as the component of each node: the links that a step adds are links between
+components, so they are few after the first step.  Three steps compare a number of pairs
+linear in the size of the buckets: each member with the best of its buckets'
 leaders; then with the other leaders, where these belong to other components; then, in
 every bucket that still holds several components, members of different components that are
-near in an order drawn anew each round (all pairs where a bucket has at most
-``NEIGHBOURS`` + 1 members).  Buckets that a new link touches are compared again, until a
-round adds no link.  These rounds only join what is easily joined; the last pass is exact:
-every larger bucket that still holds several components is split by each further key of its
+near in a drawn order (all pairs where a bucket has at most ``NEIGHBOURS`` + 1 members).
+These steps leave little to the last one, which is exact for the larger buckets: each
+that still holds several components is split by each further key of its
 members (a pair needs ``AGREE`` = 2), and in what then still holds several components
 all pairs of different components are held against each other, block by block, by their
 keys, lengths and a count of shingles in ``BINS`` bins (whose overlap is at least that of
-the shingles, so no link is lost), and the texts of those that remain are aligned.  A class
-is a connected component of links.  Tables that a later round replaces are deleted.
+the shingles, so no link is lost), and the texts of those that remain are aligned.  So every
+pair of candidates is tested or in one component already.  A class is a connected
+component of links.  Tables that a later step replaces are deleted.
 
 Edge cases: a null text counts as empty; empty texts are equal texts; repeated
 rows belong to one class and carry the same result; a row with a null id is in
@@ -48,7 +48,7 @@ from crashlens.llm.groups import WordValues, mixed, window_values, word_values
 WORDS, SKETCHES, PICKED, AGREE = 5, 20, 3, 2
 #: Least similarity of a link.
 LEAST = 0.8
-#: Members compared with each one in a round, and members of a block of a large bucket.
+#: Members compared with each one by drawn order, and members of a block of a large bucket.
 NEIGHBOURS, BLOCK = 3, 4096
 #: Bins of shingles, one byte each; rows of a block that the exact pass compares at a time.
 BINS, STRIP = 128, 128
@@ -256,11 +256,12 @@ def labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
     return members.join(comp, members["digest"] == comp["node"], "left").select(*members.columns, F.coalesce("comp", "digest").alias("comp"))
 
 
-def neighbour_pairs(members: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
-    """Pairs of different components near each other in this round's order of each bucket."""
+def neighbour_pairs(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs of different components near each other in a drawn order of each bucket: all
+    such pairs where the bucket has at most ``NEIGHBOURS`` + 1 members."""
     own = labelled(members, comp)
     several = own.groupBy("s", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y")
-    placed = own.join(several.select("s", "key", "size"), ["s", "key"]).withColumn("drawn", F.xxhash64("digest", "s", F.lit(turn)))
+    placed = own.join(several.select("s", "key", "size"), ["s", "key"]).withColumn("drawn", F.xxhash64("digest", "s"))
     placed = placed.withColumn("block", F.pmod("drawn", F.ceil(F.col("size") / BLOCK)))
     order = Window.partitionBy("s", "key", "block").orderBy("drawn", "digest")
     following = F.collect_list(F.struct(*MEMBER, "comp")).over(order.rowsBetween(1, NEIGHBOURS))
@@ -381,30 +382,17 @@ def classes(docs: DataFrame) -> DataFrame:
     if not links.isEmpty():
         comp = joined(comp, links)
     discard(links)
-    tested, active, turn = [led], members, 1
-    while True:
-        pairs = neighbour_pairs(active, comp, turn)
-        for seen in tested:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        new = written(verified(pairs, bodies), "near-links")
-        tested.append(pairs)
-        if new.isEmpty():
-            break
-        comp, turn = joined(comp, new), turn + 1
-        # only where a component has grown can there be more to find
-        grown = new.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-        buckets = members.join(grown, "digest", "left_semi").select("s", "key").distinct()
-        active, before = written(members.join(buckets, ["s", "key"], "left_semi"), "near-active"), active
-        discard(new, *([before] if turn > 2 else []))
-    pairs = exact_pairs(members, comp, nodes, bodies)
-    for seen in tested:
-        pairs = pairs.join(seen, ["a", "b"], "left_anti")
-    pairs = written(pairs, "near-pairs")
-    new = written(verified(pairs, bodies), "near-links")
-    if not new.isEmpty():
-        comp = joined(comp, new)
-    discard(new, pairs, members, active, bodies, *tested)
+    near_by = written(neighbour_pairs(members, comp).join(led, ["a", "b"], "left_anti"), "near-pairs")
+    links = written(verified(near_by, bodies), "near-links")
+    if not links.isEmpty():
+        comp = joined(comp, links)
+    discard(links)
+    tested = led.select("a", "b").unionAll(near_by)
+    pairs = written(exact_pairs(members, comp, nodes, bodies).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    links = written(verified(pairs, bodies), "near-links")
+    if not links.isEmpty():
+        comp = joined(comp, links)
+    discard(links, pairs, members, bodies, led, near_by)
     own = rows.join(comp, rows["digest"] == comp["node"], "left").select("doc_id", "digest", F.coalesce("comp", "digest").alias("comp"))
     own = written(own, "near-own")
     discard(rows, comp)
