@@ -19,9 +19,9 @@ leaders; then with the other leaders, where these belong to other components; th
 every bucket that still holds several components, members of different components that are
 near in a drawn order (all pairs where a bucket has at most ``NEIGHBOURS`` + 1 members).
 These steps leave little to the last one, which is exact for the larger buckets: each
-that still holds several components is split by each further key of its
-members (a pair needs ``AGREE`` = 2), and in what then still holds several components
-all pairs of different components are held against each other, block by block, by their
+that still holds several components is taken whole, or where it has more than ``BLOCK``
+members split by each further key of its members (a pair needs ``AGREE`` = 2), and in what
+then still holds several components all pairs of different components are held against each other, block by block, by their
 keys, lengths and a count of shingles in ``BINS`` bins (whose overlap is at least that of
 the shingles, so no link is lost), and the texts of those that remain are aligned.  So every
 pair of candidates is tested or in one component already.  A class is a connected
@@ -294,7 +294,8 @@ def profiles(wanted: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFram
 def possible(table: pa.Table) -> pa.Table:
     """The pairs (a, b) of a part's two blocks (or inside its one block) that can be similar.
 
-    A pair is told only where the part's two keys are the first two that it shares."""
+    A pair is told only where the part's two keys are the first two that it shares, or, in
+    a whole bucket (s2 = s), where its key is the first and another follows."""
     out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     s, s2 = table.column("s")[0].as_py(), table.column("s2")[0].as_py()
     two = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
@@ -315,6 +316,11 @@ def possible(table: pa.Table) -> pa.Table:
         for k in range(s2):
             if k != s:
                 good &= keys[k, one, None] != keys[k, None, other]
+        if s2 == s:
+            another = np.zeros_like(good)
+            for k in range(s + 1, SKETCHES):
+                another |= keys[k, one, None] == keys[k, None, other]
+            good &= another
         x, y = np.nonzero(good)
         x, y = x + start, y + rest
         if not two:
@@ -335,20 +341,23 @@ def possible(table: pa.Table) -> pa.Table:
 def exact_pairs(members: DataFrame, comp: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFrame:
     """All pairs of different components that can be similar and share no small bucket first.
 
-    A bucket is split into parts by every later key (sketch s2) of its members: two that
+    A bucket of at most ``BLOCK`` members is a part as it is (s2 = s).  A larger one is
+    split into parts by every later key (sketch s2) of its members: two that
     agree in two keys meet in a part.  A part of several blocks sends each member to as
     many groups as it has blocks, one for each pair of blocks, so no group holds more than
     about two blocks."""
     own = labelled(members, comp).select("s", "key", "digest", "comp")
     several = own.groupBy("s", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
-    large = own.join(several.where((F.col("x") != F.col("y")) & (F.col("size") > NEIGHBOURS + 1)).select("s", "key"), ["s", "key"])
-    later = large.join(members.select("digest", F.col("s").alias("s2"), F.col("key").alias("key2")), "digest").where("s2 > s")
-    later = written(later, "near-parts")
+    several = several.where((F.col("x") != F.col("y")) & (F.col("size") > NEIGHBOURS + 1))
+    large = written(own.join(several.select("s", "key", "size"), ["s", "key"]), "near-large")
     part = ["s", "key", "s2", "key2"]
+    whole = large.where(F.col("size") <= BLOCK).select("s", "key", F.col("s").alias("s2"), F.col("key").alias("key2"), "digest", "comp", F.lit(1).cast("long").alias("blocks"))
+    later = large.where(F.col("size") > BLOCK).drop("size").join(members.select("digest", F.col("s").alias("s2"), F.col("key").alias("key2")), "digest").where("s2 > s")
+    later = written(later, "near-parts")
     sizes = later.groupBy(*part).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
     sizes = sizes.where("x <> y").select(*part, F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    placed = written(later.join(sizes, part), "near-large")
-    discard(later)
+    placed = written(whole.unionByName(later.join(sizes, part)), "near-placed")
+    discard(later, large)
     placed = placed.join(profiles(placed.select("digest").distinct(), nodes, bodies), "digest")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("digest", "s"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

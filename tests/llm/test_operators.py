@@ -566,9 +566,9 @@ def test_possible_pairs_brute(spark):
         fits &= least >= near.LEAST * (n + n[i] - least)
         want |= {(i, j) for j in np.flatnonzero(fits).tolist() if i < j}
     assert len(want) > 1000
-    for blocks in (1, 3):
+    split = [(s2, key2) for s2 in range(4, near.SKETCHES) for key2 in range(40)]
+    for blocks, parts in ((1, split), (3, split), (1, [(3, 5)])):
         own, got = np.arange(m) % blocks, []
-        parts = [(s2, key2) for s2 in range(4, near.SKETCHES) for key2 in range(40)]
         for s2, key2 in parts:
             for lo in range(blocks):
                 for hi in range(lo, blocks):
