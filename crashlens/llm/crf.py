@@ -15,6 +15,9 @@ import numpy as np
 
 _RUN = re.compile(r"X+|x+|0+")
 _DIGIT_STEPS = (0, 1, 3, 5, 8, 10, 14, 20)
+_LENGTH_STEPS = (0, 4, 8, 12, 16, 24, 32, 48)
+_TURN_STEPS = (0, 1, 2, 3, 5, 8, 12)
+_TURN = re.compile(r"(?<=[Xx])(?=0)|(?<=0)(?=[Xx])")
 
 
 def shape(word: str) -> str:
@@ -29,7 +32,9 @@ def word_features(word: str) -> list[str]:
     digits = s.count("0")
     step = sum(digits >= x for x in _DIGIT_STEPS)
     sized = _RUN.sub(lambda m: m[0][0] + str(len(m[0])) if m[0][0] == "0" else m[0][0], s)
-    return ["word", f"short={short[:40]}", f"sized={sized[:40]}", f"digits={step}", f"first={s[:1]}", f"last={s[-1:]}", f"at={'@' in s}", f"only={set(s) == {'0'}}"]
+    length = sum(len(s) >= x for x in _LENGTH_STEPS)
+    turns = sum(len(_TURN.findall(s)) >= x for x in _TURN_STEPS)  # from letters to digits and back
+    return ["word", f"length={length}", f"turns={turns}", f"short={short}", f"sized={sized}", f"digits={step}", f"first={s[:1]}", f"last={s[-1:]}", f"at={'@' in s}", f"only={set(s) == {'0'}}"]
 
 
 @dataclass

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -165,6 +166,38 @@ def test_crf_learns_shapes(spark):
     assert pii.added_spans(model, ["plain words only, nothing else"], [[]]) == [[]]
 
 
+def test_field_adds_what_patterns_miss():
+    """Held-out sentences: precision and recall of spans in shapes that no pattern knows."""
+    r = np.random.default_rng(6)
+    pick = lambda letters, n: "".join(r.choice(list(letters), n))
+    hexes, mixed = "0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789"
+    makers = [
+        lambda: ("secret", pick(hexes, 40)), lambda: ("secret", pick(hexes.upper(), 40)), lambda: ("secret", pick(hexes, 32)), lambda: ("secret", pick(mixed, 36)),
+        lambda: ("phone", f"({r.integers(200, 999)}) 555-{r.integers(1000, 9999)}"), lambda: ("phone", f"{r.integers(200, 999)}-555-{r.integers(1000, 9999)}"),
+    ]
+    others = [lambda: str(r.integers(1, 3000)), lambda: f"{r.integers(1, 30)}.{r.integers(10)}", lambda: f"{r.integers(1, 28):02}/05/{r.integers(1950, 2030)}", lambda: f"CC BY-NC {r.integers(1, 5)}.0."]
+    right = wrong = missed = 0
+    for i in range(600):
+        kind, value = makers[i % len(makers)]()
+        head = f"Ther {others[i % 4]()} erin\ntoken = \""
+        text = f"{head}{value}\" onthe {others[(i + 1) % 4]()} la"
+        got, want = set(pii.added_spans(pii.shipped_model(), [text], [[]])[0]), {(len(head), pii.SPAN_KINDS.index(kind), len(head) + len(value))}
+        right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
+    assert right >= 0.95 * (right + missed) and wrong <= 0.05 * right
+    assert pii.added_spans(pii.shipped_model(), ["plain words only, nothing else", "", " \n"], [[], [], []]) == [[], [], []]
+
+
+def test_pii_long_text_is_linear():
+    """A text of 2 MB with many numbers and spans; the same spans as in its pieces."""
+    piece = "In 1999 mail a.b@host.example.com or 10.1.2.3 and token = \"0a1b2c3d4e5f60718293a4b5c6d7e8f901234567\" erin. "
+    n = 2_000_000 // len(piece)
+    began = time.monotonic()
+    base, every = pii.spans_of(pii.shipped_model(), [piece * n, piece])
+    assert time.monotonic() - began < 60
+    assert every[0] == [(a + i * len(piece), k, b + i * len(piece)) for i in range(n) for a, k, b in every[1]]
+    assert len(base[1]) == 2 and len(every[1]) == 3 and every[1][2][1] == pii.SPAN_KINDS.index("secret")
+
+
 def test_crf_decoding_is_best():
     r = np.random.default_rng(0)
     from crashlens.llm import crf
