@@ -51,7 +51,7 @@ LEAST = 0.8
 #: Members compared with each one by drawn order, and members of a block of a large bucket.
 NEIGHBOURS, BLOCK = 3, 4096
 #: Bins of shingles, one byte each; rows of a block that the exact pass compares at a time.
-BINS, STRIP = 128, 128
+BINS, STRIP = 1024, 128
 #: Bytes of text that a Python worker handles at a time.
 SLICE = 2 << 20
 
@@ -325,8 +325,8 @@ def possible(table: pa.Table) -> pa.Table:
         x, y = x + start, y + rest
         if not two:
             x, y = x[x < y], y[x < y]
-        for at in range(0, len(x), 1 << 15):
-            i, j = x[at : at + (1 << 15)], y[at : at + (1 << 15)]
+        for at in range(0, len(x), 1 << 12):
+            i, j = x[at : at + (1 << 12)], y[at : at + (1 << 12)]
             least = np.minimum(bins[i], bins[j])
             shared, whole = least.sum(axis=1, dtype=np.int64), n[i] + n[j]
             stays = (shared >= LEAST * (whole - shared)) | (least == 255).any(axis=1)
