@@ -61,3 +61,42 @@ def test_a_repeated_collision_does_not_multiply_training_rows(spark, sf, monkeyp
     raw = again.raw_collision
     again.__dict__["raw_collision"] = raw.unionByName(raw)
     assert again._training_rows().count() == expected
+
+
+def test_merges_by_accident_equal_merges_by_key(spark):
+    """Also with NULL and empty ids on both sides, repeated keys and rows without a partner."""
+    from crashlens.operators import cleaning, joins
+
+    left = spark.createDataFrame([("1", "1", 10), ("1", "1", 11), ("1", None, 12), (None, "1", 13), ("", "1", 14), ("2", "1", 15), (None, None, 16)],
+                                 "collision_index string, vehicle_reference string, a int")
+    right = spark.createDataFrame([("1", "1", 20), ("1", "1", 21), ("1", None, 22), (None, "1", 23), ("", "1", 24), ("3", "1", 25), (None, None, 26)],
+                                  "collision_index string, vehicle_reference string, b int")
+    for on in (["collision_index"], ["collision_index", "vehicle_reference"]):
+        want = joins.merge(left, right, on, "left", "ind")
+        got = joins.merge(cleaning.by_accident(left), cleaning.by_accident(right), on, "left", "ind").drop(cleaning.ACCIDENT)
+        rows = lambda df: sorted(map(str, df.select(*want.columns).collect()))
+        assert rows(got) == rows(want)
+
+
+def test_each_table_is_dealt_once(spark, sf):
+    """Dedup, both merges and the write use one exchange of each table's rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = tables.Tables(spark, sf)
+        for df in (t._training_rows(), t._nb_full()):
+            assert plan_of(df).count("Exchange") == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_dedup_inside_the_buckets(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    from crashlens.operators import cleaning
+    from crashlens.session import stored_by_key
+
+    raw = tables.Tables(spark, sf).raw_vehicle
+    raw = raw.unionByName(raw.limit(50)).unionByName(raw.limit(20).withColumn("collision_index", F.lit(None).cast("string")))
+    kept = stored_by_key(raw, "test_vehicle", "collision_index", cleaning.dedup_vehicles)
+    want = cleaning.dedup_vehicles(raw)
+    assert kept.count() == want.count() and kept.exceptAll(want).count() == 0
