@@ -176,3 +176,16 @@ def test_cv_metrics_covers_every_model(spark, sf, monkeypatch):
 
     monkeypatch.setattr(queries_ml, "validated", lambda spark, sf, *models: models)
     assert registry.queries()["cv_metrics"](spark, sf) == ("lr", "rf", "mlp", "gbt")
+
+
+def test_distances_by_products_are_within_their_bound():
+    r = np.random.default_rng(1)
+    for a, b in ((r.normal(size=(50, 7)) + 1e4, r.normal(size=(60, 7)) + 1e4), (r.integers(0, 3, (40, 5)).astype(float),) * 2):
+        d, off = neighbours.products(a, b)
+        assert np.abs(d - neighbours.squares(a, b)).max() <= off
+        i, j = np.indices(d.shape).reshape(2, -1)
+        assert (neighbours.exact(a[i], b[j]) == neighbours.squares(a, b).ravel()).all()
+    b = b.copy()
+    b[3, 2] = np.nan
+    d, off = neighbours.products(a, b)
+    assert np.isfinite(off) and np.isnan(d[:, 3]).all() and np.isfinite(np.delete(d, 3, 1)).all()
