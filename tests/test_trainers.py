@@ -223,3 +223,18 @@ def test_blocks_hold_every_row_once(spark):
 def test_unknown_model(spark):
     with pytest.raises(ValueError):
         ml.fit(spark.createDataFrame([(1, 0, 1.0)], "id long, label int, a double"), "svm", ["a"], "id")
+
+
+def test_training_leaves_no_table_behind(spark, sf):
+    """Samples, training rows, blocks and folds go when no later pass reads them."""
+    import os
+
+    from crashlens.plans import queries_ml
+    from crashlens.session import checkpoint_dir
+
+    rows = queries_ml.labelled(spark, sf)
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    ml.compare_models(rows, queries_ml.feature_names(rows), "row_id", 2, {"mlp": {"mlp_iter": 3}, "lr": {"lr_iter": 3}, "rf": {"num_trees": 3}, "gbt": {"gbt_iter": 2}}).collect()
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before}
+    assert not left & {"smote", "neighbours", "neighbour-cells", "neighbour-bounds", "training", "blocks", "labelled", "folds", "held-out"}
