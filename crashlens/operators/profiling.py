@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from crashlens.functions.expr import attach_one_row, numeric_fields
 from crashlens.operators.quantiles import KEYS, quantile_columns, quantiles, value_counts
+from crashlens.session import stored
 
 # Category orders of the notebook charts.
 WEEKDAY_ORDER = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -186,8 +187,14 @@ def feature_overview(df: DataFrame, max_missing: float = 0.2, max_unique: int =
 
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
-    """Q13: rows that repeat an earlier identical row (NULLs compare equal)."""
-    per = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    """Q13: rows that repeat an earlier identical row (NULLs compare equal).
+
+    A row's hash goes through the shuffle first; only rows whose hash occurs again are
+    then compared by all columns, so few repeats cost few bytes."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    hashed = df.withColumn("__hash", F.xxhash64(*cols))
+    again = stored(hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__hash"), "repeated")
+    per = hashed.join(again, "__hash", "left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
     return per.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 

@@ -198,3 +198,15 @@ def test_calendar_trend_sees_gaps(spark):
     got = {(r["date_of_accident"] - date(2024, 1, 1)).days: r for r in series.daily_trend_rolling(df, calendar=True).collect()}
     assert got[1]["rolling_7day_avg"] == 1.5 and got[9]["rolling_7day_avg"] == 4.0 and got[31]["rolling_7day_max"] == 3
     assert got[30]["accidents_30days_ago"] == 2 and got[31]["month_change"] == 0 and got[9]["accidents_30days_ago"] is None
+
+
+def test_repeated_rows_are_counted_by_all_columns(spark):
+    """Rows that share a hash without being equal (NULLs in other places) are told apart, and only
+    rows with a repeated hash are shuffled whole."""
+    from crashlens.operators import profiling
+
+    rows = [("a", None), (None, "a"), ("a", "a"), (None, None), (None, None), ("b", "c"), ("b", "c"), ("b", "c")]
+    df = spark.createDataFrame(rows, "x string, `y z` string")
+    found = profiling.duplicate_row_count(df)
+    assert found.first().duplicate_rows == 3 and "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
+    assert profiling.duplicate_row_count(df.limit(0)).first().duplicate_rows == 0
