@@ -215,3 +215,16 @@ def test_bounds_hold():
         assert (bound >= exact - 1e-9).all()
         assert last is None or bound.sum() < last  # closer with every resolution
         last = bound.sum()
+
+
+def test_top_k_equals_its_oracle(spark):
+    """The SQL reads ``embeddings``, so the connection needs that table."""
+    import duckdb
+
+    from crashlens.llm import queries
+    from tools_compare import canon
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet')")
+    assert canon(queries.QUERIES["op13_top_k"](spark, folder).toPandas()) == canon(con.execute(queries.ORACLE_SQL["op13_top_k"]).df())
