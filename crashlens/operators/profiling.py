@@ -191,6 +191,7 @@ def duplicate_row_count(df: DataFrame) -> DataFrame:
 
     A row's hash goes through the shuffle first; only rows whose hash occurs again are
     then compared by all columns, so few repeats cost few bytes."""
+    df = stored(df, "rows")  # read twice
     cols = [F.col(f"`{c}`") for c in df.columns]
     hashed = df.withColumn("__hash", F.xxhash64(*cols))
     again = stored(hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__hash"), "repeated")
@@ -309,16 +310,16 @@ def severity_by_category(df: DataFrame, features: Sequence[str], label: str = "c
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
-    """Equal-width bins between min and max (last bin closed)."""
-    x = F.col(col).cast("double")
-    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull())
+    """Equal-width bins between min and max (last bin closed), from the counted values
+    (one run of the input)."""
+    vals = value_counts(df, [col]).select("x", "c")
     mm = vals.agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"))
     w = (F.col("__hi") - F.col("__lo")) / bins
     b = F.when(w == 0, 0).otherwise(F.least(F.floor((F.col("x") - F.col("__lo")) / w), F.lit(bins - 1)))
-    j = attach_one_row(vals, mm).select(b.cast("int").alias("bin"), "__lo", "__hi")
+    j = attach_one_row(vals, mm).select(b.cast("int").alias("bin"), "c", "__lo", "__hi")
     return j.groupBy("bin").agg(
         F.round(F.first("__lo") + F.col("bin") * (F.first("__hi") - F.first("__lo")) / bins, 6).alias("bin_start"),
-        F.count(F.lit(1)).alias("n"))
+        F.sum("c").alias("n"))
 
 
 def boxplot_stats(df: DataFrame, cols: Sequence[str], group: str | None = None, k: float = 1.5,
