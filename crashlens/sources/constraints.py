@@ -43,23 +43,31 @@ def declared(table: str) -> Constraints:
     return Constraints(not_null, (schemas.KEYS[table],), {} if table == "collision" else {"collision_index": "collision"})
 
 
-def judged(df: DataFrame, rules: Constraints, parents: Mapping[str, DataFrame] | None = None) -> DataFrame:
+def judged(df: DataFrame, rules: Constraints, parents: Mapping[str, DataFrame] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """The rows with ``_reasons``, an array of ``not_null:column``, ``references:table`` and
     ``unique:columns`` (empty: the row is accepted).  Declared columns that ``df`` lacks
-    count as NULL.  ``parents`` holds the accepted rows of the tables referred to."""
-    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "constraints")  # row numbers fixed by the write
-    reasons = [F.when(F.col(c).isNull() if c in df.columns else F.lit(True), F.lit(f"not_null:{c}")) for c in rules.not_null]
+    count as NULL.  ``parents`` holds the accepted rows of the tables referred to.
+    ``columns``: those of ``df`` that the judged rows keep (default: all); the others are read, not moved."""
+    made = F.col("created_at") if "created_at" in df.columns else F.lit(None).cast("timestamp")
+    columns = df.columns if columns is None else [c for c in df.columns if c in columns]
+    judging = {*rules.not_null, *rules.references, *(c for key in rules.unique for c in key), *columns}
+    rows = df.select(*[c for c in df.columns if c in judging], made.alias("__made"), F.xxhash64(*df.columns).alias("__hash"), F.monotonically_increasing_id().alias("__row"))
+    rows = stored(rows, "constraints")  # row numbers fixed by the write
+    # NULLs are judged before any join, so only the columns that go on are moved
+    missing = [F.when(F.col(c).isNull() if c in df.columns else F.lit(True), F.lit(f"not_null:{c}")) for c in rules.not_null]
+    keys = {*rules.references, *(c for key in rules.unique for c in key), *columns}
+    working = [*[c for c in rows.columns if c in keys], "__made", "__hash", "__row"]
+    rows = rows.select(*working, (F.array_compact(F.array(*missing)) if missing else F.array().cast("array<string>")).alias(REASONS))
     for i, (column, parent) in enumerate(rules.references.items()):
         if column not in df.columns:
             continue
         known = parents[parent].select(F.col(column).alias(f"__p{i}")).where(f"__p{i} IS NOT NULL").distinct()
         rows = rows.join(known, rows[column] == known[f"__p{i}"], "left")
         # a NULL refers to nothing
-        reasons.append(F.when(F.col(column).isNotNull() & F.col(f"__p{i}").isNull(), F.lit(f"references:{parent}")))
-    rows = rows.withColumn(REASONS, F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>"))
-    rows = rows.select(*df.columns, "__row", REASONS)
-    made = F.col("created_at") if "created_at" in df.columns else F.lit(None).cast("timestamp")
-    order = F.struct(made.isNull().alias("late"), made.alias("made"), F.xxhash64(*df.columns).alias("hash"), F.col("__row").alias("row"))
+        unknown = F.col(column).isNotNull() & F.col(f"__p{i}").isNull()
+        rows = rows.withColumn(REASONS, F.when(unknown, F.concat(REASONS, F.array(F.lit(f"references:{parent}")))).otherwise(F.col(REASONS)))
+    rows = rows.select(*working, REASONS)
+    order = F.struct(F.col("__made").isNull().alias("late"), F.col("__made").alias("made"), F.col("__hash").alias("hash"), F.col("__row").alias("row"))
     for key in rules.unique:
         if not set(key) <= set(df.columns):
             continue
@@ -73,8 +81,8 @@ def judged(df: DataFrame, rules: Constraints, parents: Mapping[str, DataFrame] |
             met = met & (rows[c] == first[f"__k{i}"])
         repeated = F.col("__stays") != F.col("__row")  # NULL for a row that was not judged
         rows = rows.join(first, met, "left").withColumn(REASONS, F.when(repeated, F.array(F.lit(f"unique:{','.join(key)}"))).otherwise(F.col(REASONS)))
-        rows = rows.select(*df.columns, "__row", REASONS)
-    return rows.drop("__row")
+        rows = rows.select(*working, REASONS)
+    return rows.select(*columns, REASONS)
 
 
 def accepted(rows: DataFrame) -> DataFrame:
@@ -85,12 +93,15 @@ def quarantined(rows: DataFrame) -> DataFrame:
     return rows.where(F.size(REASONS) > 0)
 
 
-def judged_tables(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """The named domain tables judged, parents before children."""
+def judged_tables(tables: Mapping[str, DataFrame], whole: bool = True) -> dict[str, DataFrame]:
+    """The named domain tables judged, parents before children; not ``whole``: every row, with the
+    columns alone that a later table refers to and its reasons."""
     out: dict[str, DataFrame] = {}
-    for name in [n for n in ("collision", "vehicle", "casualty") if n in tables]:
+    names = [n for n in ("collision", "vehicle", "casualty") if n in tables]
+    for name in names:
         parents = {p: accepted(out[p]) for p in declared(name).references.values()}
-        out[name] = stored(judged(tables[name], declared(name), parents), f"judged-{name}")
+        columns = None if whole else [c for n in names for c, p in declared(n).references.items() if p == name]
+        out[name] = stored(judged(tables[name], declared(name), parents, columns), f"judged-{name}")
     return out
 
 
