@@ -23,8 +23,9 @@ that still holds several components is taken whole, or where it has more than ``
 members split by each further key of its members (a pair needs ``AGREE`` = 2), and in what
 then still holds several components all pairs of different components are held against each other, block by block, by their
 keys, lengths and a count of shingles in ``BINS`` bins (whose overlap is at least that of
-the shingles, so no link is lost), and the texts of those that remain are aligned.  So every
-pair of candidates is tested or in one component already.  A class is a connected
+the shingles, so no link is lost).  The pairs that remain are aligned where their blocks meet, unless a link
+found there has joined their components, and only links leave the task: at most one for each
+member, however many pairs were tested.  So every pair of candidates is tested or in one component already.  A class is a connected
 component of links.  Tables that a later step replaces are deleted.
 
 Edge cases: a null text counts as empty; empty texts are equal texts; repeated
@@ -52,8 +53,8 @@ LEAST = 0.8
 NEIGHBOURS, BLOCK = 3, 4096
 #: Bins of shingles, one byte each; rows of a block that the exact pass compares at a time.
 BINS, STRIP = 1024, 128
-#: Bytes of text that a Python worker handles at a time.
-SLICE = 2 << 20
+#: Bytes of text that a Python worker handles at a time, and of shingles in a block (or one member).
+SLICE, BLOCK_BYTES = 2 << 20, 32 << 20
 
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -278,36 +279,36 @@ def binned(x: np.ndarray) -> bytes:
 
 
 def profiles(wanted: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFrame:
-    """digest, n, keys and bins as bytes, of the wanted digests."""
+    """digest, n, keys and shingles as bytes, of the wanted digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
-            bins = [binned(shingles(word_values([t.encode()], WordValues())[0])) for t in batch.column("text").to_pylist()]
-            schema = pa.schema([("digest", pa.binary()), ("bins", pa.binary())])
-            yield as_batch(schema, batch.column("digest"), bins)
+            found = [shingles(word_values([t.encode()], WordValues())[0]).tobytes() for t in batch.column("text").to_pylist()]
+            schema = pa.schema([("digest", pa.binary()), ("shingles", pa.binary())])
+            yield as_batch(schema, batch.column("digest"), found)
 
-    counted = bodies.join(wanted.hint("merge"), "digest", "left_semi").select("digest", "text").mapInArrow(run, "digest binary, bins binary")
+    counted = bodies.join(wanted.hint("merge"), "digest", "left_semi").select("digest", "text").mapInArrow(run, "digest binary, shingles binary")
     keys = F.unhex(F.array_join(F.transform("keys", lambda k: F.lpad(F.hex(k), 16, "0")), "")).alias("keys")
     return counted.join(nodes.select("digest", "n", keys), "digest")
 
 
-def possible(table: pa.Table) -> pa.Table:
-    """The pairs (a, b) of a part's two blocks (or inside its one block) that can be similar.
+def in_order(table: pa.Table) -> pa.Table:
+    return table.sort_by([("own", "ascending"), ("digest", "ascending")]).combine_chunks()
+
+
+def fitting(table: pa.Table, comp: np.ndarray, bins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the pairs of a part's two blocks (or inside its one block) that can be
+    similar, some at a time; ``comp``, the members' components, may change in between.
 
     A pair is told only where the part's two keys are the first two that it shares, or, in
     a whole bucket (s2 = s), where its key is the first and another follows."""
-    out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     s, s2 = table.column("s")[0].as_py(), table.column("s2")[0].as_py()
     two = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
-    table = table.sort_by([("own", "ascending"), ("digest", "ascending")]).combine_chunks()
     m = table.num_rows
     keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64).reshape(m, SKETCHES).T.copy()
-    bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(m, BINS)
-    comp = table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
     n = table.column("n").to_numpy().astype(np.int64)
     # two blocks: members of the first against those of the second; one: against those that follow
     first = int((table.column("own").to_numpy() == table.column("lo")[0].as_py()).sum()) if two else m
-    left, right = [], []
     for start in range(0, first, STRIP):
         stop, rest = min(start + STRIP, first), first if two else start
         one, other = slice(start, stop), slice(rest, m)
@@ -330,39 +331,68 @@ def possible(table: pa.Table) -> pa.Table:
             least = np.minimum(bins[i], bins[j])
             shared, whole = least.sum(axis=1, dtype=np.int64), n[i] + n[j]
             stays = (shared >= LEAST * (whole - shared)) | (least == 255).any(axis=1)
-            left.append(i[stays])
-            right.append(j[stays])
-    i, j = (np.concatenate([np.empty(0, np.int64), *part]) for part in (left, right))
+            yield i[stays], j[stays]
+
+
+def numbered(table: pa.Table) -> np.ndarray:
+    return table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+
+
+def named(table: pa.Table, pairs: list[tuple[int, int]]) -> pa.Table:
+    """a, b: the digests of pairs of places."""
     digests = table.column("digest").to_pylist()
-    pairs = [sorted((digests[p], digests[q])) for p, q in zip(i.tolist(), j.tolist())]
-    return pa.table([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], schema=out)
+    ends = [sorted((digests[p], digests[q])) for p, q in pairs]
+    return pa.table([pa.array([e[0] for e in ends], pa.binary()), pa.array([e[1] for e in ends], pa.binary())], names=["a", "b"])
 
 
-def exact_pairs(members: DataFrame, comp: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFrame:
-    """All pairs of different components that can be similar and share no small bucket first.
+def possible(table: pa.Table) -> pa.Table:
+    """All pairs (a, b) that :func:`fitting` tells of a part with the members' ``bins``."""
+    table = in_order(table)
+    bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+    return named(table, [p for i, j in fitting(table, numbered(table), bins) for p in zip(i.tolist(), j.tolist())])
+
+
+def linking(table: pa.Table) -> pa.Table:
+    """Links (a, b) of a part with the members' ``shingles``: a pair that can be similar is aligned
+    unless the links before it have joined its components."""
+    table = in_order(table)
+    values = [np.frombuffer(v, np.uint64) for v in table.column("shingles").to_pylist()]
+    bins = np.frombuffer(b"".join(binned(x) for x in values), np.uint8).reshape(-1, BINS)
+    comp, links = numbered(table), []
+    for i, j in fitting(table, comp, bins):
+        for p, q in zip(i.tolist(), j.tolist()):
+            if comp[p] != comp[q] and similarity(values[p], values[q], LEAST) >= LEAST:
+                comp[comp == comp[q]] = comp[p]
+                links.append((p, q))
+    return named(table, links)
+
+
+def exact_links(members: DataFrame, comp: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links of different components in the buckets of more than ``NEIGHBOURS`` + 1 members: what
+    they join holds every pair of candidates there that is similar.
 
     A bucket of at most ``BLOCK`` members is a part as it is (s2 = s).  A larger one is
     split into parts by every later key (sketch s2) of its members: two that
     agree in two keys meet in a part.  A part of several blocks sends each member to as
     many groups as it has blocks, one for each pair of blocks, so no group holds more than
-    about two blocks."""
-    own = labelled(members, comp).select("s", "key", "digest", "comp")
-    several = own.groupBy("s", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
+    about two blocks, each of about ``BLOCK`` members and ``BLOCK_BYTES`` of shingles at most."""
+    own = labelled(members, comp).select("s", "key", "digest", "n", "comp")
+    several = own.groupBy("s", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), F.sum(F.lit(8) * F.col("n")).alias("bytes"))
     several = several.where((F.col("x") != F.col("y")) & (F.col("size") > NEIGHBOURS + 1))
-    large = written(own.join(several.select("s", "key", "size"), ["s", "key"]), "near-large")
+    large = written(own.join(several.select("s", "key", "size", "bytes"), ["s", "key"]), "near-large")
     part = ["s", "key", "s2", "key2"]
-    whole = large.where(F.col("size") <= BLOCK).select("s", "key", F.col("s").alias("s2"), F.col("key").alias("key2"), "digest", "comp", F.lit(1).cast("long").alias("blocks"))
-    later = large.where(F.col("size") > BLOCK).drop("size").join(members.select("digest", F.col("s").alias("s2"), F.col("key").alias("key2")), "digest").where("s2 > s")
+    whole = large.where(F.col("size") <= BLOCK).select("s", "key", F.col("s").alias("s2"), F.col("key").alias("key2"), "digest", "comp", F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).alias("blocks"))
+    later = large.where(F.col("size") > BLOCK).drop("size", "bytes").join(members.select("digest", F.col("s").alias("s2"), F.col("key").alias("key2")), "digest").where("s2 > s")
     later = written(later, "near-parts")
-    sizes = later.groupBy(*part).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
-    sizes = sizes.where("x <> y").select(*part, F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    placed = written(whole.unionByName(later.join(sizes, part)), "near-placed")
+    sizes = later.groupBy(*part).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"), F.sum(F.lit(8) * F.col("n")).alias("bytes"))
+    sizes = sizes.where("x <> y").select(*part, F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
+    placed = written(whole.unionByName(later.drop("n").join(sizes, part)), "near-placed")
     discard(later, large)
     placed = placed.join(profiles(placed.select("digest").distinct(), nodes, bodies), "digest")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("digest", "s"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select(*part, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "digest", "n", "comp", "keys", "bins")
-    return placed.groupBy(*part, "lo", "hi").applyInArrow(possible, "a binary, b binary")
+    placed = placed.select(*part, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "digest", "n", "comp", "keys", "shingles")
+    return placed.groupBy(*part, "lo", "hi").applyInArrow(linking, "a binary, b binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -396,12 +426,10 @@ def classes(docs: DataFrame) -> DataFrame:
     if not links.isEmpty():
         comp = joined(comp, links)
     discard(links)
-    tested = led.select("a", "b").unionAll(near_by)
-    pairs = written(exact_pairs(members, comp, nodes, bodies).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-    links = written(verified(pairs, bodies), "near-links")
+    links = written(exact_links(members, comp, nodes, bodies).distinct(), "near-links")
     if not links.isEmpty():
         comp = joined(comp, links)
-    discard(links, pairs, members, bodies, led, near_by)
+    discard(links, members, bodies, led, near_by)
     own = rows.join(comp, rows["digest"] == comp["node"], "left").select("doc_id", "digest", F.coalesce("comp", "digest").alias("comp"))
     own = written(own, "near-own")
     discard(rows, comp)

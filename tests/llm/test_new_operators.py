@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,46 @@ def test_top_k_equals_its_oracle(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet')")
     assert canon(queries.QUERIES["op13_top_k"](spark, folder).toPandas()) == canon(con.execute(queries.ORACLE_SQL["op13_top_k"]).df())
+
+
+def test_exact_pass_tells_links_only():
+    """A bucket of near copies in many components leaves a link for each that joins, not all similar pairs."""
+    from crashlens.llm import near
+
+    r = np.random.default_rng(31)
+    bodies = [r.integers(1, 2**63, 90).astype(np.uint64) for _ in range(3)]
+    values = []
+    for i in range(300):
+        x = bodies[i % 3].copy()
+        x[r.integers(0, 90, 3)] = r.integers(1, 2**63, 3).astype(np.uint64)
+        values.append(x if i % 10 else r.permutation(x))  # every tenth holds the same shingles in another order
+    m, comp = len(values), r.integers(0, 280, len(values))
+    digests = [i.to_bytes(16, "big") for i in range(m)]
+    root = {int(c): int(c) for c in comp}
+
+    def top(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    similar = [(i, j) for i in range(m) for j in range(i + 1, m) if near.similarity(values[i], values[j], near.LEAST) >= near.LEAST]
+    for i, j in similar:
+        root[top(int(comp[i]))] = top(int(comp[j]))
+    want = {c: top(c) for c in root}
+    for blocks in (1, 2):
+        root, got = {c: c for c in root}, []
+        own = np.arange(m) % blocks
+        for lo in range(blocks):
+            for hi in range(lo, blocks):
+                at = np.flatnonzero((own == lo) | (own == hi)).tolist()
+                table = pa.table({
+                    "s": [0] * len(at), "s2": [0] * len(at), "lo": [lo] * len(at), "hi": [hi] * len(at), "own": own[at].tolist(), "digest": [digests[i] for i in at],
+                    "n": [90] * len(at), "comp": [digests[comp[i]] for i in at], "keys": [np.full(near.SKETCHES, 7, np.uint64).tobytes()] * len(at), "shingles": [values[i].tobytes() for i in at],
+                })
+                links = [(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in zip(*near.linking(table).to_pydict().values())]
+                assert len(links) < len(at) and set(links) <= set(similar)
+                got += links
+        for i, j in got:
+            root[top(int(comp[i]))] = top(int(comp[j]))
+        assert {frozenset(c for c in root if top(c) == t) for t in set(map(top, root))} == {frozenset(c for c in want if want[c] == t) for t in set(want.values())}
+    assert len(similar) > 5000
